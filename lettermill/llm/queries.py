@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import exact_topk, fingerprints, language_id, licenses, nbest_pieces, packing, token_counts, warc
+from lettermill.llm import exact_topk, fingerprints, language_id, licenses, near_dedup, nbest_pieces, packing, suffix_dedup, token_counts, warc
 from lettermill.llm.common import table
 
 
@@ -33,10 +33,19 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents")).drop("positions")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "is_first")
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -52,7 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_nbest_pieces, op2_license_scan, op3_packing, op4_fingerprints, op6_exact_topk, op8_token_counts, op9_language_id, op10_warc)
+    f.__name__: f for f in (op1_nbest_pieces, op2_license_scan, op3_packing, op4_fingerprints, op5_near_duplicates, op6_exact_topk, op7_suffix_dedup, op8_token_counts, op9_language_id, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
