@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import id_and_text, slices
+from lettermill.llm.common import id_and_text, slices, written
 from lettermill.llm.fingerprints import BASE, rolling
 
 LENGTH = 200
@@ -38,6 +38,8 @@ HEAVY = 2000
 SEGMENT = 1 << 23
 SPANS = "array<struct<start:bigint,end:bigint>>"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 #: Suffixes that a task sorts at once.
 RUN = 300_000
 
@@ -346,18 +348,18 @@ def _repeats(docs: DataFrame, length: int, k: int, heavy: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array([*first.tolist(), len(spans)], pa.int32()), each)
             yield pa.RecordBatch.from_arrays([pa.array(spans[first, 0]), pa.array(spans[first, 1]), lists], names=["d", "h", "spans"])
 
-    found = docs.mapInArrow(find, "hash long, d long, h long, place long")
-    counts = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = docs.select("d", "h", "text").filter(F.octet_length("text") >= length).mapInArrow(find, "hash long, d long, h long, place long")
+    counts = written(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))  # a frequent hash then is a skewed join, which Spark splits
     places = found.join(counts, "hash").select("d", "h", F.when(F.col("n") > heavy, -F.col("place") - 1).otherwise(F.col("place")).alias("place"))
     grouped = places.groupBy("d", "h").agg(F.collect_list("place").alias("places"))  # of one document
-    runs = docs.join(grouped, ["d", "h"]).select("d", "h", "text", "places").mapInArrow(sort, "target int, run binary")
+    runs = docs.join(grouped, ["d", "h"]).mapInArrow(sort, "target int, run binary")  # all columns, so that with_spans() uses the same exchange of docs
     return runs.repartitionById(n, F.col("target")).mapInArrow(merge, f"d long, h long, spans {SPANS}")
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, k: int = K, heavy: int = HEAVY) -> DataFrame:
     """docs with a column spans: the maximal spans of bytes that strings cover which also start elsewhere; null without any."""
-    keyed = docs.withColumns({"d": F.coalesce("doc_id", F.lit(-1)), "h": F.xxhash64("text", "doc_id")})
-    found = _repeats(keyed.select("d", "h", F.coalesce("text", F.lit("")).alias("text")), length, k, heavy)
+    keyed = docs.withColumns({"d": F.coalesce("doc_id", F.lit(NO_ID)), "h": F.xxhash64("text", "doc_id")}).drop("doc_id")
+    found = _repeats(keyed, length, k, heavy)
     spans = found.groupBy("d", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one document
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +369,8 @@ def with_spans(docs: DataFrame, length: int = LENGTH, k: int = K, heavy: int = H
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), pa.array(joined, kind)], names=["d", "h", "spans"])
 
     maximal = spans.mapInArrow(join, f"d long, h long, spans {SPANS}")
-    return keyed.join(maximal, ["d", "h"], "left").select(*docs.columns, "spans")
+    joined = keyed.join(maximal, ["d", "h"], "left").withColumn("doc_id", F.when(F.col("d") != NO_ID, F.col("d")))
+    return joined.select(*docs.columns, "spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, heavy: int = HEAVY) -> DataFrame:
