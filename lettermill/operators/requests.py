@@ -9,6 +9,9 @@ from lettermill.functions import text as X
 
 ITEM = "struct<`KN_KIENNGHI.ID`:string,`KN_KIENNGHI.DONVI_TIEPNHAN`:string,`KN_KIENNGHI.NOI_DUNG`:string>"
 
+#: A string or number of a JSON array.
+VALUE = r'(?:"(?:[^"\\\\]|\\\\.)*"|[\w.+-]+)'
+
 
 def data_list(raw: Column) -> Column:
     """Petitions of a request: an array, an object with data_list, or an array of JSON strings; null if none of these."""
@@ -27,7 +30,7 @@ def file_ids(raw: Column) -> Column:
     x = X.clean_json_text(raw)
     listed = F.filter(F.transform(F.split(x, ","), lambda s: F.regexp_replace(s, r"^[\s\[\]\"']+|[\s\[\]\"']+\z", "")), lambda s: s != "")
     is_json = x.startswith("[") | x.startswith("{")
-    parsed = F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, "array<string>"))
+    parsed = F.when(x.rlike(rf"^\[\s*(?:{VALUE}\s*(?:,\s*{VALUE}\s*)*)?\]$"), F.from_json(x, "array<string>"))
     return F.when(is_json, parsed).otherwise(listed)
 
 
