@@ -1,16 +1,16 @@
 """Near duplicates by ProbMinHash, banding and verification.
 
-A document is the set of its shingles (words in a row), weighted by how often each occurs. Every
-shingle is a Poisson process at the rate of its weight: its arrivals, drawn from its hash, fall into
+A document is the set of its shingles (words in a row), weighted by 1 + ln of how often each occurs
+(so that a line that is repeated many times doesn't stand for the whole document). Every shingle is a Poisson process at the rate of its weight: its arrivals, drawn from its hash, fall into
 registers at random, and a register keeps the shingle that came first. Two documents agree in a
 register with the probability Jaccard similarity of their weights. The arrivals of all shingles come
 round by round, and a shingle ends as soon as its next arrival is behind the last register's first.
 
-Documents that agree in all registers of a band meet there. Each bucket is a star, not a clique: its
-documents are compared with its least and its greatest member, exactly, by their shingle sets. Then
-further rounds compare, in buckets that hold more than one class, with other members drawn by
-a hash, until a round adds no link. Exact copies have one class from the start, so that only
-different texts are compared.
+Documents that agree in all registers of a band meet there. Each bucket is a star, not a clique: in
+the first bands its documents are compared with its least member, exactly, by their shingle sets.
+Then rounds over all bands compare, in buckets that still hold more than one class, documents
+outside the largest class with one of it and one of the others, drawn by a hash, until a round adds no link. Exact copies have one
+class from the start, so that only different texts are compared.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.llm.common import slices, written
@@ -28,10 +28,14 @@ from lettermill.llm.components import connected_components
 
 WORDS = 5
 SIMILARITY = 0.8
-#: At a similarity of 0.8 two documents meet in a band with 1 - (1 - 0.8**4)**24, all but 3 in a million.
-BANDS, ROWS = 24, 4
+#: At a similarity of 0.8 two documents meet in a band with 1 - (1 - 0.8**5)**24, all but 7 in 100,000, at 0.85 all but 1 in a million.
+BANDS, ROWS = 24, 5
+#: Bands of the first round; the others only compare what these haven't joined.
+FIRST_BANDS = 6
 #: Words whose hashes a Python worker remembers; beyond, it starts afresh.
 REMEMBERED = 400_000
+#: Pairs (of 16 bytes) that are broadcast at most.
+FEW_PAIRS = 250_000
 
 _hashes: dict[str, int] = {}
 
@@ -76,7 +80,7 @@ def prob_min_hash(n: int, doc: np.ndarray, shingle: np.ndarray, weight: np.ndarr
     """For each of n documents (each with a shingle at least) the first shingle of every register."""
     least = np.full(n * registers, np.inf)
     out = np.zeros(n * registers, np.uint64)
-    time, rate, count = np.zeros(len(doc)), weight.astype(np.float64), 0
+    time, rate, count = np.zeros(len(doc)), 1.0 + np.log(weight), 0
     last = np.full(n, np.inf)
     while len(doc):
         count += 1
@@ -129,30 +133,34 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             doc, shingle, _ = weighted(*shingles(batch.column("text").to_pylist(), words))
-            parts = np.split(shingle, np.searchsorted(doc, np.arange(1, batch.num_rows)))
+            parts = [np.unique(x) for x in np.split((shingle >> np.uint64(32)).astype(np.uint32), np.searchsorted(doc, np.arange(1, batch.num_rows)))]
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([x.tobytes() for x in parts], pa.binary())], names=["h", "shingles"])
 
     return docs.select("h", "text").mapInArrow(run, "h long, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of that similarity."""
+    """The pairs (a, b) of that similarity. Few pairs go to the sets, else the sets come to the pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                p, q = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
                 keep.append(min(len(p), len(q)) >= least * max(len(p), len(q)) and similarity(p, q) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_a = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a")
-    with_b = with_a.join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
-    return with_b.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    sent = F.broadcast(pairs) if pairs.count() <= FEW_PAIRS else pairs
+    with_a = sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")).join(sent, "a")
+    with_b = sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")).join(sent, "b")
+    return with_a.join(with_b, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _text_hash() -> Column:
-    return F.xxhash64("text")
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (h, comp) when links (a, b) join their components."""
+    ends = links.join(labels.select(F.col("h").alias("a"), F.col("comp").alias("x")), "a").join(labels.select(F.col("h").alias("b"), F.col("comp").alias("y")), "b")
+    merged = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return written(labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("h", F.coalesce("to", "comp").alias("comp")))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -163,34 +171,40 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     doc_id of the class (null if it has none); is_first is true of that doc_id's rows (without any, of
     the rows with one of the texts). A null text is
     empty; texts without words are in a class with equal texts alone; repeated rows are in one class; an
-    empty table gives no rows. Texts are told apart by a 64-bit hash. Only doc_id and text are read.
+    empty table gives no rows. Texts are told apart by a 64-bit
+    hash, the shingles of a pair by 32 bits. Only doc_id and text are read.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", _text_hash())
-    signed = written(_signed(keyed, words, bands, rows)).select("h", F.explode("bands").alias("band"))
-    ends = signed.groupBy("band").agg(F.min("h").alias("first"), F.max("h").alias("last")).filter("first < last")
-    met = written(signed.join(ends, "band"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    signed = written(_signed(keyed, words, bands, rows)).select("h", F.posexplode("bands").alias("i", "band"))
+    ends = signed.groupBy("i", "band").agg(F.min("h").alias("first"), F.max("h").alias("last")).filter("first < last").drop("last")
+    met = written(signed.join(ends, ["i", "band"]))
     nodes = met.select("h").distinct()
     chosen = keyed.select("h", "doc_id").groupBy("h").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("d")).join(nodes, "h", "left_semi")
     texts = keyed.select("h", F.coalesce("doc_id", F.lit(-1)).alias("d"), "text").join(chosen, ["h", "d"])  # one document of each text
     sets = written(_sets(texts, words))
-    pair = lambda x: F.struct(F.least("h", x).alias("a"), F.greatest("h", x).alias("b"))
-    pairs = met.select(F.explode(F.array(pair(F.col("first")), pair(F.col("last")))).alias("p")).select("p.a", "p.b").filter("a <> b").distinct()
-    links = written(_verified(pairs, sets, least))
-    labels, turn = connected_components(links), 0
+    first_pairs = met.filter(F.col("i") < FIRST_BANDS).filter("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
+    labels, tested, turn = sets.select("h", F.col("h").alias("comp")), written(first_pairs), 0
+    links = written(_verified(tested, sets, least))
     while True:  # until a round adds no link
-        turn += 1
-        rest = met.select("band", "h").join(labels.withColumnRenamed("node", "h"), "h", "left").select("band", "h", F.coalesce("comp", "h").alias("comp"))
-        drawn = F.struct(F.xxhash64(F.lit(turn), "h").alias("draw"), "h", "comp")
-        heads = rest.groupBy("band").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min(drawn).alias("first"), F.max(drawn).alias("last")).filter("c < d").select("band", "first", "last")
-        open_pairs = rest.join(heads, "band").select("h", "comp", F.explode(F.array("first", "last")).alias("to")).filter("comp <> to.comp")
-        fresh = open_pairs.select(F.least("h", "to.h").alias("a"), F.greatest("h", "to.h").alias("b")).distinct()
-        new = written(_verified(fresh, sets, least))
-        if not new.limit(1).count():
+        if not links.limit(1).count():
             break
-        links = written(links.unionByName(new))
-        labels = connected_components(links)
+        labels = _joined(labels, links)
+        turn += 1
+        draw = F.xxhash64(F.lit(turn), "h").alias("draw")
+        sizes = labels.groupBy("comp").agg((-F.count(F.lit(1))).alias("less"))
+        rest = met.select("i", "band", "h").join(labels.join(sizes, "comp"), "h")
+        heads = rest.groupBy("i", "band").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min(F.struct("less", draw, "h", "comp")).alias("to")).filter("c < d").select("i", "band", "to")
+        others = rest.join(heads, ["i", "band"]).filter("comp <> to.comp")  # not of the bucket's largest class
+        second = others.groupBy("i", "band").agg(F.min(F.struct(draw, "h", "comp")).alias("too"))
+        to = F.explode(F.array(F.struct("to.h", "to.comp"), F.struct("too.h", "too.comp"))).alias("to")
+        open_pairs = others.join(second, ["i", "band"]).select("h", "comp", to).filter("comp <> to.comp")
+        fresh = open_pairs.select(F.least("h", "to.h").alias("a"), F.greatest("h", "to.h").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        fresh = written(fresh)
+        tested = tested.unionByName(fresh)
+        links = written(_verified(fresh, sets, least))
+    labels = labels.withColumnRenamed("h", "node")
     light = keyed.select("doc_id", "h").join(labels.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "h", F.coalesce("comp", "h").alias("comp"))
-    classes = light.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    classes = written(light.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
     first = F.when(F.col("class_id").isNull(), F.col("h") == F.col("comp")).otherwise(F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
     return light.join(classes, "comp").select("doc_id", "class_id", "class_size", first.alias("is_first"), F.col("h").alias("text_hash"))
 
