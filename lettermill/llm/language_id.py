@@ -10,7 +10,7 @@ with the shortest exact code length wins.
 
 from __future__ import annotations
 
-import functools
+import hashlib
 import math
 import pickle
 import re
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import id_and_text, slices
+from lettermill.llm.common import id_and_text, slices, worker_state
 
 ORDER = 4
 #: The model is fitted on a bounded sample of the labelled rows: about so many documents of each language, none longer than this.
@@ -121,9 +121,8 @@ class Scorer:
         return out
 
 
-@functools.lru_cache(1)
 def scorer(pickled: bytes) -> Scorer:
-    return Scorer(pickle.loads(pickled))
+    return worker_state(("language_id", hashlib.sha1(pickled).digest()), lambda: Scorer(pickle.loads(pickled)))
 
 
 def held_out() -> Column:

@@ -10,7 +10,6 @@ text are combinations of the N - 1 smallest losses against the best paths of its
 
 from __future__ import annotations
 
-import functools
 import heapq
 import re
 import zlib
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import id_and_text, slices
+from lettermill.llm.common import id_and_text, slices, worker_state
 
 SPACE = "▁"
 #: Parts of texts that a Python worker remembers; beyond, it starts afresh.
@@ -138,16 +137,11 @@ class Lattice:
         return raw.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
 
-@functools.cache
-def lattice(model_path: str) -> Lattice:
-    return Lattice(model_path)
-
-
 class Segmenter:
     """N-best segmentation of whole texts; remembers parts that no piece crosses."""
 
     def __init__(self, model_path: str):
-        self.lattice = lattice(model_path)
+        self.lattice = Lattice(model_path)
         self.known: dict[str, tuple[float, bytes, float]] = {}
         self.more: dict[str, list[tuple[float, list[int]]]] = {}
         self.line_breaks = "\n" not in self.lattice.crossed
@@ -211,9 +205,8 @@ class Segmenter:
         return out
 
 
-@functools.cache
 def segmenter(model_path: str) -> Segmenter:
-    return Segmenter(model_path)
+    return worker_state(("nbest_pieces", model_path), lambda: Segmenter(model_path))
 
 
 SCHEMA = "doc_id long, n_best array<struct<score:double,ids:array<int>>>"
@@ -255,7 +248,7 @@ def encode_digest(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
     def row(text: str) -> tuple:
         found = segmenter(model_path).segment(text, n)
         score, ids = found[0]
-        same = lattice(model_path).decode(np.frombuffer(ids, "<u4").tolist()) == text
+        same = segmenter(model_path).lattice.decode(np.frombuffer(ids, "<u4").tolist()) == text
         return len(found), len(ids) // 4, score, zlib.crc32(ids), ",".join(f"{x:.1f}:{zlib.crc32(y)}" for x, y in found), same
 
     return _over(docs, DIGEST, row)
@@ -265,7 +258,7 @@ def decode(rows: DataFrame, model_path: str) -> DataFrame:
     """doc_id and text of rows with doc_id and ids (array<int>); null ids give a null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = lattice(model_path).decode
+        back = segmenter(model_path).lattice.decode
         for batch in batches:
             text = [None if x is None else back([i for i in x if i is not None]) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "text"])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import slices, written
+from lettermill.llm.common import slices, worker_state, written
 from lettermill.llm.components import connected_components
 
 WORDS = 5
@@ -37,9 +37,6 @@ REMEMBERED = 400_000
 #: Pairs (of 16 bytes) that are broadcast at most.
 FEW_PAIRS = 250_000
 
-_hashes: dict[str, int] = {}
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -48,12 +45,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Document and hash of every shingle; a text with fewer words is one shingle, one without words none."""
-    if len(_hashes) > REMEMBERED:
-        _hashes.clear()
+    known: dict[str, int] = worker_state("near_dedup", dict)
+    if len(known) > REMEMBERED:
+        known.clear()
     split = [t.lower().split() for t in texts]
-    for w in set().union(*split).difference(_hashes):
-        _hashes[w] = xxhash.xxh3_64_intdigest(w)
-    flat = np.fromiter(map(_hashes.__getitem__, (w for x in split for w in x)), np.uint64)
+    for w in set().union(*split).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    flat = np.fromiter(map(known.__getitem__, (w for x in split for w in x)), np.uint64)
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -117,7 +115,7 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """(h, bands) of the texts that have words; copies in the same batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             once = dict(zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True))
             doc, shingle, weight = weighted(*shingles(list(once.values()), words))
             some, doc = np.unique(doc, return_inverse=True)
@@ -131,7 +129,7 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             doc, shingle, _ = weighted(*shingles(batch.column("text").to_pylist(), words))
             parts = [np.unique(x) for x in np.split((shingle >> np.uint64(32)).astype(np.uint32), np.searchsorted(doc, np.arange(1, batch.num_rows)))]
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([x.tobytes() for x in parts], pa.binary())], names=["h", "shingles"])

@@ -8,7 +8,6 @@ token for each of its UTF-8 bytes (byte fallback).
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import id_and_text, slices, utf8_length
+from lettermill.llm.common import id_and_text, slices, utf8_length, worker_state
 
 SPACE = "▁"
 #: Pre-tokens that a Python worker remembers; beyond, it starts afresh.
@@ -88,16 +87,11 @@ class MergeTable:
             sym, seq = sym[keep], seq[keep]
 
 
-@functools.cache
-def merge_table(model_path: str) -> MergeTable:
-    return MergeTable(model_path)
-
-
 class Counter:
     """Counts tokens of whole texts; remembers pre-tokens."""
 
     def __init__(self, model_path: str):
-        self.table = merge_table(model_path)
+        self.table = MergeTable(model_path)
         self.known: dict[str, int] = {}
         inner = self.table.in_pieces
         self.breaks = [c for c in "\n\t" if c not in inner]  # no piece goes over these
@@ -137,9 +131,8 @@ class Counter:
         return [sum(map(get, x)) for x in chunked]
 
 
-@functools.cache
 def counter(model_path: str) -> Counter:
-    return Counter(model_path)
+    return worker_state(("token_counts", model_path), lambda: Counter(model_path))
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
