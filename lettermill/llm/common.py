@@ -48,11 +48,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 <
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a default is set where it is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors share; below the warehouse
+    where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/../tmp-shared"
+        base = found.get() if found.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/lettermill-shared"
     return f"{base.rstrip('/')}/lettermill-{uuid.uuid4().hex}"
 
 
