@@ -210,6 +210,8 @@ def after_thinking(text: Column) -> Column:
 
 
 def clean_json_text(text: Column) -> Column:
-    """JSON text without a byte order mark and a code fence, smart quotes as plain ones where no plain quote stands."""
-    x = strip_fence(F.regexp_replace(text, "﻿", ""))
-    return F.when(x.contains('"'), x).otherwise(F.translate(x, "“”‘’", "\"\"''"))
+    """JSON text without a byte order mark and a code fence, and with plain quotes for smart ones outside strings."""
+    x = F.regexp_replace(text, "\ufeff", "")
+    for smart, plain in (("‘’", "'"), ("“”", '"')):  # single ones first, as new double ones would look like strings
+        x = F.regexp_replace(x, rf'(?s)\G((?:[^{smart}"]++|"(?:[^"\\]++|\\.)*+(?:"|\z))*+)[{smart}]', f"$1{plain}")
+    return strip_fence(x)

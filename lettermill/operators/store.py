@@ -51,3 +51,17 @@ def fail_on_any(outcomes: DataFrame) -> None:
     if n:
         first = [r["error"] for r in bad.orderBy("file_ord").limit(20).collect()]
         raise RuntimeError(f"{n} files failed: " + "; ".join(first))
+
+
+def outcome_counts(outcomes: DataFrame) -> DataFrame:
+    """n_ok and n_failed of rows with an error column."""
+    return outcomes.agg(F.count_if(F.col("error").isNull()).alias("n_ok"), F.count_if(F.col("error").isNotNull()).alias("n_failed"))
+
+
+def dump_lines(jobs: DataFrame) -> DataFrame:
+    """A readable value for each job (job_id, status, input, result, error, created_at, updated_at), newest first, for a text sink."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NULL"))
+    stamp = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("NULL"))
+    head = [F.concat(F.lit(f"{c}: "), x) for c, x in (("job_id", shown("job_id")), ("status", shown("status")), ("created_at", stamp("created_at")), ("updated_at", stamp("updated_at")))]
+    body = [F.concat(F.lit(f"{c.upper()}:\n"), shown(c)) for c in ("input", "result", "error")]
+    return newest_first(jobs).select(F.concat_ws("\n", *head, *body, F.lit("")).alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettermill.functions import patterns as P
@@ -25,12 +25,23 @@ def prompts(units: DataFrame) -> DataFrame:
     return units.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda s: s["x"]), "\n\n").alias("prompt"))
 
 
+def answer_groups(answer: Column) -> Column:
+    """Groups (JSON text each) of a model's answer: its first array, also amid other text; null if it has none."""
+    text = X.strip_fence(X.after_thinking(answer))
+    outer = F.regexp_extract(text, r"(?s)(\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\])", 1)
+    return F.when((F.regexp_extract(text, r"[\[{]", 0) == "[") & (outer != ""), F.from_json(outer, "array<string>"))
+
+
 def group_refs(answers: DataFrame) -> DataFrame:
     """References (doc_id, label, group_ord, pos, unit_id) of model answers (doc_id, label, answer: JSON array of arrays)."""
-    text = X.strip_fence(X.after_thinking(F.col("answer")))
-    outer = F.regexp_extract(text, r"(?s)(\[\s*(?:\[[^\[\]]*\]\s*,?\s*)*\])", 1)  # the first balanced array of arrays
-    groups = F.from_json(outer, "array<array<string>>")
-    return answers.select("doc_id", "label", F.posexplode(groups).alias("group_ord", "g")).select("doc_id", "label", "group_ord", F.posexplode("g").alias("pos", "unit_id"))
+    each = answers.select("doc_id", "label", F.posexplode(answer_groups(F.col("answer"))).alias("group_ord", "g"))
+    return each.select("doc_id", "label", "group_ord", F.posexplode(F.from_json("g", "array<string>")).alias("pos", "unit_id"))
+
+
+def _once(refs: DataFrame, units: DataFrame) -> DataFrame:
+    """References to known units, numbered (n) among those of the same label to the same unit."""
+    known = refs.join(units.select("doc_id", "unit_id", "unit_no", "idx", "text"), ["doc_id", "unit_id"])
+    return known.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "label", "unit_id").orderBy("group_ord", "pos")))
 
 
 def resolve_groups(refs: DataFrame, units: DataFrame) -> DataFrame:
@@ -38,16 +49,39 @@ def resolve_groups(refs: DataFrame, units: DataFrame) -> DataFrame:
 
     Unknown units go, and of repeated references of a label the first stays.
     """
-    known = refs.join(units.select("doc_id", "unit_id", "unit_no", "idx", "text"), ["doc_id", "unit_id"])
-    w = Window.partitionBy("doc_id", "label", "unit_id").orderBy("group_ord", "pos")
-    once = known.withColumn("n", F.row_number().over(w)).filter("n = 1")
+    once = _once(refs, units).filter("n = 1")
     by_pos = F.transform(F.array_sort(F.collect_list(F.struct("pos", "unit_no"))), lambda s: s["unit_no"])
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "text"))), lambda s: s["text"])
-    g = once.groupBy("doc_id", "label", "group_ord").agg(by_pos.alias("given"), F.min("unit_no").alias("first"), F.max("unit_no").alias("last"), F.count(F.lit(1)).alias("n"), F.array_join(texts, "\n").alias("raw"))
+    g = once.groupBy("doc_id", "label", "group_ord").agg(by_pos.alias("given"), F.min("unit_no").alias("first"), F.max("unit_no").alias("last"), F.count(F.lit(1)).alias("n"))
     sorted_ids = F.transform(F.array_sort("given"), lambda n: F.concat(F.lit("U"), n.cast("string")))
-    return g.select(
-        "doc_id", "label", "group_ord", sorted_ids.alias("unit_ids"), "first", "last", (F.array_sort("given") == F.col("given")).alias("in_order"), (F.col("last") - F.col("first") + 1 == F.col("n")).alias("contiguous"), X.trim_list_mark(X.clean_block("raw")).alias("text")
-    )
+    return g.select("doc_id", "label", "group_ord", sorted_ids.alias("unit_ids"), "first", "last", (F.array_sort("given") == F.col("given")).alias("in_order"), (F.col("last") - F.col("first") + 1 == F.col("n")).alias("contiguous"))
+
+
+def with_texts(groups: DataFrame, units: DataFrame) -> DataFrame:
+    """groups (doc_id, label, group_ord, unit_ids) with text: that of their units, cleaned, paragraphs apart."""
+    each = groups.select("doc_id", "label", "group_ord", F.posexplode("unit_ids").alias("pos", "unit_id")).join(units.select("doc_id", "unit_id", "text"), ["doc_id", "unit_id"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"])
+    texts = each.groupBy("doc_id", "label", "group_ord").agg(X.trim_list_mark(X.clean_block(F.array_join(ordered, "\n\n"))).alias("text"))
+    return groups.join(texts, ["doc_id", "label", "group_ord"])
+
+
+def issues(answers: DataFrame, units: DataFrame) -> DataFrame:
+    """doc_id, label and issue of what is dropped from or odd about model answers: groups that are none,
+    unknown and repeated units, groups out of order or with gaps."""
+    each = answers.select("doc_id", "label", F.explode(answer_groups(F.col("answer"))).alias("g"))
+    refs = group_refs(answers)
+    groups = resolve_groups(refs, units)
+    listed = F.array_join("unit_ids", ",")
+    parts = [
+        each.filter(F.coalesce(F.size(F.from_json("g", "array<string>")), F.lit(0)) <= 0).select("doc_id", "label", F.concat(F.lit("no group: "), "g").alias("issue")),
+        unknown_refs(refs, units).select("doc_id", "label", F.concat(F.lit("unknown unit: "), F.coalesce("unit_id", F.lit("null"))).alias("issue")),
+        _once(refs, units).filter("n > 1").select("doc_id", "label", F.concat(F.lit("repeated unit: "), "unit_id").alias("issue")),
+        groups.filter("NOT in_order").select("doc_id", "label", F.concat(F.lit("put in order: "), listed).alias("issue")),
+        groups.filter("NOT contiguous").select("doc_id", "label", F.concat(F.lit("not contiguous: "), listed).alias("issue")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def unknown_refs(refs: DataFrame, units: DataFrame) -> DataFrame:
@@ -62,21 +96,21 @@ def discarded_units(refs: DataFrame, units: DataFrame) -> DataFrame:
 def balance_groups(groups: DataFrame) -> DataFrame:
     """Groups with the larger side merged down to the smaller: doc_id, label, group_ord, unit_ids, warning.
 
-    The surplus groups go into the last kept one (CAN_BANG) unless a unit of another group lies
-    between (MISMATCH, nothing merges); if a side has no group, the other has none either.
+    The surplus groups go into the last kept one, in their order (CAN_BANG), unless a unit that is in
+    none of them but in another group lies between (MISMATCH, nothing merges); if a side has no group,
+    the other has none either.
     """
     counts = groups.groupBy("doc_id").agg(F.count_if(F.col("label") == "KN").alias("kn"), F.count_if(F.col("label") == "TL").alias("tl"))
     w = Window.partitionBy("doc_id", "label").orderBy("group_ord")
     rows = groups.join(counts.filter("kn > 0 AND tl > 0"), "doc_id").withColumn("n", F.row_number().over(w))
     least, own = F.least("kn", "tl"), F.when(F.col("label") == "KN", F.col("kn")).otherwise(F.col("tl"))
     rows = rows.withColumns({"slot": F.least("n", least), "surplus": own > least})
-    merged = rows.filter("surplus").groupBy("doc_id", "label", "slot").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.count(F.lit(1)).alias("parts"))
-    span = merged.filter("parts > 1").select("doc_id", F.col("label").alias("of"), F.col("slot").alias("of_slot"), "lo", "hi")
-    inner = rows.select("doc_id", "label", "slot", F.explode("unit_ids").alias("u")).withColumn("u", F.substring("u", 2, 20).cast("long"))
-    blocked = span.join(inner, "doc_id").filter("u BETWEEN lo AND hi AND NOT (label = of AND slot = of_slot)").select("doc_id").distinct().withColumn("blocked", F.lit(True))
-    out = rows.join(blocked, "doc_id", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    merged = rows.filter("surplus").groupBy("doc_id", "label", "slot").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.count(F.lit(1)).alias("parts"), F.flatten(F.collect_list("unit_ids")).alias("own"))
+    inner = rows.select("doc_id", F.explode("unit_ids").alias("unit")).withColumn("u", F.substring("unit", 2, 20).cast("long"))
+    between = merged.filter("parts > 1").join(inner, "doc_id").filter("u BETWEEN lo AND hi AND NOT array_contains(own, unit)")
+    out = rows.join(between.select("doc_id").distinct().withColumn("blocked", F.lit(True)), "doc_id", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
     slot = F.when(F.col("blocked"), F.col("n")).otherwise(F.col("slot"))
-    ids = F.transform(F.array_sort(F.flatten(F.collect_list(F.transform("unit_ids", lambda u: F.substring(u, 2, 20).cast("long"))))), lambda n: F.concat(F.lit("U"), n.cast("string")))
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "unit_ids"))), lambda s: s["unit_ids"]))
     done = out.groupBy("doc_id", "label", slot.alias("group_ord")).agg(ids.alias("unit_ids"), F.bool_or("blocked").alias("blocked"), F.bool_or(F.col("kn") != F.col("tl")).alias("uneven"))
     return done.select("doc_id", "label", "group_ord", "unit_ids", F.when(F.col("blocked"), "MISMATCH").when(F.col("uneven"), "CAN_BANG").alias("warning"))
 

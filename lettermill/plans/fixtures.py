@@ -8,3 +8,10 @@ LETTERS = [
 ]
 UNITS = {"Tỉnh Alpha": 1, "Thành phố Beta Gamma": 2, "Tỉnh Beta": 3}
 PETITIONS = [(101, 1, "Đề nghị hỗ trợ nông dân trồng lúa"), (102, 2, "Xây cầu mới"), (103, 1, "Sửa trường học"), (104, 3, "Kiến nghị số 13: mua máy X quang")]
+#: With one that only a letter without a known layout answers.
+JOB_PETITIONS = [*PETITIONS, (105, 1, "Cử tri phản ánh giá điện cao, đề nghị giảm giá điện; kiến nghị minh bạch hóa đơn.")]
+
+
+def model(label: str, prompt: str, hint: str | None) -> str:
+    """Stands for a language model: groups the units of letter 4, the petitions in one group too many."""
+    return 'Here: [["U2","U3"],["U4","U77"]]' if label == "KN" else '```json\n[["U6","U5"]]\n```'

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lettermill.functions import text as X
-from lettermill.operators import letters, matching, requests, store, units
+from lettermill.operators import answering, letters, matching, modelled, requests, store, units
 from lettermill.plans import fixtures
 from lettermill.sources import files
 
@@ -183,6 +183,40 @@ def clean_text_block(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("cleaned"), F.md5(X.clean_block(F.col("text"))).alias("block"))
 
 
+def footnote_clean(spark: SparkSession, d: str) -> DataFrame:
+    return _letters(spark).filter("doc_id = 1").select("doc_id", X.remove_footnotes(F.col("text")).alias("text"))
+
+
+def letter_entities(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(1, "# Bộ Y tế trả lời\n- Đoàn đại biểu Quốc hội tỉnh Bắc Ninh;"), (2, "- Đoàn đại biểu Quốc hội tỉnh Bắc Ninh;"), (3, "Bộ Y tế")]
+    return letters.entities(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def markdown_forms(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(1, "thì **Chủ tịch** Ủy ban"), (2, "### Mục I"), (3, "(I)** Về ban hành"), (4, "Bộ trưởng ### Trịnh Việt Hùng")]
+    return spark.createDataFrame(rows, "id long, text string").select("id", X.normalize_markdown(F.col("text")).alias("tidy"), X.strip_markdown(F.col("text")).alias("plain"))
+
+
+def model_groups(spark: SparkSession, d: str) -> DataFrame:
+    out = modelled.extract(_letters(spark).filter("doc_id = 4").select("doc_id", "text"), fixtures.model)
+    return out.select("doc_id", F.col("n_units").cast("long").alias("n_units"), F.array_join("kien_nghi", "|").alias("kien_nghi"), F.array_join("tra_loi", "|").alias("tra_loi"), F.array_join("warnings", "|").alias("warnings"))
+
+
+def _job(spark: SparkSession) -> DataFrame:
+    docs = spark.createDataFrame(fixtures.LETTERS, "doc_id long, file_id string, text string")
+    return answering.answer(spark.createDataFrame(fixtures.JOB_PETITIONS, "petition_id long, donvi_id long, noi_dung string"), docs, fixtures.UNITS, fixtures.model)
+
+
+def job_answers(spark: SparkSession, d: str) -> DataFrame:
+    first = F.get("answers", 0)
+    out = answering.formatted(_job(spark), plain_text=True)
+    return out.select(F.col("`KN_KIENNGHI.ID`").alias("petition_id"), first["file_id"].alias("file_id"), first["content"].alias("content"), first["metadata"]["so_cong_van"].alias("so_cong_van"))
+
+
+def job_totals(spark: SparkSession, d: str) -> DataFrame:
+    return answering.totals(_job(spark))
+
+
 def log_job_stats(spark: SparkSession, d: str) -> DataFrame:
     raw = ["2026-09-16 10:00:01 [INFO] [pipeline:12] - done in 31.79 s", "2026-09-16 10:00:02 [ERROR] [pipeline:13] - failed", "no log line", "2026-09-16 10:00:03 [INFO] [llm:7] - done in 7.41 s"]
     return files.parse_log(spark.createDataFrame([(x,) for x in raw], "value string")).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
@@ -204,6 +238,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         norm_tokens, jaccard_best_match, jaccard_threshold_match, match_summary, donvi_semi_filter, donvi_guard_empty, turn_pairs_asof, turn_stop_boundary, section_slice_agg, segment_units,
         header_lines, has_structure, head_tail_lines, letter_numbers, fmt_classify, extract_pairs, donvi_lookup, letter_matches, group_validate, discarded_units, balance_merge, file_sha256,
         cache_key, cache_upsert_latest, cache_probe, job_status_map, jobs_newest_first, pending_anti, parse_requests, clean_text_block, log_job_stats, fmt_rollup, event_window,
+        footnote_clean, letter_entities, markdown_forms, model_groups, job_answers, job_totals,
     )
 }
 
@@ -216,6 +251,11 @@ _SCORES = f"""
 _LINES = r"regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')"
 _NUMBERED = f"SELECT doc_id, unnest(l) AS line, unnest(generate_series(0, len(l) - 1)) AS ln FROM (SELECT doc_id, {_LINES} AS l FROM documents)"
 
+_WS = r"[\s\v\pZ\x{85}]"
+_CUES = r"(Đề nghị|Kiến nghị|Đồng thời[, ]+đề nghị|Ngoài ra,?\s*đề nghị|Bên cạnh đó,?\s*đề nghị)([^\pL\pN_]|$)"
+_ROW = f"regexp_replace(r, '^{_WS}+|{_WS}+$', '', 'g')"
+_PIECES = rf"CASE WHEN {_ROW} = '' OR regexp_matches({_ROW}, '^#{{1,6}}\s') THEN [{_ROW}] ELSE list_filter(string_split(regexp_replace({_ROW}, '([.;])\s*{_CUES}', '\1' || chr(1) || '\2\3', 'g'), chr(1)), lambda p: trim(p) <> '') END"
+
 ORACLE_SQL: dict[str, str] = {
     "norm_tokens": f"SELECT doc_id, array_to_string(list_sort({_TOKENS}), ' ') AS tokens FROM documents",
     "jaccard_best_match": f"{_SCORES} SELECT b.item_id AS petition_id, coalesce(r.doc_id, (SELECT min(doc_id) FROM documents)) AS pair_ord, round(coalesce(score, 0.0), 6) AS score FROM benchmark b LEFT JOIN r ON r.item_id = b.item_id AND k = 1",
@@ -236,6 +276,27 @@ ORACLE_SQL: dict[str, str] = {
     "group_validate": "SELECT * FROM (VALUES (CAST(4 AS BIGINT), 'KN', CAST(0 AS BIGINT), 'U2', true, true), (4, 'KN', 1, 'U3', true, true), (4, 'KN', 2, 'U4', true, true), (4, 'TL', 0, 'U5,U6', false, true)) t(doc_id, label, group_ord, unit_ids, in_order, contiguous)",
     "discarded_units": "SELECT CAST(4 AS BIGINT) AS doc_id, 'U1' AS unit_id",
     "balance_merge": "SELECT * FROM (VALUES (CAST(4 AS BIGINT), 'KN', CAST(1 AS BIGINT), 'U2,U3,U4', 'CAN_BANG'), (4, 'TL', 1, 'U5,U6', 'CAN_BANG')) t(doc_id, label, group_ord, unit_ids, warning)",
+    "segment_units": f"""
+        WITH p AS (SELECT doc_id, flatten(list_transform(string_split(regexp_replace(coalesce(text, ''), '^{_WS}+|{_WS}+$', '', 'g'), chr(10)), lambda r: {_PIECES})) AS p FROM documents),
+        u AS (SELECT doc_id, unnest(p) AS text, unnest(generate_series(0, len(p) - 1)) AS idx FROM p)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS INTEGER) AS unit_no, CAST(idx AS INTEGER) AS idx, CAST(length(text) AS INTEGER) AS n_chars FROM u WHERE text <> ''""",
+    "extract_pairs": """SELECT * FROM (VALUES
+        (CAST(1 AS BIGINT), 'f1', CAST(0 AS BIGINT), 'Đề nghị hỗ trợ nông dân trồng lúa.', 'Bộ đã ban hành chính sách hỗ trợ nông dân trong **năm 2026**.'),
+        (2, 'f2', 0, 'Xây cầu mới qua sông.', 'Đang lập dự án.' || chr(10) || 'Nội dung kiến nghị đã được ghi nhận.'),
+        (2, 'f2', 100000, 'Sửa đường liên xã.', 'Đã bố trí vốn.'),
+        (3, 'f3', 0, '(1) Kiến nghị số 04: Tăng bác sĩ cho xã.', 'Mở đầu chung.' || chr(10) || 'Sẽ tăng biên chế.'),
+        (3, 'f3', 1, '(2) Kiến nghị số 13: Mua máy X quang.', 'Mở đầu chung.' || chr(10) || 'Sẽ tăng biên chế.'),
+        (3, 'f3', 2, '(3) Kiến nghị số 99: Giảm viện phí.', 'Mở đầu chung.' || chr(10) || '2.1. Về kiến nghị số 04 và số 13' || chr(10) || 'Sẽ tăng biên chế.' || chr(10) || '2.2. Đối với kiến nghị số 20' || chr(10) || 'Nội dung khác.')
+        ) t(doc_id, label, pair_ord, noi_dung, tra_loi)""",
+    "letter_entities": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'Bộ Y tế', 'Đoàn đại biểu Quốc hội tỉnh Bắc Ninh'), (2, NULL, NULL), (3, NULL, NULL)) t(doc_id, bo, daibieu)",
+    "markdown_forms": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'thì **Chủ tịch** Ủy ban', 'thì Chủ tịch Ủy ban'), (2, '### Mục I', 'Mục I'), (3, '(I) Về ban hành', '(I) Về ban hành'), (4, 'Bộ trưởng Trịnh Việt Hùng', 'Bộ trưởng Trịnh Việt Hùng')) t(id, tidy, plain)",
+    "model_groups": "SELECT CAST(4 AS BIGINT) AS doc_id, CAST(6 AS BIGINT) AS n_units, 'Cử tri phản ánh giá điện cao.' || chr(10) || chr(10) || 'Đề nghị giảm giá điện;' || chr(10) || chr(10) || 'Kiến nghị minh bạch hóa đơn.' AS kien_nghi, '(1) Về giá điện' || chr(10) || chr(10) || 'Giá điện được điều chỉnh theo quy định.' AS tra_loi, 'VALIDATE: KN unknown unit: U77|VALIDATE: TL put in order: U5,U6|CAN_BANG' AS warnings",
+    "job_answers": """SELECT * FROM (VALUES
+        (CAST(101 AS BIGINT), 'FILE_001', 'Bộ đã ban hành chính sách hỗ trợ nông dân trong năm 2026.', '7880/BNNMT-TTTV'), (102, 'FILE_002', 'Đang lập dự án. Nội dung kiến nghị đã được ghi nhận.', '7093/BNNMT-VPĐP'), (103, NULL, NULL, NULL),
+        (105, 'FILE_004', '(1) Về giá điện' || chr(10) || chr(10) || 'Giá điện được điều chỉnh theo quy định.', NULL)) t(petition_id, file_id, content, so_cong_van)""",
+    "job_totals": "SELECT CAST(3 AS BIGINT) AS matched_count, CAST(1 AS BIGINT) AS unmatched_count",
+    "footnote_clean": """SELECT CAST(1 AS BIGINT) AS doc_id, '**Số:** 7880 /BNNMT-TTTV' || chr(10) || 'Hà Nội, ngày 5 tháng 8 năm 2026' || chr(10) || 'Kính gửi: Đoàn đại biểu Quốc hội tỉnh Alpha' || chr(10) || '## 1. Nội dung kiến nghị của cử tri' || chr(10) || '“Đề nghị hỗ trợ nông dân trồng lúa.”' || chr(10)
+        || '## 2. Kết quả nghiên cứu, giải quyết và trả lời kiến nghị' || chr(10) || 'Bộ đã ban hành chính sách hỗ trợ nông dân trong **năm 2026**.' || chr(10) || 'Nơi nhận:' || chr(10) || '**BỘ TRƯỞNG Nguyễn Văn A**' AS text""",
     "file_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "cache_key": "SELECT doc_id, sha256(text || chr(10) || sha256(text) || chr(10) || source) AS cache_key FROM documents",
     "cache_upsert_latest": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k = 1",

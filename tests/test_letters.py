@@ -1,9 +1,9 @@
 from pyspark.sql import functions as F
 
 from lettermill.functions import text as X
-from lettermill.operators import letters, matching, store, units
+from lettermill.operators import answering, letters, matching, modelled, store, units
 from lettermill.plans import fixtures
-from lettermill.sources import files
+from lettermill.sources import files, tables
 from lettermill.streaming import jobs
 
 
@@ -70,3 +70,57 @@ def test_cache_and_sources(spark, tmp_path):
     q = jobs.run_jobs(jobs.read_jobs(spark, str(tmp_path / "in")), lambda b: b.select("cache_key", F.lit("ok").alias("result"), F.lit(None).cast("string").alias("error")), str(tmp_path / "states"), str(tmp_path / "ckpt"))
     q.awaitTermination()
     assert {(r.job_id, r.status) for r in spark.read.parquet(str(tmp_path / "states")).collect()} == {("j", "succeeded"), ("i", "succeeded")}
+
+
+def test_model_answers(spark):
+    rows = [("[[\"U1\"],[],\"U2\"] rest", 3), ("so: [1] [[\"U1\"]]", 1), ("{\"a\": [[\"U1\"]]}", None), ("none", None), (None, None)]
+    d = spark.createDataFrame([(x,) for x, _ in rows], "a string").select("a", F.size(units.answer_groups(F.col("a"))).alias("n"), units.answer_groups(F.col("a")).isNull().alias("none"))
+    assert {r.a: None if r.none else r.n for r in d.collect()} == dict(rows)
+    smart = spark.createDataFrame([("[“a”, \"b “c” \\\" ”\", ‘d’]",)], "t string").select(X.clean_json_text(F.col("t"))).first()[0]
+    assert smart == "[\"a\", \"b “c” \\\" ”\", 'd']"
+
+
+def test_balance(spark):
+    groups = "doc_id long, label string, group_ord int, unit_ids array<string>, first int, last int"
+    apart = [(1, "KN", 0, ["U1"], 1, 1), (1, "KN", 1, ["U4"], 4, 4), (1, "TL", 0, ["U2"], 2, 2)]
+    near = [(2, "KN", 0, ["U4"], 4, 4), (2, "KN", 1, ["U3"], 3, 3), (2, "TL", 0, ["U3", "U5"], 3, 5), (3, "KN", 0, ["U1"], 1, 1)]
+    got = {(r.doc_id, r.label, r.group_ord): (r.unit_ids, r.warning) for r in units.balance_groups(spark.createDataFrame(apart + near, groups)).collect()}
+    assert got == {
+        (1, "KN", 1): (["U1"], "MISMATCH"), (1, "KN", 2): (["U4"], "MISMATCH"), (1, "TL", 1): (["U2"], "MISMATCH"),
+        (2, "KN", 1): (["U4", "U3"], "CAN_BANG"), (2, "TL", 1): (["U3", "U5"], "CAN_BANG"),
+    }
+
+
+def test_model_is_asked_again_with_a_hint(spark):
+    def model(label, prompt, hint):
+        if "failing" in prompt:
+            raise ValueError("down")
+        if label == "KN":
+            return '[["U1"]]' if hint else "no array"
+        return '[["U2"]]'
+
+    docs = spark.createDataFrame([(1, "Hỏi a.\nTrả lời b."), (2, " "), (3, "failing"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in modelled.extract(docs, model).collect()}
+    assert (got[1].kien_nghi, got[1].tra_loi, got[1].warnings, got[1].error) == (["Hỏi a."], ["Trả lời b."], [], None)
+    assert [b.label for b in got[1].blocks] == ["KN", "TL"] and got[1].n_units == 2
+    assert got[2].warnings == got[4].warnings == ["KHONG_UNIT"] and got[2].n_units == 0 and got[2].kien_nghi == []
+    assert "down" in got[3].error
+    assert modelled.pairs(modelled.extract(docs.filter("doc_id < 3"), model)).count() == 1
+
+
+def test_job(spark):
+    docs = spark.createDataFrame(fixtures.LETTERS[:2], "doc_id long, file_id string, text string")
+    petitions = spark.createDataFrame([(101, 1, "Đề nghị hỗ trợ nông dân trồng lúa"), (104, 3, "x")], "petition_id long, donvi_id long, noi_dung string")
+    got = {r["KN_KIENNGHI.ID"]: r.answers for r in answering.answer(petitions, docs, fixtures.UNITS, keep_filtered=True).collect()}
+    assert got[101][0].file_id == "FILE_001" and got[101][0].metadata.so_cong_van == "7880/BNNMT-TTTV" and got[104] == []
+    assert answering.answer(petitions, docs, fixtures.UNITS).count() == 1
+
+
+def test_tables_and_dump(spark):
+    tables.create_tables(spark)
+    tables.create_tables(spark)
+    assert spark.table("jobs").count() == 0
+    jobs_ = spark.sql("SELECT 'a' AS job_id, 'failed' AS status, '{}' AS input, NULL AS result, 'e' AS error, timestamp'2026-01-01' AS created_at, timestamp'2026-01-02' AS updated_at UNION ALL SELECT 'b', 'succeeded', '[]', '1', NULL, timestamp'2026-01-03', NULL")
+    lines = [r.value for r in store.dump_lines(jobs_).collect()]
+    assert lines[0].startswith("job_id: b\n") and "updated_at: NULL" in lines[0] and "RESULT:\nNULL" in lines[1]
+    assert tuple(store.outcome_counts(jobs_).first()) == (1, 1)
