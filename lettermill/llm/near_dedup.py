@@ -9,8 +9,10 @@ round by round, and a shingle ends as soon as its next arrival is behind the las
 Documents that agree in all registers of a band meet there. Each bucket is a star, not a clique: in
 the first bands its documents are compared with its least member, exactly, by their shingle sets.
 Then rounds over all bands compare, in buckets that still hold more than one class, documents
-outside the largest class with one of it and one of the others, drawn by a hash, until a round adds no link. Exact copies have one
-class from the start, so that only different texts are compared.
+outside the largest class with one of it and one of the others, drawn by a hash, until a round adds no link.
+What links are left in such buckets a prefix filter finds exactly: under any order of shingles, two
+similar sets share one of the first few of either, and an order by a count sketch puts rare ones first.
+Exact copies have one class from the start, so that only different texts are compared.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ BANDS, ROWS = 24, 5
 FIRST_BANDS = 6
 #: Words whose hashes a Python worker remembers; beyond, it starts afresh.
 REMEMBERED = 400_000
+#: Cells of the count sketch of shingles, which is broadcast (8 MB whatever the input).
+CELLS = 1 << 20
 #: Pairs (of 16 bytes) that are broadcast at most.
 FEW_PAIRS = 250_000
 
@@ -161,6 +165,55 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("h", F.coalesce("to", "comp").alias("comp")))
 
 
+def _open(met: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Members (i, band, h, comp) of buckets, and of the buckets of several classes a text (to) of the largest, drawn by turn."""
+    draw = F.xxhash64(F.lit(turn), "h").alias("draw")
+    sizes = labels.groupBy("comp").agg((-F.count(F.lit(1))).alias("less"))
+    rest = met.select("i", "band", "h").join(labels.join(sizes, "comp"), "h")
+    heads = rest.groupBy("i", "band").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min(F.struct("less", draw, "h", "comp")).alias("to"))
+    return rest, heads.filter("c < d").select("i", "band", "to")
+
+
+def _left(met: DataFrame, labels: DataFrame, sets: DataFrame, tested: DataFrame, least: float) -> DataFrame:
+    """Untested pairs (a, b) of different classes that can be similar, of which one is in an open bucket outside its largest class.
+
+    Sets of n and at least least * n shingles in common share one of their first n - ceil(least * n) + 1.
+    """
+    rest, heads = _open(met, labels, 0)
+    sides = rest.join(heads, ["i", "band"]).groupBy("h").agg(F.first("comp").alias("comp"), F.bool_or(F.col("comp") != F.col("to.comp")).alias("out"))
+    mine = written(sets.join(sides, "h"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for batch in slices(batches, "shingles"):
+            cells += np.bincount(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint32) % CELLS, minlength=CELLS)
+        some = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], names=["cell", "n"])
+
+    counted = mine.select("shingles").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = np.zeros(CELLS, np.int64)
+    cells[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    sent = mine.sparkSession.sparkContext.broadcast(cells)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "shingles"):
+            parts, sizes, kept = [], [], []
+            for raw in batch.column("shingles").to_pylist():
+                x = np.frombuffer(raw, np.uint32)
+                keep = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1
+                parts.append(x[np.lexsort((x, sent.value[x % CELLS]))[:keep]])
+                sizes.append(len(x)), kept.append(len(parts[-1]))
+            row = pa.array(np.repeat(np.arange(batch.num_rows), kept))
+            made = [batch.column(c).take(row) for c in ("h", "comp", "out")]
+            yield pa.RecordBatch.from_arrays([*made, pa.array(np.repeat(sizes, kept).astype(np.int64)), pa.array(np.concatenate(parts).astype(np.int64))], names=["h", "comp", "out", "n", "s"])
+
+    prefixes = mine.mapInArrow(first, "h long, comp long, out boolean, n long, s long")
+    others = prefixes.select("s", F.col("h").alias("g"), F.col("comp").alias("comp_g"), F.col("n").alias("m"))
+    fits = (F.col("comp") != F.col("comp_g")) & (F.col("n") >= least * F.col("m") - 1e-9) & (F.col("m") >= least * F.col("n") - 1e-9)
+    pairs = prefixes.filter("out").join(others, "s").filter(fits).select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
+    return written(pairs.join(tested, ["a", "b"], "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, class_size, is_first and text_hash of every document.
 
@@ -189,9 +242,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
         labels = _joined(labels, links)
         turn += 1
         draw = F.xxhash64(F.lit(turn), "h").alias("draw")
-        sizes = labels.groupBy("comp").agg((-F.count(F.lit(1))).alias("less"))
-        rest = met.select("i", "band", "h").join(labels.join(sizes, "comp"), "h")
-        heads = rest.groupBy("i", "band").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min(F.struct("less", draw, "h", "comp")).alias("to")).filter("c < d").select("i", "band", "to")
+        rest, heads = _open(met, labels, turn)
         others = rest.join(heads, ["i", "band"]).filter("comp <> to.comp")  # not of the bucket's largest class
         second = others.groupBy("i", "band").agg(F.min(F.struct(draw, "h", "comp")).alias("too"))
         to = F.explode(F.array(F.struct("to.h", "to.comp"), F.struct("too.h", "too.comp"))).alias("to")
@@ -200,6 +251,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
         fresh = written(fresh)
         tested = tested.unionByName(fresh)
         links = written(_verified(fresh, sets, least))
+    links = written(_verified(_left(met, labels, sets, tested, least), sets, least))
+    if links.limit(1).count():
+        labels = _joined(labels, links)
     labels = labels.withColumnRenamed("h", "node")
     light = keyed.select("doc_id", "h").join(labels.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "h", F.coalesce("comp", "h").alias("comp"))
     classes = written(light.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))

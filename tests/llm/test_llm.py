@@ -138,6 +138,26 @@ def test_op5_near_duplicates(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_op5_finds_every_link_of_a_chain(spark):
+    words = [f"w{i}" for i in range(1000)]
+    texts = [" ".join(words[11 * i : 11 * i + 104]) for i in range(80)]  # neighbours have a similarity of 89 / 111, others less than 0.8
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.class_size for r in near_dedup.near_duplicates(rows).collect()} == {80}
+
+
+def test_op5_left_links(spark):
+    """What no round has shown: texts of a bucket in classes of their own, though some are similar."""
+    sets = [np.arange(a, a + 100, dtype=np.uint32) for a in (0, 5, 60, 300)]
+    kept = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "h long, shingles binary")
+    met = spark.createDataFrame([(0, 1, i) for i in range(4)], "i int, band long, h long")
+    labels = kept.select("h", F.col("h").alias("comp"))
+    tested = spark.createDataFrame([], "a long, b long")
+    pairs = near_dedup._left(met, labels, kept, tested, 0.8)
+    assert {(r.a, r.b) for r in near_dedup._verified(pairs, kept, 0.8).collect()} == {(0, 1)}
+    done = spark.createDataFrame([(0, 1)], "a long, b long")
+    assert near_dedup._left(met, labels, kept, done, 0.8).filter("a = 0 AND b = 1").count() == 0
+
+
 def test_op5_probability_jaccard():
     a, b = np.arange(0, 80, dtype=np.uint64), np.arange(20, 100, dtype=np.uint64)
     doc = np.repeat([0, 1], 80)
