@@ -5,6 +5,9 @@ A document is the set of its shingles (words in a row), weighted by 1 + ln of ho
 registers at random, and a register keeps the shingle that came first. Two documents agree in a
 register with the probability Jaccard similarity of their weights. The arrivals of all shingles come
 round by round, and a shingle ends as soon as its next arrival is behind the last register's first.
+Links are of the plain sets, which can be far more similar than the weights where a line is repeated in
+one document alone. So all registers are also drawn with weights of 1, which makes it the Jaccard similarity
+of the sets, and documents are candidates that meet by the ones or the others (the same ones where nothing is repeated).
 
 Documents that agree in all registers of a band meet there. Each bucket is a star, not a clique: in
 the first bands its documents are compared with its least member, exactly, by their shingle sets.
@@ -30,7 +33,7 @@ from lettermill.llm.components import connected_components
 
 WORDS = 5
 SIMILARITY = 0.8
-#: At a similarity of 0.8 two documents meet in a band with 1 - (1 - 0.8**5)**24, all but 7 in 100,000, at 0.85 all but 1 in a million.
+#: At a similarity of 0.8 (of the plain sets) two documents meet in a band with 1 - (1 - 0.8**5)**24, all but 7 in 100,000, at 0.85 all but 1 in a million.
 BANDS, ROWS = 24, 5
 #: Bands of the first round; the others only compare what these haven't joined.
 FIRST_BANDS = 6
@@ -79,7 +82,7 @@ def weighted(doc: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def prob_min_hash(n: int, doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, registers: int) -> np.ndarray:
-    """For each of n documents (each with a shingle at least) the first shingle of every register."""
+    """For each of n documents (each with a shingle at least) the first shingle of every register; weight is a count, whose rate is 1 + ln."""
     least = np.full(n * registers, np.inf)
     out = np.zeros(n * registers, np.uint64)
     time, rate, count = np.zeros(len(doc)), 1.0 + np.log(weight), 0
@@ -116,7 +119,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(h, bands) of the texts that have words; copies in the same batch once."""
+    """(h, bands) of the texts that have words; copies in the same batch once.
+
+    A row has the bands by plain sets; a text that repeats shingles has another, with the bands by weights (null where they are the same).
+    """
+    hashes = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -124,9 +131,15 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             doc, shingle, weight = weighted(*shingles(list(once.values()), words))
             some, doc = np.unique(doc, return_inverse=True)
             if len(some):
-                made = band_hashes(prob_min_hash(len(some), doc, shingle, weight, bands * rows), bands)
                 h = np.array(list(once), np.int64)[some]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.FixedSizeListArray.from_arrays(pa.array(made.ravel()), bands).cast(pa.list_(pa.int64()))], names=["h", "bands"])
+                plain = band_hashes(prob_min_hash(len(some), doc, shingle, np.ones(len(doc)), bands * rows), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.FixedSizeListArray.from_arrays(pa.array(plain.ravel()), bands).cast(hashes)], names=["h", "bands"])
+                uneven = np.unique(doc[weight > 1])
+                if len(uneven):
+                    of = np.isin(doc, uneven)
+                    made = band_hashes(prob_min_hash(len(uneven), np.searchsorted(uneven, doc[of]), shingle[of], weight[of], bands * rows), bands)
+                    new = pa.array(made.ravel(), mask=(made == plain[uneven]).ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array(h[uneven]), pa.FixedSizeListArray.from_arrays(new, bands).cast(hashes)], names=["h", "bands"])
 
     return docs.select("h", "text").mapInArrow(run, "h long, bands array<long>")
 
@@ -226,7 +239,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     hash, the shingles of a pair by 32 bits. Only doc_id and text are read.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    signed = written(_signed(keyed, words, bands, rows)).select("h", F.posexplode("bands").alias("i", "band"))
+    signed = written(_signed(keyed, words, bands, rows)).select("h", F.posexplode("bands").alias("i", "band")).filter("band IS NOT NULL")
     ends = signed.groupBy("i", "band").agg(F.min("h").alias("first"), F.max("h").alias("last")).filter("first < last").drop("last")
     met = written(signed.join(ends, ["i", "band"]))
     nodes = met.select("h").distinct()

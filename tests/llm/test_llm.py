@@ -145,6 +145,17 @@ def test_op5_finds_every_link_of_a_chain(spark):
     assert {r.class_size for r in near_dedup.near_duplicates(rows).collect()} == {80}
 
 
+def test_op5_near_copies_that_repeat_lines_differently(spark):
+    texts = []
+    for i in range(40):
+        w = [f"d{i}w{j}" for j in range(200)]
+        texts += [" ".join(w[:50] * 60 + w[50:]), " ".join([*w[:190], "new", *w[191:]])]
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    assert all(len(sets[i] & sets[i + 1]) >= 0.9 * len(sets[i] | sets[i + 1]) for i in range(0, 80, 2))
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(80)}
+
+
 def test_op5_left_links(spark):
     """What no round has shown: texts of a bucket in classes of their own, though some are similar."""
     sets = [np.arange(a, a + 100, dtype=np.uint32) for a in (0, 5, 60, 300)]
