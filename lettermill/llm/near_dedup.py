@@ -203,9 +203,9 @@ def _left(met: DataFrame, labels: DataFrame, sets: DataFrame, tested: DataFrame,
         some = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], names=["cell", "n"])
 
-    counted = mine.select("shingles").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counted = mine.select("shingles").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows of two numbers
     cells = np.zeros(CELLS, np.int64)
-    cells[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    cells[counted["cell"].to_numpy()] = counted["n"].to_numpy()
     sent = mine.sparkSession.sparkContext.broadcast(cells)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +243,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
     ends = signed.groupBy("i", "band").agg(F.min("h").alias("first"), F.max("h").alias("last")).filter("first < last").drop("last")
     met = written(signed.join(ends, ["i", "band"]))
     nodes = met.select("h").distinct()
-    chosen = keyed.select("h", "doc_id").groupBy("h").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("d")).join(nodes, "h", "left_semi")
-    texts = keyed.select("h", F.coalesce("doc_id", F.lit(-1)).alias("d"), "text").join(chosen, ["h", "d"])  # one document of each text
+    texts = keyed.groupBy("h").agg(F.first("text").alias("text")).join(nodes, "h", "left_semi")  # each text once, however its rows repeat; copies go before the shuffle
     sets = written(_sets(texts, words))
     first_pairs = met.filter(F.col("i") < FIRST_BANDS).filter("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
     labels, tested, turn = sets.select("h", F.col("h").alias("comp")), written(first_pairs), 0

@@ -156,6 +156,14 @@ def test_op5_near_copies_that_repeat_lines_differently(spark):
     assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(80)}
 
 
+def test_op5_one_row_for_each_document_where_rows_repeat(spark):
+    words = [f"w{i}" for i in range(200)]
+    t, near, u = " ".join(words), " ".join([*words[:-1], "new"]), " ".join(words[::-1])
+    rows = [(1, t), (1, t), (2, near), *[(None, u)] * 7, (9, u[:-2] + "new")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == {(1, 1, 3): 2, (2, 1, 3): 1, (None, 9, 8): 7, (9, 9, 8): 1}
+
+
 def test_op5_left_links(spark):
     """What no round has shown: texts of a bucket in classes of their own, though some are similar."""
     sets = [np.arange(a, a + 100, dtype=np.uint32) for a in (0, 5, 60, 300)]
