@@ -27,11 +27,49 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-NC-4.0-line": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0-line": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0-line": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "Apache-1.1": "Licensed under the Apache License, Version 1.1.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "ARR": "All rights reserved.",
 }
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
+NC, SA, ND = r"\W*non\W?commercial", r"\W*share\W?alike", r"\W*no\W?deriv\w*"
+
+
+def _cc(kind: str) -> str:
+    return rf"\battribution{kind}\W+(?:(?:international|public|licen[sc]e|version|v|cc|by)\W+){{0,3}}4\.0(?!\.?\d)"
+
+
+def _gpl(n: int) -> str:
+    return rf"\bgnu\W+general\W+public\W+licen[sc]e\W+(?:gpl\W+)?(?:(?:version|v)?\W*\d(?:\.\d)?\W+(?:and|or)\W+)?(?:version\W+|v\W*)?{n}(?:\.0)?\b(?!\.\d)"
+
+
+def _apache(n: str) -> str:
+    return rf"\bapache\W+(?:\w+\W+){{0,3}}?{re.escape(n)}(?!\.?\d)"
+
+
+#: What tells a template from its siblings, whatever the coverage: it stands in the aligned span, or up to TAIL words behind.
+TELLING = {
+    "Apache-2.0": _apache("2.0"),
+    "Apache-2.0-notice": _apache("2.0"),
+    "Apache-1.1": _apache("1.1"),
+    "GPL-3.0": _gpl(3),
+    "GPL-2.0": _gpl(2),
+    "GPL-notice": r"\bgnu\W+general\W+public\W+licen[sc]e",
+    "CC-BY-4.0": _cc(""),
+    "CC-BY-NC-4.0-line": _cc(NC),
+    "CC-BY-SA-4.0-line": _cc(SA),
+    "CC-BY-ND-4.0-line": _cc(ND),
+    "CC-BY-NC-SA-4.0-line": _cc(NC + SA),
+    "CC-BY-NC-ND-4.0-line": _cc(NC + ND),
+}
+TAIL = 3
 #: Aligned share of a template from which a text carries the license.
 COVERAGE = 0.85
 #: A template's words in a text lie at most so many times its length apart.
@@ -86,7 +124,8 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], telling: dict[str, str] | None = None):
+        self.telling = {k: re.compile(v, re.IGNORECASE) for k, v in (telling or {}).items()}
         self.templates = {k: words_of(v) for k, v in sorted(templates.items())}
         self.words = {w for t in self.templates.values() for w in t}
         self.vocabulary = {k: Counter(t) for k, t in self.templates.items()}
@@ -120,8 +159,13 @@ class Scanner:
         for name in self.templates:
             best = (0.0, 0, -1)
             for part in self.windows(lower, name, coverage):
-                if pairs := align([w for _, w in part], self.templates[name]):
-                    best = max(best, (len(pairs) / len(self.templates[name]), -part[pairs[0][0]][0], part[pairs[-1][0]][0]))
+                pairs = align([w for _, w in part], self.templates[name])
+                if not pairs or len(pairs) < coverage * len(self.templates[name]):
+                    continue
+                first, last = part[pairs[0][0]][0], part[pairs[-1][0]][0]
+                if name in self.telling and not self.telling[name].search(text, matches[first][0], matches[min(last + TAIL, len(matches) - 1)][1]):
+                    continue
+                best = max(best, (len(pairs) / len(self.templates[name]), -first, last))
             if best[0] >= coverage:
                 out.append((name, best[0], matches[-best[1]][0], matches[best[2]][1]))
         return out
@@ -135,13 +179,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
 
     license, coverage and the span in characters are of the template with the largest coverage (of
     equals the longest, then the first by name), null without one; all_licenses has the names of all
-    templates with the coverage, joined by commas. A null or empty text has none; a null doc_id stays
+    templates with the coverage, joined by commas. The own templates also need what tells them from their
+    siblings (see TELLING). A null or empty text has none; a null doc_id stays
     null; repeated rows give repeated rows; an empty table gives no rows. Only doc_id and text are read.
     """
-    chosen = dict(TEMPLATES if templates is None else templates)
+    chosen, telling = (dict(TEMPLATES), dict(TELLING)) if templates is None else (dict(templates), {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(chosen)
+        scanner = Scanner(chosen, telling)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
         for batch in slices(batches, "text"):

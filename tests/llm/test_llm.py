@@ -77,6 +77,29 @@ def test_op2_licenses(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def test_op2_telling_words(spark):
+    cc = "Intro. This work is licensed under a Creative Commons {} International License. More words"
+    texts = {
+        cc.format("Attribution-NonCommercial 4.0"): "CC-BY-NC-4.0-line",
+        cc.format("Attribution-ShareAlike 4.0"): "CC-BY-SA-4.0-line",
+        cc.format("Attribution-NoDerivatives 4.0"): "CC-BY-ND-4.0-line",
+        cc.format("Attribution-NonCommercial-ShareAlike 4.0"): "CC-BY-NC-SA-4.0-line",
+        cc.format("Attribution Non Commercial 4.0"): "CC-BY-NC-4.0-line",
+        cc.format("Attribution 3.0"): None,
+        cc.format("Attribution 4.0"): "CC-BY-4.0",
+        "This work is licensed under the GNU General Public License, version 2. See section 3.": "GPL-2.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": None,
+        "This work is licensed under the GNU General Public License, version 3.0": "GPL-3.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "Licensed under the Apache License, Version 1.1.": "Apache-1.1",
+        "Licensed under the Apache License 2.0": "Apache-2.0",
+        **{v: k for k, v in licenses.TEMPLATES.items() if k != "Apache-2.0-notice"},
+    }
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.license for r in sorted(got, key=lambda r: r.doc_id)] == list(texts.values())
+    assert all(r.n_licenses == (r.license is not None) for r in got)
+
+
 def test_op3_packing(spark):
     got = packing.pack(odd(spark, sample(80)), WORDS).toPandas()
     for _, s in got.groupby("sequence_id"):
