@@ -100,7 +100,8 @@ def blocks(vectors: DataFrame, size: int, query: bool) -> DataFrame:
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     if query:
-        rows = rows.filter(F.col("vec_id") % 50 == 0).groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
+        finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))  # NaN would be the greatest
+        rows = rows.filter((F.col("vec_id") % 50 == 0) & finite).groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
     return rows.mapInArrow(run, "dims int, n int, ids binary, values binary")
 
 

@@ -223,6 +223,13 @@ def test_op6_topk(spark):
     assert exact_topk.top_k(rows.filter("false")).count() == 0
 
 
+def test_op6_repeated_query_with_an_invalid_row(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [0.5, 0.5]), (0, [nan, 0.5]), (50, [0.5, 0.25]), (50, [inf, 0.5]), (100, [0.25, 0.5]), (100, [0.25, None]), (100, None), (1, [1.0, 1.0])]
+    got = exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter(r.query_id for r in got) == {0: 3, 50: 3, 100: 3}
+
+
 def test_op7_suffix_dedup(spark):
     rng = random.Random(5)
     parts = ["".join(rng.choices("abc é", k=rng.randrange(20, 300))) for _ in range(12)]
