@@ -9,12 +9,11 @@ Links are of the plain sets, which can be far more similar than the weights wher
 one document alone. So all registers are also drawn with weights of 1, which makes it the Jaccard similarity
 of the sets, and documents are candidates that meet by the ones or the others (the same ones where nothing is repeated).
 
-Documents that agree in all registers of a band meet there. Each bucket is a star, not a clique: in
-the first bands its documents are compared with its least member, exactly, by their shingle sets.
-Then rounds over all bands compare, in buckets that still hold more than one class, documents
-outside the largest class with one of it and one of the others, drawn by a hash, until a round adds no link.
-What links are left in such buckets a prefix filter finds exactly: under any order of shingles, two
-similar sets share one of the first few of either, and an order by a count sketch puts rare ones first.
+Documents that agree in all registers of a band meet there. Each bucket is two stars, not a clique:
+its documents are compared, exactly, by their shingle sets, with the one that meets most others and with its least member.
+What links are left in buckets of several classes a prefix filter finds exactly: under any order of
+shingles, two similar sets share one of the first few of either, and an order by a count sketch puts
+rare ones first. So the number of jobs doesn't depend on the data, but for the components' few turns.
 Exact copies have one class from the start, so that only different texts are compared.
 """
 
@@ -35,8 +34,6 @@ WORDS = 5
 SIMILARITY = 0.8
 #: At a similarity of 0.8 (of the plain sets) two documents meet in a band with 1 - (1 - 0.8**5)**24, all but 7 in 100,000, at 0.85 all but 1 in a million.
 BANDS, ROWS = 24, 5
-#: Bands of the first round; the others only compare what these haven't joined.
-FIRST_BANDS = 6
 #: Words whose hashes a Python worker remembers; beyond, it starts afresh.
 REMEMBERED = 400_000
 #: Cells of the count sketch of shingles, which is broadcast (8 MB whatever the input).
@@ -121,25 +118,27 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """(h, bands) of the texts that have words; copies in the same batch once.
 
-    A row has the bands by plain sets; a text that repeats shingles has another, with the bands by weights (null where they are the same).
+    The first half has the bands by plain sets, the second those by weights (null where they are the same).
     """
-    hashes = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             once = dict(zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True))
             doc, shingle, weight = weighted(*shingles(list(once.values()), words))
             some, doc = np.unique(doc, return_inverse=True)
-            if len(some):
-                h = np.array(list(once), np.int64)[some]
-                plain = band_hashes(prob_min_hash(len(some), doc, shingle, np.ones(len(doc)), bands * rows), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.FixedSizeListArray.from_arrays(pa.array(plain.ravel()), bands).cast(hashes)], names=["h", "bands"])
-                uneven = np.unique(doc[weight > 1])
-                if len(uneven):
-                    of = np.isin(doc, uneven)
-                    made = band_hashes(prob_min_hash(len(uneven), np.searchsorted(uneven, doc[of]), shingle[of], weight[of], bands * rows), bands)
-                    new = pa.array(made.ravel(), mask=(made == plain[uneven]).ravel())
-                    yield pa.RecordBatch.from_arrays([pa.array(h[uneven]), pa.FixedSizeListArray.from_arrays(new, bands).cast(hashes)], names=["h", "bands"])
+            if not len(some):
+                continue
+            made = np.zeros((len(some), 2 * bands), np.int64)
+            made[:, :bands] = band_hashes(prob_min_hash(len(some), doc, shingle, np.ones(len(doc)), bands * rows), bands)
+            made[:, bands:] = made[:, :bands]
+            uneven = np.unique(doc[weight > 1])
+            if len(uneven):
+                of = np.isin(doc, uneven)
+                made[uneven, bands:] = band_hashes(prob_min_hash(len(uneven), np.searchsorted(uneven, doc[of]), shingle[of], weight[of], bands * rows), bands)
+            none = np.zeros(made.shape, bool)
+            none[:, bands:] = made[:, bands:] == made[:, :bands]
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(made.ravel(), mask=none.ravel()), 2 * bands).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(once), np.int64)[some]), lists], names=["h", "bands"])
 
     return docs.select("h", "text").mapInArrow(run, "h long, bands array<long>")
 
@@ -167,8 +166,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     sent = F.broadcast(pairs) if pairs.count() <= FEW_PAIRS else pairs
     with_a = sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")).join(sent, "a")
-    with_b = sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")).join(sent, "b")
-    return with_a.join(with_b, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = with_a.join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -178,22 +177,24 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("h", F.coalesce("to", "comp").alias("comp")))
 
 
-def _open(met: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Members (i, band, h, comp) of buckets, and of the buckets of several classes a text (to) of the largest, drawn by turn."""
-    draw = F.xxhash64(F.lit(turn), "h").alias("draw")
-    sizes = labels.groupBy("comp").agg((-F.count(F.lit(1))).alias("less"))
-    rest = met.select("i", "band", "h").join(labels.join(sizes, "comp"), "h")
-    heads = rest.groupBy("i", "band").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min(F.struct("less", draw, "h", "comp")).alias("to"))
-    return rest, heads.filter("c < d").select("i", "band", "to")
+def _stars(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each text with two centres of each of its buckets: the one that meets most others in all buckets, and the one of least hash."""
+    weight = met.groupBy("h").agg(F.sum("n").alias("weight"))
+    heads = met.join(weight, "h").groupBy("i", "band").agg(F.max(F.struct("weight", "h"))["h"].alias("hub"), F.min("h").alias("least"))
+    to = F.explode(F.array("hub", "least"))
+    return met.join(heads, ["i", "band"]).select(to.alias("a"), F.col("h").alias("b")).filter("a <> b").distinct()
 
 
-def _left(met: DataFrame, labels: DataFrame, sets: DataFrame, tested: DataFrame, least: float) -> DataFrame:
-    """Untested pairs (a, b) of different classes that can be similar, of which one is in an open bucket outside its largest class.
+def _left(met: DataFrame, labels: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different classes that can be similar, of which one is in an open bucket outside its largest class.
 
-    Sets of n and at least least * n shingles in common share one of their first n - ceil(least * n) + 1.
+    Sets of n and at least least * n shingles in common share one of their first n - ceil(least * n) + 1; behind
+    the first that they share, enough must be left in both.
     """
-    rest, heads = _open(met, labels, 0)
-    sides = rest.join(heads, ["i", "band"]).groupBy("h").agg(F.first("comp").alias("comp"), F.bool_or(F.col("comp") != F.col("to.comp")).alias("out"))
+    sizes = labels.groupBy("comp").agg((-F.count(F.lit(1))).alias("less"))
+    rest = met.select("i", "band", "h").join(labels.join(sizes, "comp"), "h")
+    heads = rest.groupBy("i", "band").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min(F.struct("less", "comp"))["comp"].alias("largest"))
+    sides = rest.join(heads.filter("c < d").select("i", "band", "largest"), ["i", "band"]).groupBy("h").agg(F.first("comp").alias("comp"), F.bool_or(F.col("comp") != F.col("largest")).alias("out"))
     mine = written(sets.join(sides, "h"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,67 +211,56 @@ def _left(met: DataFrame, labels: DataFrame, sets: DataFrame, tested: DataFrame,
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "shingles"):
-            parts, sizes, kept = [], [], []
+            parts, sizes, kept, places = [], [], [], []
             for raw in batch.column("shingles").to_pylist():
                 x = np.frombuffer(raw, np.uint32)
                 keep = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1
                 parts.append(x[np.lexsort((x, sent.value[x % CELLS]))[:keep]])
-                sizes.append(len(x)), kept.append(len(parts[-1]))
+                sizes.append(len(x)), kept.append(len(parts[-1])), places.append(np.arange(len(parts[-1])))
             row = pa.array(np.repeat(np.arange(batch.num_rows), kept))
             made = [batch.column(c).take(row) for c in ("h", "comp", "out")]
-            yield pa.RecordBatch.from_arrays([*made, pa.array(np.repeat(sizes, kept).astype(np.int64)), pa.array(np.concatenate(parts).astype(np.int64))], names=["h", "comp", "out", "n", "s"])
+            columns = [pa.array(x.astype(np.int64)) for x in (np.repeat(sizes, kept), np.repeat(sizes, kept) - np.concatenate(places), np.concatenate(parts))]
+            yield pa.RecordBatch.from_arrays([*made, *columns], names=["h", "comp", "out", "n", "rest", "s"])
 
-    prefixes = mine.mapInArrow(first, "h long, comp long, out boolean, n long, s long")
-    others = prefixes.select("s", F.col("h").alias("g"), F.col("comp").alias("comp_g"), F.col("n").alias("m"))
+    prefixes = mine.mapInArrow(first, "h long, comp long, out boolean, n long, rest long, s long")
+    others = prefixes.select("s", F.col("h").alias("g"), F.col("comp").alias("comp_g"), F.col("n").alias("m"), F.col("rest").alias("rest_g"))
     fits = (F.col("comp") != F.col("comp_g")) & (F.col("n") >= least * F.col("m") - 1e-9) & (F.col("m") >= least * F.col("n") - 1e-9)
-    pairs = prefixes.filter("out").join(others, "s").filter(fits).select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
-    return written(pairs.join(tested, ["a", "b"], "left_anti"))
+    enough = F.least("rest", "rest_g") * (1 + least) >= least * (F.col("n") + F.col("m")) - 1e-6
+    pairs = written(prefixes.filter("out").join(others, "s").filter(fits & enough).select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct())
+    sent.unpersist()
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id, class_size, is_first and text_hash of every document.
+    """doc_id, class_id, class_size, class_links, is_first and text_hash of every document.
 
     Documents belong to one class if links of a similarity of at least least (Jaccard, sets of
     shingles of lower-case words) join them, or if their texts are equal. class_id is the least
     doc_id of the class (null if it has none); is_first is true of that doc_id's rows (without any, of
-    the rows with one of the texts). A null text is
+    the rows with one of the texts). class_links counts the links between different texts of the class
+    that were compared, as many as join it or more. A null text is
     empty; texts without words are in a class with equal texts alone; repeated rows are in one class; an
     empty table gives no rows. Texts are told apart by a 64-bit
     hash, the shingles of a pair by 32 bits. Only doc_id and text are read.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     signed = written(_signed(keyed, words, bands, rows)).select("h", F.posexplode("bands").alias("i", "band")).filter("band IS NOT NULL")
-    ends = signed.groupBy("i", "band").agg(F.min("h").alias("first"), F.max("h").alias("last")).filter("first < last").drop("last")
-    met = written(signed.join(ends, ["i", "band"]))
+    ends = signed.groupBy("i", "band").agg(F.min("h").alias("first"), F.max("h").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last")
+    met = written(signed.join(ends.select("i", "band", "n"), ["i", "band"]))
     nodes = met.select("h").distinct()
     texts = keyed.groupBy("h").agg(F.first("text").alias("text")).join(nodes, "h", "left_semi")  # each text once, however its rows repeat; copies go before the shuffle
     sets = written(_sets(texts, words))
-    first_pairs = met.filter(F.col("i") < FIRST_BANDS).filter("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
-    labels, tested, turn = sets.select("h", F.col("h").alias("comp")), written(first_pairs), 0
-    links = written(_verified(tested, sets, least))
-    while True:  # until a round adds no link
-        if not links.limit(1).count():
-            break
-        labels = _joined(labels, links)
-        turn += 1
-        draw = F.xxhash64(F.lit(turn), "h").alias("draw")
-        rest, heads = _open(met, labels, turn)
-        others = rest.join(heads, ["i", "band"]).filter("comp <> to.comp")  # not of the bucket's largest class
-        second = others.groupBy("i", "band").agg(F.min(F.struct(draw, "h", "comp")).alias("too"))
-        to = F.explode(F.array(F.struct("to.h", "to.comp"), F.struct("too.h", "too.comp"))).alias("to")
-        open_pairs = others.join(second, ["i", "band"]).select("h", "comp", to).filter("comp <> to.comp")
-        fresh = open_pairs.select(F.least("h", "to.h").alias("a"), F.greatest("h", "to.h").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = written(fresh)
-        tested = tested.unionByName(fresh)
-        links = written(_verified(fresh, sets, least))
-    links = written(_verified(_left(met, labels, sets, tested, least), sets, least))
-    if links.limit(1).count():
-        labels = _joined(labels, links)
-    labels = labels.withColumnRenamed("h", "node")
-    light = keyed.select("doc_id", "h").join(labels.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "h", F.coalesce("comp", "h").alias("comp"))
-    classes = written(light.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
+    links = written(_verified(written(_stars(met)), sets, least))
+    labels = _joined(sets.select("h", F.col("h").alias("comp")), links)
+    more = written(_verified(_left(met, labels, sets, least), sets, least))
+    labels = _joined(labels, more)
+    light = keyed.select("doc_id", "h").join(labels, "h", "left").select("doc_id", "h", F.coalesce("comp", "h").alias("comp"))
+    found = links.unionByName(more).select(F.least("a", "b").alias("h"), F.greatest("a", "b").alias("b")).distinct()
+    counted = found.join(labels, "h").groupBy("comp").agg(F.count(F.lit(1)).alias("class_links"))
+    classes = light.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    classes = written(classes.join(counted, "comp", "left").withColumn("class_links", F.coalesce("class_links", F.lit(0).cast("long"))))
     first = F.when(F.col("class_id").isNull(), F.col("h") == F.col("comp")).otherwise(F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
-    return light.join(classes, "comp").select("doc_id", "class_id", "class_size", first.alias("is_first"), F.col("h").alias("text_hash"))
+    return light.join(classes, "comp").select("doc_id", "class_id", "class_size", "class_links", first.alias("is_first"), F.col("h").alias("text_hash"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

@@ -188,16 +188,27 @@ def test_op5_one_row_for_each_document_where_rows_repeat(spark):
 
 
 def test_op5_left_links(spark):
-    """What no round has shown: texts of a bucket in classes of their own, though some are similar."""
+    """What no star has shown: texts of a bucket in classes of their own, though some are similar."""
     sets = [np.arange(a, a + 100, dtype=np.uint32) for a in (0, 5, 60, 300)]
     kept = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "h long, shingles binary")
-    met = spark.createDataFrame([(0, 1, i) for i in range(4)], "i int, band long, h long")
+    met = spark.createDataFrame([(0, 1, i, 4) for i in range(4)], "i int, band long, h long, n long")
     labels = kept.select("h", F.col("h").alias("comp"))
-    tested = spark.createDataFrame([], "a long, b long")
-    pairs = near_dedup._left(met, labels, kept, tested, 0.8)
+    pairs = near_dedup._left(met, labels, kept, 0.8)
     assert {(r.a, r.b) for r in near_dedup._verified(pairs, kept, 0.8).collect()} == {(0, 1)}
-    done = spark.createDataFrame([(0, 1)], "a long, b long")
-    assert near_dedup._left(met, labels, kept, done, 0.8).filter("a = 0 AND b = 1").count() == 0
+    joined = near_dedup._joined(labels, spark.createDataFrame([(0, 1)], "a long, b long"))
+    assert near_dedup._left(met, joined, kept, 0.8).filter("a = 0 AND b = 1").count() == 0
+
+
+@pytest.mark.parametrize("links", [[], [(3, 3)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 40)] + [(i, 99) for i in range(50, 60)], [((7 * i) % 50, (11 * i + 3) % 50) for i in range(25)]])
+def test_components(spark, links):
+    from lettermill.llm.components import connected_components
+
+    label = {x: x for p in links for x in p}
+    for a, b in links:
+        low, high = sorted((label[a], label[b]))
+        label = {k: low if v == high else v for k, v in label.items()}
+    got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.comp for r in got} == label and len(got) == len(label)
 
 
 def test_op5_probability_jaccard():
