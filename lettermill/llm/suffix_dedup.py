@@ -13,8 +13,11 @@ equal bytes before the anchor these are the equal strings.
 
 No group grows with the data: within a task, suffixes with equal surroundings become one (their
 strings are known to repeat), so a passage common to all documents sends one suffix a task. Anchors
-that occur more than HEAVY times in different surroundings send hashes of their strings instead,
-with one occurrence for each string and task.
+that occur more than HEAVY times would still fill a target where their surroundings differ (a line of
+150 bytes that is everywhere, say). Of these only the strings whose 64-bit hash occurs more than once
+go on, in a second merge of the same kind, dealt by all but BLOCK - 1 of their bytes instead of by the
+K-gram alone: what occurs once is dropped, and what occurs in the same surroundings becomes one suffix
+a task, as before.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from lettermill.llm.fingerprints import BASE, rolling
 LENGTH = 200
 K = 64
 HEAVY = 2000
+#: Strings of a heavy anchor are dealt together whose distances to it differ by less than this.
+BLOCK = 17
 #: Windows whose anchors are found at once; positions in such a segment have 24 bits.
 SEGMENT = 1 << 23
 SPANS = "array<struct<start:bigint,end:bigint>>"
@@ -116,24 +121,25 @@ def loser_tree(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
             node //= 2
 
 
-HEADER = 5
+HEADER = 6
+NO_ROWS = np.zeros((0, 4), np.int64)
 
 
-def packed(rights: list[bytes], lefts: list[bytes], places: np.ndarray, strings: np.ndarray, marked: np.ndarray) -> bytes:
-    """A front-coded run (rights ascending, their lefts, places), hashes of strings with their places, and marked spans."""
+def packed(rights: list[bytes], lefts: list[bytes], places: np.ndarray, strings: np.ndarray, marked: np.ndarray, again: np.ndarray) -> bytes:
+    """A front-coded run (rights ascending, their lefts, places), hashes of strings with their places, marked spans, and strings for the second merge."""
     lens = np.fromiter(map(len, rights), np.uint8, len(rights))
     common = [0] + [shared(a, b, 0) for a, b in pairwise(rights)] if rights else []
     tails = b"".join(r[c:] for r, c in zip(rights, common, strict=True))
     lens_left = np.fromiter(map(len, lefts), np.uint8, len(lefts))
     left = b"".join(lefts)
-    head = np.array([len(rights), len(tails), len(left), len(strings), len(marked)], np.int64)
-    parts = [head.tobytes(), np.array(common, np.uint8).tobytes(), lens.tobytes(), lens_left.tobytes(), tails, left, places.tobytes(), strings.tobytes(), marked.tobytes()]
+    head = np.array([len(rights), len(tails), len(left), len(strings), len(marked), len(again)], np.int64)
+    parts = [head.tobytes(), np.array(common, np.uint8).tobytes(), lens.tobytes(), lens_left.tobytes(), tails, left, places.tobytes(), strings.tobytes(), marked.tobytes(), again.tobytes()]
     return zlib.compress(b"".join(parts), 1)
 
 
-def unpacked(raw: bytes) -> tuple[list[bytes], list[int], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(raw: bytes) -> tuple[list[bytes], list[int], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     blob = zlib.decompress(raw)
-    n, n_tails, n_left, n_strings, n_marked = np.frombuffer(blob, np.int64, HEADER).tolist()
+    n, n_tails, n_left, n_strings, n_marked, n_again = np.frombuffer(blob, np.int64, HEADER).tolist()
     at = HEADER * 8
 
     def take(size: int) -> bytes:
@@ -144,15 +150,14 @@ def unpacked(raw: bytes) -> tuple[list[bytes], list[int], list[bytes], np.ndarra
     common, lens, lens_left = list(take(n)), list(take(n)), list(take(n))
     tails, left = take(n_tails), take(n_left)
     places = np.frombuffer(take(n * 24), np.int64).reshape(n, 3)
-    strings = np.frombuffer(take(n_strings * 32), np.int64).reshape(n_strings, 4)
-    marked = np.frombuffer(take(n_marked * 32), np.int64).reshape(n_marked, 4)
+    strings, marked, again = (np.frombuffer(take(m * 32), np.int64).reshape(m, 4) for m in (n_strings, n_marked, n_again))
     rights, lefts, i, j, last = [], [], 0, 0, b""
     for c, m, k in zip(common, lens, lens_left, strict=True):
         last = last[:c] + tails[i : i + m - c]
         rights.append(last)
         lefts.append(left[j : j + k])
         i, j = i + m - c, j + k
-    return rights, common, lefts, places, strings, marked
+    return rights, common, lefts, places, strings, marked, again
 
 
 def repeated(common: np.ndarray, right: np.ndarray, lefts: list[bytes], length: int) -> np.ndarray:
@@ -193,7 +198,7 @@ def spans_of(flags: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
     row, first = np.nonzero(change == 1)
     _, last = np.nonzero(change == -1)
     x = places[row, 2]
-    return np.stack([places[row, 0], places[row, 1], x - (last - 1), x - first + length], axis=1) if len(row) else np.zeros((0, 4), np.int64)
+    return np.stack([places[row, 0], places[row, 1], x - (last - 1), x - first + length], axis=1) if len(row) else NO_ROWS
 
 
 class Sorter:
@@ -204,8 +209,15 @@ class Sorter:
         self.rows: list[tuple[int, bytes, bytes, tuple[int, int, int]]] = []
         self.strings: list[np.ndarray] = []
         self.marked: list[np.ndarray] = []
+        self.docs: dict[tuple[int, int], int] = {}  # the length of those that repeat, else 0
         self.size = 0
 
+    def repeats(self, doc: tuple[int, int], text: bytes) -> bool:
+        """Whether the row has been added before: then all of it repeats, and its strings are known."""
+        again = doc in self.docs
+        self.docs[doc] = len(text) if again else 0
+        return again
+
     def add(self, doc: tuple[int, int], text: bytes, places: list[int]) -> None:
         """places: an anchor's position << 16, the least and the largest distance; negative (and less by one) if heavy."""
         data = np.frombuffer(text, np.uint8)
@@ -216,7 +228,8 @@ class Sorter:
         if heavy.any():
             starts = np.concatenate([np.arange(a - c, a - b + 1) for a, b, c in zip(x[heavy].tolist(), lo[heavy].tolist(), hi[heavy].tolist(), strict=True)])
             h = rolling(data, self.length)[starts].view(np.int64)
-            self.strings.append(np.stack([h, np.full(len(h), doc[0]), np.full(len(h), doc[1]), starts], axis=1))
+            code = np.repeat(x[heavy], hi[heavy] - lo[heavy] + 1)
+            self.strings.append(np.stack([h, np.full(len(h), doc[0]), np.full(len(h), doc[1]), code << 8 | (code - starts)], axis=1))
             self.size += len(h) // 8
         x, lo, hi = x[~heavy], lo[~heavy], hi[~heavy]
         if len(x):
@@ -225,10 +238,22 @@ class Sorter:
             self.rows += [(target(text[a : a + k]) % n, text[a : a - b + length], text[a - c : a], (*doc, a)) for a, b, c in zip(x.tolist(), lo.tolist(), hi.tolist(), strict=True)]
         self.size += len(x)
 
+    def add_again(self, doc: tuple[int, int], text: bytes, codes: list[int]) -> None:
+        """codes: an anchor's position << 8 and the distance from a string's start to it; one suffix for distances in a row of a block."""
+        c = np.unique(np.array(codes, np.int64))
+        cut = (np.diff(c) != 1) | (np.diff(c >> 8) != 0) | (np.diff((c & 255) // BLOCK) != 0)
+        first = c[np.concatenate([[True], cut])]
+        last = c[np.concatenate([cut, [True]])]
+        for a, b, d in zip((first >> 8).tolist(), (first & 255).tolist(), (last & 255).tolist(), strict=True):
+            low = b - b % BLOCK
+            core = text[a - low : a + self.length - low - BLOCK + 1]
+            self.rows.append((zlib.crc32(core) % self.n, text[a : a - b + self.length], text[a - d : a], (*doc, a)))
+        self.size += len(first)
+
     def runs(self) -> Iterator[tuple[int, bytes]]:
         """A blob for each target; what is found to repeat within the task is marked and needs no more places."""
         rows, length = sorted(self.rows), self.length
-        marked = [*self.marked]
+        marked = [*self.marked, np.array([(*doc, 0, n) for doc, n in self.docs.items() if n], np.int64).reshape(-1, 4)]
         kept: dict[int, tuple[list, list, list]] = {}
         i = 0
         while i < len(rows):
@@ -243,25 +268,24 @@ class Sorter:
             to = kept.setdefault(target, ([], [], []))
             to[0].append(right), to[1].append(left), to[2].append(place)
             i = j
-        strings = np.concatenate(self.strings) if self.strings else np.zeros((0, 4), np.int64)
+        strings = np.concatenate(self.strings) if self.strings else NO_ROWS
+        again = NO_ROWS
         if len(strings):
             strings = strings[np.argsort(strings[:, 0], kind="stable")]
             new = np.concatenate([[True], strings[1:, 0] != strings[:-1, 0]])
             many = np.diff(np.append(np.flatnonzero(new), len(strings))) > 1
             twice = np.repeat(many, np.diff(np.append(np.flatnonzero(new), len(strings))))
-            marked.append(np.stack([strings[twice, 1], strings[twice, 2], strings[twice, 3], strings[twice, 3] + length], axis=1))
+            again = np.roll(strings[twice], -1, axis=1)
             strings = strings[new]
             strings[many, 3] = -1
-        found = merged_spans(np.concatenate(marked)) if marked else np.zeros((0, 4), np.int64)
+        found = merged_spans(np.concatenate(marked)) if marked else NO_ROWS
         strings_of = by_target(strings, (strings[:, 0].view(np.uint64) % np.uint64(self.n)).astype(np.int64))
         found_of = by_target(found, found[:, 1] % self.n)  # by a hash of the document
-        for target in sorted(kept.keys() | strings_of.keys() | found_of.keys()):
+        again_of = by_target(again, again[:, 1] % self.n)
+        for target in sorted(kept.keys() | strings_of.keys() | found_of.keys() | again_of.keys()):
             rights, lefts, places = kept.get(target, ([], [], []))
-            yield target, packed(rights, lefts, np.array(places, np.int64).reshape(len(rights), 3), strings_of.get(target, NO_ROWS), found_of.get(target, NO_ROWS))
-        self.rows, self.strings, self.marked, self.size = [], [], [], 0
-
-
-NO_ROWS = np.zeros((0, 4), np.int64)
+            yield target, packed(rights, lefts, np.array(places, np.int64).reshape(len(rights), 3), *(x.get(target, NO_ROWS) for x in (strings_of, found_of, again_of)))
+        self.rows, self.strings, self.marked, self.docs, self.size = [], [], [], {}, 0
 
 
 def by_target(rows: np.ndarray, target: np.ndarray) -> dict[int, np.ndarray]:
@@ -284,11 +308,12 @@ def merged_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([s[first, 0], s[first, 1], s[first, 2], reach[last] - doc[last] * lift], axis=1)
 
 
-def combine(blobs: list[bytes], length: int) -> np.ndarray:
-    """Spans of what repeats among the runs of one target."""
-    runs, places, lefts, out, strings = [], [], [], [], []
-    for rights, common, left, place, string, marked in map(unpacked, blobs):
+def combine(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of what repeats among the runs of one target, and the strings of heavy anchors whose hash does (with the document, a code)."""
+    runs, places, lefts, out, strings, again = [], [], [], [], [], []
+    for rights, common, left, place, string, marked, once_more in map(unpacked, blobs):
         out.append(marked)
+        again.append(once_more)
         strings.append(string)
         if rights:
             runs.append((rights, common))
@@ -302,19 +327,26 @@ def combine(blobs: list[bytes], length: int) -> np.ndarray:
         flags = repeated(common, right, [lefts[r][i] for r, i, _ in order], length)
         some = place[:, 2] >= 0
         out.append(spans_of(flags[some], place[some], length))
-    string = np.concatenate(strings) if strings else np.zeros((0, 4), np.int64)
+    string = np.concatenate(strings) if strings else NO_ROWS
     if len(string):
         string = string[np.argsort(string[:, 0], kind="stable")]
         same = string[1:, 0] == string[:-1, 0]
         twice = (np.append(same, False) | np.insert(same, 0, False)) & (string[:, 3] >= 0)
-        s = string[twice]
-        out.append(np.stack([s[:, 1], s[:, 2], s[:, 3], s[:, 3] + length], axis=1))
-    return merged_spans(np.concatenate(out)) if out else np.zeros((0, 4), np.int64)
+        again.append(np.roll(string[twice], -1, axis=1))
+    more = np.concatenate(again) if again else NO_ROWS
+    return merged_spans(np.concatenate(out)) if out else NO_ROWS, more[np.lexsort((more[:, 1], more[:, 0]))]
+
+
+def lists_by_document(rows: np.ndarray, values: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The documents of sorted rows (key, key, ..), and the values of each as a list."""
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
+    return pa.array(rows[first, 0]), pa.array(rows[first, 1]), pa.ListArray.from_arrays(pa.array([*first.tolist(), len(rows)], pa.int32()), values)
 
 
 def _repeats(docs: DataFrame, length: int, k: int, heavy: int) -> DataFrame:
     """(d, h, spans): spans of repeats, which can overlap, in one or more rows a document. docs has d, h and text."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -334,30 +366,43 @@ def _repeats(docs: DataFrame, length: int, k: int, heavy: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([target], pa.int32()), pa.array([blob], pa.binary())], names=["target", "run"])
 
         for batch in slices(batches, "text"):
-            for d, h, text, places in zip(batch.column("d").to_pylist(), batch.column("h").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
-                s.add((d, h), text.as_buffer().to_pybytes(), places.as_py())
+            for d, h, text, places, again in zip(batch.column("d").to_pylist(), batch.column("h").to_pylist(), batch.column("text"), batch.column("places"), batch.column("again").to_pylist(), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                if not s.repeats((d, h), raw):
+                    (s.add_again if again else s.add)((d, h), raw, places.as_py())
                 if s.size >= RUN:
                     yield from flush()
         yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = combine([x for b in batches for x in b.column("run").to_pylist()], length)
+        spans, again = combine([x for b in batches for x in b.column("run").to_pylist()], length)
         if len(spans):
-            first = np.flatnonzero(np.concatenate([[True], (spans[1:, :2] != spans[:-1, :2]).any(1)]))
-            each = pa.StructArray.from_arrays([pa.array(spans[:, 2]), pa.array(spans[:, 3])], names=["start", "end"])
-            lists = pa.ListArray.from_arrays(pa.array([*first.tolist(), len(spans)], pa.int32()), each)
-            yield pa.RecordBatch.from_arrays([pa.array(spans[first, 0]), pa.array(spans[first, 1]), lists], names=["d", "h", "spans"])
+            d, h, lists = lists_by_document(spans, pa.StructArray.from_arrays([pa.array(spans[:, 2]), pa.array(spans[:, 3])], names=["start", "end"]))
+            yield pa.RecordBatch.from_arrays([d, h, lists, pa.nulls(len(d), pa.list_(pa.int64()))], names=["d", "h", "spans", "codes"])
+        if len(again):
+            d, h, lists = lists_by_document(again, pa.array(again[:, 2]))
+            yield pa.RecordBatch.from_arrays([d, h, pa.nulls(len(d), pa.list_(span)), lists], names=["d", "h", "spans", "codes"])
+
+    def merged(places: DataFrame, again: bool) -> DataFrame:
+        runs = docs.join(places.withColumn("again", F.lit(again)), ["d", "h"]).mapInArrow(sort, "target int, run binary")  # all columns, so that with_spans() uses the same exchange of docs
+        return runs.repartitionById(n, F.col("target")).mapInArrow(merge, f"d long, h long, spans {SPANS}, codes array<bigint>")
 
     found = docs.select("d", "h", "text").filter(F.octet_length("text") >= length).mapInArrow(find, "hash long, d long, h long, place long")
     counts = written(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))  # a frequent hash then is a skewed join, which Spark splits
     places = found.join(counts, "hash").select("d", "h", F.when(F.col("n") > heavy, -F.col("place") - 1).otherwise(F.col("place")).alias("place"))
-    grouped = places.groupBy("d", "h").agg(F.collect_list("place").alias("places"))  # of one document
-    runs = docs.join(grouped, ["d", "h"]).mapInArrow(sort, "target int, run binary")  # all columns, so that with_spans() uses the same exchange of docs
-    return runs.repartitionById(n, F.col("target")).mapInArrow(merge, f"d long, h long, spans {SPANS}")
+    first = merged(places.groupBy("d", "h").agg(F.collect_set("place").alias("places")), False)  # of one document, once where its rows repeat
+    if counts.filter(F.col("n") > heavy).limit(1).count():
+        first = written(first)
+        codes = first.filter("codes IS NOT NULL").select("d", "h", F.explode("codes").alias("code"))
+        second = merged(codes.groupBy("d", "h").agg(F.collect_set("code").alias("places")), True)
+        first = first.unionByName(second)
+    return first.filter("spans IS NOT NULL").select("d", "h", "spans")
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, k: int = K, heavy: int = HEAVY) -> DataFrame:
     """docs with a column spans: the maximal spans of bytes that strings cover which also start elsewhere; null without any."""
+    if not BLOCK <= k <= length <= 255:
+        raise ValueError(f"strings have 255 bytes at most, of which {BLOCK} or more make an anchor")
     keyed = docs.withColumns({"d": F.coalesce("doc_id", F.lit(NO_ID)), "h": F.xxhash64("text", "doc_id")}).drop("doc_id")
     found = _repeats(keyed, length, k, heavy)
     spans = found.groupBy("d", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one document
@@ -380,17 +425,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, heavy: int
     or in the same, overlapping or not) is removed, judged on the input. Texts are UTF-8 bytes; a null
     or short text has nothing to remove. Rows with equal doc_id and text are occurrences of their own;
     a null doc_id stays null; an empty table gives no rows. Strings are compared by the bytes from the
-    anchor on and a 64-bit hash of those before it (heavy anchors: a 64-bit hash of the string). Only
-    doc_id and text are read.
+    anchor on and a 64-bit hash of those before it; heavy only says from how often on an anchor takes the
+    second merge, and changes no result. length is 255 at most. Only doc_id and text are read.
     """
     rows = with_spans(id_and_text(docs), length, k, heavy)
     size = F.octet_length("text").cast("long")
     gone = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.lit(0).cast("long"))
-    raw = F.col("text").cast("binary")
-    edges = lambda i: (F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1)["end"]), F.when(i == F.size("spans"), size).otherwise(F.get("spans", i)["start"]))
-    piece = lambda i: F.substring(F.hex(raw), (edges(i)[0] * 2 + 1).cast("int"), ((edges(i)[1] - edges(i)[0]) * 2).cast("int"))
-    kept = F.when(F.col("spans").isNull(), raw).otherwise(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.size("spans")), piece), "")))
-    return rows.select("doc_id", size.alias("n_bytes"), gone.alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), "spans", kept.alias("kept"))
+    made = rows.select("doc_id", size.alias("n_bytes"), gone.alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), "spans", F.col("text").cast("binary").alias("kept"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "kept"):
+            kept = [b"".join(raw[a:b] for a, b in zip([0, *(s["end"] for s in spans)], [*(s["start"] for s in spans), len(raw)], strict=True)) if spans else raw for raw, spans in zip(batch.column("kept").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(kept, pa.binary())], names=batch.schema.names)
+
+    return made.mapInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, spans {SPANS}, kept binary")
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
