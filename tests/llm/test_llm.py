@@ -16,6 +16,8 @@ from lettermill.llm import exact_topk, fingerprints, language_id, licenses, near
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
+#: Not held out.
+IDS = [i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1]
 ODD = ["", None, " ", "a", "a" * 3000, "naïve 日本 \n\t  x", "same text here for all", "same text here for all", "<s> <|endoftext|> İ, Σ."]
 
 
@@ -256,9 +258,38 @@ def test_op7_suffix_dedup(spark):
                     gone[j : j + length] = True
             assert bytes(got[i].kept) == bytes(np.frombuffer(b, np.uint8)[~gone]) and got[i].n_removed == gone.sum()
             assert got[i].n_spans == np.sum(np.diff(np.concatenate([[0], gone.astype(int)])) == 1)
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(odd(spark), 300)
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0 and suffix_dedup.remove_repeats(odd(spark)).count() == len(ODD) + 2
 
 
+def test_op7_a_line_that_is_everywhere(spark):
+    """One anchor in many surroundings, few of which are equal: the second merge has the same results."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    line = word(150)
+    texts = [word(rng.randrange(5, 200)) + line + word(rng.randrange(5, 200)) for _ in range(60)]
+    texts += [word(9) + texts[i][max(0, texts[i].index(line) - i) :] for i in range(0, 60, 3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    raw = [t.encode() for t in texts]
+    c = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
+    for heavy in (10, 10_000):
+        got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(rows, heavy=heavy).collect()}
+        for i, b in enumerate(raw):
+            gone = np.zeros(len(b), bool)
+            for j in range(len(b) - 199):
+                if c[b[j : j + 200]] > 1:
+                    gone[j : j + 200] = True
+            assert got[i] == (gone.sum(), bytes(np.frombuffer(b, np.uint8)[~gone]))
+
+
+def test_op7_rows_that_repeat_many_times(spark):
+    text = "".join(random.Random(7).choices("abcdefgh ", k=690))
+    rows = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(8)
+    got = suffix_dedup.remove_repeats(rows).groupBy("n_removed", "n_spans").count().collect()
+    assert [(r.n_removed, r.n_spans, r["count"]) for r in got] == [(690, 1, 20_000)]
+
+
 def test_op8_counts_equal_the_library(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rng = random.Random(1)
@@ -273,12 +304,61 @@ def test_op9_language_id(spark):
     model = language_id.learn(docs)
     got = language_id.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter(language_id.held_out())
     assert got.filter("lang_pred = lang").count() >= 0.97 * got.count()
-    mine = {r.doc_id: r for r in language_id.identify(odd(spark), model).collect()}
-    assert mine[0].lang_pred == mine[1].lang_pred == mine[2].lang_pred == "und" and all(0 <= r.score <= 1 for r in mine.values())
-    assert sum(2 ** -model.bits(b" a" + bytes([c]))[0] for c in range(256)) <= 1.0001
+    mine = {r.doc_id: r for r in language_id.identify(odd(spark, ["½ ² 10", "x²"]), model).collect()}
+    assert mine[0].lang_pred == mine[1].lang_pred == mine[2].lang_pred == mine[len(ODD)].lang_pred == "und" and all(0 <= r.score <= 1 for r in mine.values())
+    assert mine[len(ODD) + 1].lang_pred != "und"
+    assert (2 ** -model.bits(np.array([int.from_bytes(b"  a" + bytes([c]), "big") for c in range(256)], np.uint64))).sum(0).max() <= 1.0001
     assert language_id.identify(empty(spark), language_id.learn(empty(spark))).count() == 0
 
 
+def test_op9_code_lengths_equal_a_plain_model():
+    """Escape method C in dictionaries, byte by byte."""
+    texts = {"a": ["The cat sat  on the mat", "a  hat é"], "b": ["chien et chat", "été là là"]}
+    model, order = language_id.Model(texts, 4), 4
+
+    def plain(lang, text):
+        seen = Counter()
+        for t in texts[lang]:
+            x = b"    " + language_id.normal(t)
+            seen.update(x[i - o : i + 1] for i in range(4, len(x)) for o in range(order + 1))
+        bits, x = 0.0, b"    " + language_id.normal(text)
+        for i in range(4, len(x)):
+            for o in range(order, -2, -1):
+                if o < 0:
+                    bits += 8
+                    break
+                after = {g: n for g, n in seen.items() if len(g) == o + 1 and g[:-1] == x[i - o : i]}
+                if not after:
+                    continue
+                total = sum(after.values()) + len(after)
+                if (n := after.get(x[i - o : i + 1])) is not None:
+                    bits -= np.log2(n / total)
+                    break
+                bits -= np.log2(len(after) / total)
+        return bits
+
+    some = ["the hat", "", "là chat zz", "日本 A"]
+    got, sizes = model.totals(some)
+    assert got.ravel().tolist() == pytest.approx([plain(k, t) for t in some for k in "ab"])
+    assert sizes.tolist() == [len(language_id.normal(t)) for t in some]
+
+
+def test_op9_repeated_and_long_rows_are_learned_within_bounds(spark):
+    rows = [(IDS[0], "ein kurzer Text", "de")] * 3000 + [(IDS[1], "un texte long " * 3000, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.learn(docs, sample_docs=50).langs == ["de", "fr"]
+    assert language_id.learn(docs, most_langs=1).langs == ["de"]
+
+
+def test_op9_rejects_what_is_no_language(spark):
+    rng = random.Random(4)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    junk = ["".join(rng.choices("bcdfghjklmnpqrstvwxz0123456789", k=300)), "漢字" * 100, "12 34", None, "".join(chr(rng.randrange(0x400, 0x460)) for _ in range(200))]
+    rows = spark.createDataFrame([(10**6 + i, t, None, None, 0) for i, t in enumerate(junk)], docs.schema)
+    kept = {r.doc_id for r in language_id.keep_identified(docs.unionByName(rows), language_id.learn(docs)).collect()}
+    assert not any(i >= 10**6 for i in kept) and len(kept) >= 0.99 * docs.count()
+
+
 def test_op10_warc(spark):
     rows = [(1, "u1", "x" * 2000), (2, "u2", "x" * 2000), (3, None, "é\r\n\r\nWARC/1.1\r\n" * 100), (4, "u", None), (5, "u", "x"), (6, "u", "x"), (None, "u", "z" * 1500), (2, "u2", "x" * 2000)]
     got = warc.round_trip(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string"), content=True).collect()
