@@ -3,8 +3,9 @@
 Vectors lie in blocks, column by column. For a block of queries and one of candidates the scores
 add up a few dimensions at a time. After each step the k-th best of what is certain (score so far
 minus the most that is left) is a threshold, and candidates whose score so far plus the most that is
-left (product of the remaining norms) is below it leave the block. Blocks of queries meet blocks of
-candidates in tasks of their own, so no side is broadcast whole.
+left (product of the remaining norms) is below it leave the block. Blocks of candidates are dealt to
+lots, one for each shuffle partition, and each lot gets the blocks of queries: no side is broadcast
+whole, a block of candidates moves once, and a task holds one block of either side at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from lettermill.llm.common import written
 
 #: Vectors in a block of candidates and in one of queries.
 CANDIDATES = 8192
-QUERIES = 512
+QUERIES = 1024
 #: Dimensions that are added at a time.
 STEP = 16
 
@@ -112,16 +113,16 @@ def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, every: int = 50) ->
     candidates all rows but the query's own; ties go to the smaller vec_id. Vectors that are null or
     hold null or non-finite components, or whose vec_id is null, take no part; vectors are compared
     with those of the same dimension only. Repeated candidates count as often as they occur; of
-    repeated queries the greatest vector is one, and rows with a query's id are its own. An empty table gives no rows. Only vec_id and embedding are read.
+    repeated queries the greatest valid vector is one, and rows with a query's id are its own. Scores beyond 64 bits are shown as the
+    largest or smallest that fit (and are ordered exactly). An empty table gives no rows. Only vec_id and embedding are read.
     """
     if every != 50:
         raise ValueError("queries are the rows whose id is divisible by 50")
     both = written(blocks(vectors, CANDIDATES, False).withColumn("side", F.lit(0)).unionByName(blocks(vectors, QUERIES, True).withColumn("side", F.lit(1))))
-    candidates = both.filter("side = 0").withColumn("block", F.xxhash64("ids", "values"))
-    queries = both.filter("side = 1")
-    names = candidates.select("dims", "block").distinct()  # a row for each block, no vectors
-    pairs = names.join(queries.select("dims", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values")), "dims")
-    met = candidates.join(pairs, ["dims", "block"])
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    candidates = both.filter("side = 0").select("dims", F.pmod(F.xxhash64("ids", "values"), F.lit(n)).cast("int").alias("lot"), "ids", "values").repartitionById(n, F.col("lot"))
+    queries = both.filter("side = 1").select("dims", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("lot"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values")).repartitionById(n, F.col("lot"))
+    met = queries.join(candidates, ["dims", "lot"])  # the queries stream past the lot's candidates, which are a shuffle partition
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +136,6 @@ def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, every: int = 50) ->
                 columns = [[o for o, (s, _) in zip(own.tolist(), found, strict=True) for _ in s], [v for _, v in found for v in v.tolist()], [max(-most, min(most, x)) for s, _ in found for x in s]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
 
-    spread = met.repartition(F.xxhash64("block", "q_ids"))
-    best = spread.mapInArrow(run, "query_id long, vec_id long, score long")
+    best = met.mapInArrow(run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
