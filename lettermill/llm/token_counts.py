@@ -2,12 +2,16 @@
 
 Pre-tokens that are not yet known are encoded together: one flat numpy array holds the symbols of
 all of them, and each round merges, in every sequence at once, its pair of lowest rank (the leftmost
-of equals). The symbols that survive are the tokens; a symbol outside the vocabulary counts one
-token for each of its UTF-8 bytes (byte fallback).
+of equals). Sequences end where no piece goes over two characters in a row. Long ones, which would
+take a round for each merge, go rank by rank instead: a round takes, in all of them at once, the
+places of the lowest rank, up to the first in a sequence that makes a pair of a rank as low or lower
+(which comes first then), and only looks at their neighbours. The symbols that survive are the
+tokens; a symbol outside the vocabulary counts one token for each of its UTF-8 bytes (byte fallback).
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -24,6 +28,10 @@ REMEMBERED = 400_000
 #: Symbols of one batch of pre-tokens.
 BATCH_SYMBOLS = 400_000
 NONE = np.iinfo(np.int64).max
+#: Symbols from which on a sequence is a long one.
+LONG = 48
+#: Stands for a symbol that has merged into the one before.
+GONE = -(1 << 40)
 
 
 class MergeTable:
@@ -47,6 +55,7 @@ class MergeTable:
         self.keys, made = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.made, self.ranks = made, rank[made]
         self.in_pieces = {c for p in pieces if len(p.piece) > 1 for c in p.piece}
+        self.neighbours = np.unique(np.array([ord(a) << 32 | ord(b) for p in pieces for a, b in zip(p.piece, p.piece[1:], strict=False)], np.int64))
 
     def found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair and what it makes; NONE where it doesn't merge."""
@@ -58,33 +67,105 @@ class MergeTable:
     def counts(self, tokens: list[str]) -> np.ndarray:
         """Tokens of each pre-token (none of them empty)."""
         flat = "".join(tokens)
-        chars = list(flat)
         get = self.ids.get
-        sym = np.fromiter((get(c, -len(c.encode())) for c in chars), np.int64, len(chars))
-        seq = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, tokens), np.int64, len(tokens)))
-        total = np.zeros(len(tokens), np.int64)
-        while True:
+        sym = np.fromiter((get(c, -len(c.encode())) for c in flat), np.int64, len(flat))
+        token = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        points = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        both = points[:-1] << 32 | points[1:]
+        at = np.minimum(np.searchsorted(self.neighbours, both), len(self.neighbours) - 1)
+        seq = np.concatenate([[0], np.cumsum((token[1:] != token[:-1]) | (self.neighbours[at] != both))])
+        long = np.bincount(seq)[seq] >= LONG
+        out = np.zeros(len(tokens), np.int64)
+        for part, merge in ((~long, self._short), (long, self._long)):
+            if part.any():
+                left, of = merge(sym[part], seq[part], token[part])
+                out += np.bincount(of, np.maximum(1, -left), len(tokens)).astype(np.int64)
+        return out
+
+    def _short(self, sym: np.ndarray, seq: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols that survive, with their pre-tokens: each round merges one pair of each sequence."""
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(sym):
             inside = seq[1:] == seq[:-1]
             rank, made = self.found(sym[:-1], sym[1:])
-            rank = np.append(np.where(inside, rank, NONE), NONE)
+            rank, made = np.append(np.where(inside, rank, NONE), NONE), np.append(made, 0)
             starts = np.flatnonzero(np.concatenate([[True], ~inside]))
             least = np.minimum.reduceat(rank, starts)
-            sizes = np.diff(np.append(starts, len(seq)))
-            on = np.repeat(least != NONE, sizes)
-            if not on.all():  # the finished sequences leave
-                np.add.at(total, seq[~on], np.maximum(1, -sym[~on]))
-                if not on.any():
-                    return total
-                goes = least != NONE
-                made = np.append(made, 0)[on]
-                sym, seq, rank, sizes, least = sym[on], seq[on], rank[on], sizes[goes], least[goes]
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            hits = np.flatnonzero(rank == np.repeat(least, sizes))
-            first = hits[np.concatenate([[True], seq[hits][1:] != seq[hits][:-1]])]
+            on = (least != NONE)[np.concatenate([[0], np.cumsum(~inside)])]
+            least = np.repeat(least, np.diff(np.append(starts, len(seq))))
+            done.append((sym[~on], token[~on]))  # the finished sequences leave
+            sym, seq, token, rank, made, least = (x[on] for x in (sym, seq, token, rank, made, least))
+            hits = np.flatnonzero(rank == least)
+            first = hits[np.concatenate([[True], seq[hits][1:] != seq[hits][:-1]])[: len(hits)]]
             sym[first] = made[first]
             keep = np.ones(len(sym), bool)
             keep[first + 1] = False
-            sym, seq = sym[keep], seq[keep]
+            sym, seq, token = sym[keep], seq[keep], token[keep]
+        return np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
+
+    def _long(self, sym: np.ndarray, seq: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _short(), rank by rank over linked symbols; behind the last one, and before the first, is a stop that merges with nothing."""
+        n = len(sym)
+        sym, seq = np.append(sym, -1), np.append(seq, -1)
+        after, before = np.append(np.arange(1, n + 1), n), np.append(np.arange(-1, n - 1), n - 1)
+        rank = np.full(n + 1, NONE)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def put(value: int, places: np.ndarray) -> None:
+            if value not in waiting:
+                waiting[value] = []
+                heapq.heappush(ranks, value)
+            waiting[value].append(places)
+
+        def wait(places: np.ndarray) -> None:
+            """Ranks of the pairs that begin at the places, and a place among those of each rank."""
+            then = after[places]
+            r, _ = self.found(sym[places], sym[then])
+            rank[places] = r = np.where(seq[places] == seq[then], r, NONE)
+            some = r != NONE
+            places, r = places[some], r[some]
+            order = np.argsort(r, kind="stable")
+            values, first = np.unique(r[order], return_index=True)
+            for i, value in enumerate(values.tolist()):
+                put(value, places[order[first[i] : first[i + 1] if i + 1 < len(first) else None]])
+
+        wait(np.arange(n))
+        while ranks:
+            now = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(now)))
+            at = at[rank[at] == now]  # what has merged since has another rank
+            if not len(at):
+                continue
+            touch = np.concatenate([[False], after[at[:-1]] == at[1:]])  # of overlapping pairs every other one
+            place = np.arange(len(at))
+            at_once = at[(place - np.maximum.accumulate(np.where(touch, 0, place))) % 2 == 0]
+            _, made = self.found(sym[at_once], sym[after[at_once]])
+            last = after[at_once]
+            left, right = before[at_once], after[last]
+            joined = np.concatenate([[False], last[:-1] == left[1:]])  # behind another that has merged by then
+            left_sym = np.where(joined, np.concatenate([[0], made[:-1]]), sym[left])
+            low = np.where((seq[left] == seq[at_once]), self.found(left_sym, made)[0], NONE)
+            low = np.minimum(low, np.where(seq[right] == seq[at_once], self.found(made, sym[right])[0], NONE)) <= now
+            late = np.zeros(len(at), bool)
+            if low.any():  # in a sequence, all that comes behind the first such place waits
+                stop = np.full(int(seq.max()) + 2, n)
+                np.minimum.at(stop, seq[at_once[low]], at_once[low])
+                late = at > stop[seq[at]]
+                go = at_once <= stop[seq[at_once]]
+                at_once, made, last = at_once[go], made[go], last[go]
+            sym[at_once] = made
+            rank[last] = NONE
+            sym[last] = GONE
+            further = after[last]
+            after[at_once] = further
+            before[further] = at_once
+            if late.any():
+                put(now, at[late])
+            around = before[at_once]
+            wait(np.unique(np.concatenate([at_once, around[around >= 0]])))
+        left = np.flatnonzero(sym[:n] != GONE)
+        return sym[left], token[left]
 
 
 class Counter:

@@ -299,6 +299,20 @@ def test_op8_counts_equal_the_library(spark):
     assert token_counts.token_counts(empty(spark), PIECES).count() == 0
 
 
+def test_op8_long_runs_without_a_space():
+    lib, counter, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), token_counts.Counter(PIECES), random.Random(3)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "aabbab", "theinrstionan", "ab=\t日", "".join(map(chr, range(0x4E00, 0x4F00)))]
+    texts = ["".join(rng.choices(kind, k=rng.randrange(1, 400))) for kind in kinds for _ in range(60)]
+    texts += ["".join(rng.choices(kinds[0], k=1 << 20)), "a" * (1 << 20)]  # 1 MB in seconds
+    assert counter.count(texts) == [len(lib.encode(x)) for x in texts]
+    for least in (2, 1 << 40):
+        token_counts.LONG, before = least, token_counts.LONG
+        try:
+            assert token_counts.Counter(PIECES).count(texts[:-2]) == [len(lib.encode(x)) for x in texts[:-2]]
+        finally:
+            token_counts.LONG = before
+
+
 def test_op9_language_id(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.learn(docs)
