@@ -4,9 +4,9 @@ Each task packs its own documents in blocks of bounded size, so nothing is shuff
 grows with the data. In a block every item (a document, or what is left of it after whole windows
 are cut off) starts as a partial partition of k windows that are empty but for one. The two partial
 partitions with the largest spread are merged again and again, the fullest windows of one onto the
-emptiest of the other, until one near-equal partition is left. If a window exceeds the capacity, the
-window count k rises. Where cutting is allowed, k is the exact quotient and the few tokens by which
-windows are over move to those below, so that windows are full.
+emptiest of the other, until one near-equal partition is left. While a window exceeds the capacity,
+the window count k rises. Where cutting is allowed, the emptiest of the windows found so are cut up
+to fill the little room in the others, and what is left takes sequences of powers of two.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from lettermill.llm.common import id_and_text, slices, worker_state
 REMEMBERED = 800_000
 MARKS = ".,!?"
 #: Tokens of a block of documents that are packed together.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 18
 #: Sequences that one task can number.
 PER_TASK = 1 << 31
 
@@ -80,7 +80,8 @@ def cut_windows(sizes: list[int], capacity: int) -> list[list[tuple[int, int, in
     """Sequences of pieces (item, start, length), items cut freely.
 
     All sequences are full, but for those of the last sum modulo the capacity, which have a power of
-    two each. Whole windows are cut off long items first, the rest goes through differencing.
+    two each. Whole windows are cut off long items first, the rest goes through windows(), and the emptiest
+    of these fill the others.
     """
     out: list[list[tuple[int, int, int]]] = []
     rests: list[tuple[int, int, int]] = []
@@ -89,37 +90,18 @@ def cut_windows(sizes: list[int], capacity: int) -> list[list[tuple[int, int, in
         out += [[(i, s, capacity)] for s in range(0, full, capacity)]
         if n > full:
             rests.append((i, full, n - full))
-    total = sum(x[2] for x in rests)
-    k, over = divmod(total, capacity)
-    last: list[tuple[int, int, int]] = []
-    if over:  # the last items make up the remainder, and leave k exact windows to the others
-        while over:
-            i, s, n = rests.pop()
-            take = min(n, over)
-            last.append((i, s + n - take, take))
-            if n > take:
-                rests.append((i, s, n - take))
-            over -= take
-    spare: list[tuple[int, int, int]] = []
-    filled = []
-    for w in differencing([x[2] for x in rests], k) if k else []:
-        pieces, room = [], capacity
-        for j in w:
-            i, s, n = rests[j]
-            take = min(n, room)
-            if take:
-                pieces.append((i, s, take))
-            if n > take:
-                spare.append((i, s + take, n - take))
-            room -= take
-        filled.append((pieces, room))
-    for pieces, room in filled:
+    made = [[rests[j] for j in w] for w in windows([x[2] for x in rests], capacity)]
+    made.sort(key=lambda w: -sum(x[2] for x in w))
+    k = sum(x[2] for x in rests) // capacity
+    last = [x for w in made[k:] for x in w]
+    for pieces in made[:k]:
+        room = capacity - sum(x[2] for x in pieces)
         while room:
-            i, s, n = spare.pop()
+            i, s, n = last.pop()
             take = min(n, room)
             pieces.append((i, s, take))
             if n > take:
-                spare.append((i, s + take, n - take))
+                last.append((i, s + take, n - take))
             room -= take
         out.append(pieces)
     bit = capacity

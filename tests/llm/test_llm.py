@@ -120,6 +120,11 @@ def test_op3_packing(spark):
     sizes = [random.Random(1).randrange(1, 900) for _ in range(100)]
     w = packing.windows(sizes, 1000)
     assert sorted(i for x in w for i in x) == list(range(100)) and max(sum(sizes[i] for i in x) for x in w) <= 1000
+    for some in ([], [5], [4096], [1000] * 5, [999] * 3, sizes, [5000, 1, 2, 3]):  # each id once, full sequences or powers of two
+        made = packing.cut_windows(some, 1024)
+        assert sorted((i, p) for w in made for i, s, n in w for p in range(s, s + n)) == [(i, p) for i, n in enumerate(some) for p in range(n)]
+        assert all((n := sum(x[2] for x in w)) == 1024 or n & (n - 1) == 0 for w in made)
+    assert len(packing.windows([600, 600, 600], 1000)) == 3  # two would hold the sum, but none of them two of the items
     assert packing.pack(empty(spark), WORDS).count() == 0
 
 
