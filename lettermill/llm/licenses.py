@@ -17,23 +17,45 @@ from pyspark.sql import DataFrame
 
 from lettermill.llm.common import id_and_text, slices
 
-# The usual wording of license notices.
+# The usual wording of licenses and license notices.
+MIT_PERMISSION = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+MIT_CONDITION = ", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+MIT_WARRANTY = " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+X11_NAME = " Except as contained in this notice, the name of the copyright holders shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization."
+BSD_FORMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+BSD_TWO = ": Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAME = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_WARRANTY = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+GNU_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+CC_LINE = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+    "Apache-1.1": "Licensed under the Apache License, Version 1.1.",
+    "MIT": MIT_PERMISSION + MIT_CONDITION + MIT_WARRANTY,
+    "MIT-0": MIT_PERMISSION + "." + MIT_WARRANTY,
+    "X11": MIT_PERMISSION + MIT_CONDITION + MIT_WARRANTY + X11_NAME,
+    "MIT-permission": MIT_PERMISSION + ".",
     "MIT-line": "Released under the MIT License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0-line": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "CC-BY-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC-BY-ND-4.0-line": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
-    "CC-BY-NC-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
-    "CC-BY-NC-ND-4.0-line": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "MIT-licensed-line": "Licensed under the MIT License.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause": BSD_FORMS + BSD_TWO + BSD_WARRANTY,
+    "BSD-3-Clause": BSD_FORMS + BSD_TWO + BSD_NAME + BSD_WARRANTY,
+    "BSD-sentence": BSD_FORMS + ":",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "Apache-1.1": "Licensed under the Apache License, Version 1.1.",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0-notice": GNU_NOTICE.format("General Public License", "2"),
+    "GPL-3.0-notice": GNU_NOTICE.format("General Public License", "3"),
+    "LGPL-2.1-notice": GNU_NOTICE.format("Lesser General Public License", "2.1"),
+    "LGPL-3.0-notice": GNU_NOTICE.format("Lesser General Public License", "3"),
+    "AGPL-3.0-notice": GNU_NOTICE.format("Affero General Public License", "3"),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "CC-BY-4.0": CC_LINE.format(""),
+    "CC-BY-NC-4.0-line": CC_LINE.format("-NonCommercial"),
+    "CC-BY-SA-4.0-line": CC_LINE.format("-ShareAlike"),
+    "CC-BY-ND-4.0-line": CC_LINE.format("-NoDerivatives"),
+    "CC-BY-NC-SA-4.0-line": CC_LINE.format("-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-4.0-line": CC_LINE.format("-NonCommercial-NoDerivatives"),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "ARR": "All rights reserved.",
@@ -61,7 +83,17 @@ TELLING = {
     "Apache-1.1": _apache("1.1"),
     "GPL-3.0": _gpl(3),
     "GPL-2.0": _gpl(2),
-    "GPL-notice": r"\bgnu\W+general\W+public\W+licen[sc]e",
+    "GPL-2.0-notice": r"\bgnu\W+general\W+public\W+licen[sc]e.*?\bversion\W+2\b(?!\.[1-9])",
+    "GPL-3.0-notice": r"\bgnu\W+general\W+public\W+licen[sc]e.*?\bversion\W+3\b(?!\.[1-9])",
+    "LGPL-2.1-notice": r"\bgnu\W+lesser\W+general\W+public\W+licen[sc]e.*?\bversion\W+2\.1\b",
+    "LGPL-3.0-notice": r"\bgnu\W+lesser\W+general\W+public\W+licen[sc]e.*?\bversion\W+3\b(?!\.[1-9])",
+    "AGPL-3.0-notice": r"\bgnu\W+affero\W+general\W+public\W+licen[sc]e.*?\bversion\W+3\b(?!\.[1-9])",
+    "MPL-2.0": r"\bmozilla\W+public\W+licen[sc]e\W+(?:version|v)?\W*2\.0",
+    "MIT": r"\bcopyright\W+notice\W+and\W+this\W+permission\W+notice",
+    "MIT-line": r"\bmit\b",
+    "MIT-licensed-line": r"\bmit\b",
+    "X11": r"\bexcept\W+as\W+contained\W+in\W+this\W+notice",
+    "BSD-3-Clause": r"\bendorse\W+or\W+promote\b",
     "CC-BY-4.0": _cc(""),
     "CC-BY-NC-4.0-line": _cc(NC),
     "CC-BY-SA-4.0-line": _cc(SA),
@@ -72,7 +104,7 @@ TELLING = {
 TAIL = 3
 #: Aligned share of a template from which a text carries the license.
 COVERAGE = 0.85
-#: A template's words in a text lie at most so many times its length apart.
+#: What a match is: words of a text that lie at most so many times the template's length apart (words that are further apart are no notice).
 STRETCH = 2
 
 
@@ -125,10 +157,10 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 class Scanner:
     def __init__(self, templates: dict[str, str], telling: dict[str, str] | None = None):
-        self.telling = {k: re.compile(v, re.IGNORECASE) for k, v in (telling or {}).items()}
+        self.telling = {k: re.compile(v, re.IGNORECASE | re.DOTALL) for k, v in (telling or {}).items()}
         self.templates = {k: words_of(v) for k, v in sorted(templates.items())}
         self.words = {w for t in self.templates.values() for w in t}
-        self.vocabulary = {k: Counter(t) for k, t in self.templates.items()}
+        self.vocabulary = {k: Counter(dict(sorted(Counter(t).items(), key=lambda x: -len(x[0])))) for k, t in self.templates.items()}  # longer words first: those that texts often don't have
 
     def windows(self, places: list[tuple[int, str]], name: str, coverage: float) -> Iterator[list[tuple[int, str]]]:
         """Windows, STRETCH times the template long, from each of its words in a text; only those in which
@@ -136,8 +168,6 @@ class Scanner:
         bag = self.vocabulary[name]
         size = len(self.templates[name])
         need, own = coverage * size, [x for x in places if x[1] in bag]
-        if len(own) < need:
-            return
         inside: Counter[str] = Counter()
         end = shared = 0
         for start, (p, word) in enumerate(own):
@@ -151,24 +181,41 @@ class Scanner:
             inside[word] -= 1
             shared -= inside[word] < bag[word]
 
+    def possible(self, there: Counter[str], name: str, coverage: float) -> bool:
+        """Whether a text has enough of the template's words."""
+        spare = len(self.templates[name]) * (1 - coverage)
+        for w, n in self.vocabulary[name].items():
+            if (m := there.get(w, 0)) < n:
+                spare -= n - m
+                if spare < -1e-9:
+                    return False
+        return True
+
     def scan(self, text: str, coverage: float) -> list[tuple[str, float, int, int]]:
         """Licenses of a text: name, coverage, first and one past the last character."""
         matches = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)] if text else []
         lower = [(i, w) for i, (_, _, raw) in enumerate(matches) if (w := raw.lower()) in self.words]
+        there = Counter(w for _, w in lower)
         out = []
         for name in self.templates:
-            best = (0.0, 0, -1)
+            if not self.possible(there, name, coverage):
+                continue
+            best, seen = (0.0, 0, -1), -1
             for part in self.windows(lower, name, coverage):
+                if part[0][0] <= seen:
+                    continue
                 pairs = align([w for _, w in part], self.templates[name])
                 if not pairs or len(pairs) < coverage * len(self.templates[name]):
                     continue
+                seen = part[pairs[0][0]][0]  # windows that begin before have this alignment, too
                 first, last = part[pairs[0][0]][0], part[pairs[-1][0]][0]
                 if name in self.telling and not self.telling[name].search(text, matches[first][0], matches[min(last + TAIL, len(matches) - 1)][1]):
                     continue
                 best = max(best, (len(pairs) / len(self.templates[name]), -first, last))
             if best[0] >= coverage:
                 out.append((name, best[0], matches[-best[1]][0], matches[best[2]][1]))
-        return out
+        longer = lambda x, y: len(self.templates[y[0]]) > len(self.templates[x[0]]) and y[2] <= x[2] and x[3] <= y[3]
+        return [x for x in out if not any(longer(x, y) for y in out)]
 
 
 SCHEMA = "doc_id long, n_chars long, n_licenses int, license string, coverage double, span_start long, span_end long, all_licenses string"
@@ -179,7 +226,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
 
     license, coverage and the span in characters are of the template with the largest coverage (of
     equals the longest, then the first by name), null without one; all_licenses has the names of all
-    templates with the coverage, joined by commas. The own templates also need what tells them from their
+    templates with the coverage, joined by commas, but for those that are part of a longer one. A match is
+    at most STRETCH times as long as its template. The own templates also need what tells them from their
     siblings (see TELLING). A null or empty text has none; a null doc_id stays
     null; repeated rows give repeated rows; an empty table gives no rows. Only doc_id and text are read.
     """
