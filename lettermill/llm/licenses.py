@@ -200,14 +200,13 @@ class Scanner:
         for name in self.templates:
             if not self.possible(there, name, coverage):
                 continue
-            best, seen = (0.0, 0, -1), -1
+            best = (0.0, 0, -1)
             for part in self.windows(lower, name, coverage):
-                if part[0][0] <= seen:
-                    continue
+                if best[0] == 1.0:  # none can be better, or as good and earlier
+                    break
                 pairs = align([w for _, w in part], self.templates[name])
                 if not pairs or len(pairs) < coverage * len(self.templates[name]):
                     continue
-                seen = part[pairs[0][0]][0]  # windows that begin before have this alignment, too
                 first, last = part[pairs[0][0]][0], part[pairs[-1][0]][0]
                 if name in self.telling and not self.telling[name].search(text, matches[first][0], matches[min(last + TAIL, len(matches) - 1)][1]):
                     continue
