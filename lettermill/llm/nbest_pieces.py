@@ -43,6 +43,9 @@ class Lattice:
         self.pieces = [p.piece for p in model.pieces]
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.signs = {i: (model.trainer_spec.unk_surface if p.type == 2 else "") for i, p in enumerate(model.pieces) if p.type in (2, 3)}
+        #: What an id shows wherever it stands; None where that depends on its neighbours.
+        self.shown = [None if i in self.signs or self.byte_of.get(i, 0) > 127 else chr(self.byte_of[i]) if i in self.byte_of else p for i, p in enumerate(self.pieces)]
         self.longest = max(map(len, self.ids))
         self.prefix: dict[str, float | None] = {p[:i]: None for p in self.ids for i in range(1, len(p))} | self.score
         self.packed = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
@@ -132,9 +135,41 @@ class Lattice:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: bytes are joined, the first space is dropped."""
-        raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode() for i in ids)
-        return raw.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+        """The text of ids as the library gives it: bytes are joined (one replacement character for each that is no text), the first
+        space is dropped, begin and end marks are nothing, the unknown piece is its sign."""
+        try:
+            text = "".join(map(self.shown.__getitem__, ids))
+            return (text[1:] if text[:1] == SPACE else text).replace(SPACE, " ")
+        except TypeError:  # some ids aren't characters by themselves
+            pass
+        out, raw, begun = [], b"", False
+
+        def flush() -> None:
+            nonlocal raw
+            while raw:
+                try:
+                    out.append(raw.decode())
+                    break
+                except UnicodeDecodeError as e:
+                    out.append(raw[: e.start].decode() + "\ufffd")
+                    raw = raw[e.start + 1 :]
+            raw = b""
+
+        for i in ids:
+            if i in self.byte_of:
+                raw += bytes([self.byte_of[i]])
+                begun = True
+                continue
+            flush()
+            if i in self.signs:
+                out.append(self.signs[i])
+                begun = begun or bool(self.signs[i])
+            else:
+                piece = self.pieces[i]
+                out.append((piece if begun else piece.removeprefix(SPACE)).replace(SPACE, " "))
+                begun = True
+        flush()
+        return "".join(out)
 
 
 class Segmenter:
@@ -255,12 +290,17 @@ def encode_digest(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
 
 
 def decode(rows: DataFrame, model_path: str) -> DataFrame:
-    """doc_id and text of rows with doc_id and ids (array<int>); null ids give a null text."""
+    """doc_id and text of rows with doc_id and ids (array<int>).
+
+    Null ids, a null among them or an id that the model doesn't have give a null text, no ids the empty
+    text; repeated rows give repeated rows, and an empty table none. Only doc_id and ids are read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = segmenter(model_path).lattice.decode
+        lattice = segmenter(model_path).lattice
+        known = range(len(lattice.pieces))
         for batch in batches:
-            text = [None if x is None else back([i for i in x if i is not None]) for x in batch.column("ids").to_pylist()]
+            text = [lattice.decode(x) if x is not None and all(i in known for i in x) else None for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "text"])
 
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")

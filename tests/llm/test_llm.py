@@ -68,6 +68,21 @@ def test_op1_brute_force_and_round_trip(spark):
     assert nbest_pieces.decode(best, PIECES).filter("doc_id = 5").first().text == ODD[5]
 
 
+def test_op1_decoding_equals_the_library(spark):
+    lib, lat, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), nbest_pieces.Lattice(PIECES), random.Random(9)
+    some = [0, 1, 2, 259, 300, 400, *range(3 + 0xE0, 3 + 0xEA), *range(3 + 0x90, 3 + 0xA6), *lat.ids.values()]
+    for _ in range(3000):
+        ids = rng.choices(some[: rng.choice([6, 38, len(some)])], k=rng.randrange(8))
+        assert lat.decode(ids) == lib.decode(ids), ids
+    rows = spark.createDataFrame([(1, [300, None]), (2, [-1]), (3, [40_000]), (4, []), (5, None), (5, None), (None, [400])], "doc_id long, ids array<int>")
+    got = nbest_pieces.decode(rows.withColumn("text", F.lit("clash")), PIECES).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got if r.text is not None) == [(0, lib.decode([400])), (4, "")] and len(got) == 7
+
+
+def test_op1_no_piece_goes_from_a_word_into_the_space_behind_it():
+    assert not any(nbest_pieces.SPACE in p.lstrip(nbest_pieces.SPACE) for p in nbest_pieces.Lattice(PIECES).ids)
+
+
 def test_op2_licenses(spark):
     text = "Intro words. " + licenses.TEMPLATES["MIT"].replace("free of charge", "for free").replace("substantial portions", "parts") + " the end"
     got = {r.doc_id: r for r in licenses.scan_licenses(odd(spark, [text, "x " * 50 + licenses.TEMPLATES["GPL-3.0"]])).collect()}
