@@ -3,7 +3,7 @@
 Each page becomes a request, a response (or revisit) and a metadata record; the first and the last
 name the second in WARC-Concurrent-To. Spark's text writer writes the records, with the blank line
 that ends a WARC record as its line separator, so any file system that Spark knows will do. Reading
-goes by Content-Length, and assembly joins the three kinds of records into one nested row a capture.
+goes by Content-Length, and assembly brings the three kinds of records together by the capture they name, into one nested row.
 """
 
 from __future__ import annotations
@@ -49,7 +49,8 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES)
     owners = large.groupBy("digest").agg(F.max("at").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "owner")
     named = lambda kind, at: F.concat(F.lit(f"<{URN}{kind}:"), F.coalesce(at["page_id"].cast("string"), F.lit("")), F.lit(":"), at["nr"].cast("string"), F.lit(">"))
     own = F.struct("page_id", "nr")
-    all_rows = rows.join(owners, "digest", "left").withColumn("owner", F.when(F.col("size") >= revisit_bytes, F.col("owner")))
+    key = F.when(F.col("size") >= revisit_bytes, F.col("digest")).otherwise(F.concat(F.lit("-"), F.col("nr").cast("string")))  # small payloads meet nothing, and so don't meet in one task
+    all_rows = rows.withColumn("key", key).join(owners.withColumnRenamed("digest", "key"), "key", "left").drop("key")
     first = F.col("owner").isNull() | (F.col("owner") == own)
     capture, uri = named("response", own), ("WARC-Target-URI", F.col("url"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("size").cast("string"), F.lit(EOL * 2))
@@ -82,12 +83,13 @@ def parsed(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
 FIELDS = "record_id string, type string, concurrent_to string, target_uri string, refers_to string, content_type string, payload_digest string, payload_bytes long, content binary"
 
 
-def read_warc(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("request", "response", "revisit", "metadata"), content: bool = True) -> DataFrame:
-    """The records of these kinds in the archives of a folder.
+def read_warc(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
+    """The request, response, revisit and metadata records in the archives of a folder.
 
     For responses the payload's digest (SHA-1, lower-case hex) and length are computed from the
     payload and a digest that differs from its header's is an error; revisits have them from their
-    headers. content: the payload of responses, the block of other records.
+    headers. content: the payload of responses, the block of other records; without content it is
+    null for responses and revisits. A task reads an archive at a time, which is up to 2 GB (of Spark's binary files).
     """
 
     def payload(block: bytes) -> tuple[int, bytes]:
@@ -105,7 +107,7 @@ def read_warc(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("request
                 whole.seek(0)
                 for h, block in parsed(io.BufferedReader(stream)):
                     kind = h.get("warc-type")
-                    if kind not in kinds:
+                    if kind not in ("request", "response", "revisit", "metadata"):
                         continue
                     digest, n, body = h.get("warc-payload-digest", "").rpartition(":")[2].lower() or None, None, block
                     if kind in ("response", "revisit"):
@@ -114,8 +116,10 @@ def read_warc(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("request
                         n, said, digest = len(body), digest, hashlib.sha1(body).hexdigest()
                         if said not in (None, digest):
                             raise ValueError(f"the payload of {h.get('warc-record-id')} doesn't have its digest")
-                    rows.append((h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("content-type"), digest, n, body if content else None))
-                    size += len(body) if content else 200
+                    if kind in ("response", "revisit") and not content:
+                        body = None
+                    rows.append((h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("content-type"), digest, n, body))
+                    size += 200 + len(body or b"")
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                         rows, size = [], 0
@@ -129,14 +133,20 @@ def read_warc(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("request
 def transactions(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
     """One nested row for each capture: response (or revisit), with its request and metadata (null without one).
 
-    A request or metadata record belongs to the capture that its concurrent-to names.
+    A request or metadata record belongs to the capture that its concurrent-to names; of several of a
+    kind that with the least id stays, and those without a capture go. All records are read once and meet in one
+    shuffle.
     """
-    captures = read_warc(spark, path, ("response", "revisit"), content)
-    rows = captures.select(F.col("record_id").alias("capture_id"), F.struct(*[c for c in captures.columns if c not in ("concurrent_to",)]).alias("response"))
-    for kind in ("request", "metadata"):
-        side = read_warc(spark, path, (kind,))
-        rows = rows.join(side.select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "target_uri", "content_type", F.col("content").cast("string").alias("content")).alias(kind)), "capture_id", "left")
-    return rows.select("capture_id", "request", "response", "metadata")
+    records = read_warc(spark, path, content)
+    capture = F.when(F.col("type").isin("response", "revisit"), F.col("record_id")).otherwise(F.col("concurrent_to"))
+    least = lambda of, *columns: F.min(F.when(of, F.struct("record_id", *columns)))
+    side = ("target_uri", "content_type", F.col("content").cast("string").alias("content"))
+    rows = records.groupBy(capture.alias("capture_id")).agg(
+        least(F.col("type") == "request", *side).alias("request"),
+        least(F.col("type").isin("response", "revisit"), *[c for c in records.columns if c not in ("record_id", "concurrent_to")]).alias("response"),
+        least(F.col("type") == "metadata", *side).alias("metadata"),
+    )
+    return rows.filter("response IS NOT NULL")
 
 
 def round_trip(pages: DataFrame, content: bool = False) -> DataFrame:

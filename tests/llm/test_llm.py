@@ -1,5 +1,6 @@
 """The training-data operators against libraries and brute force, with nulls, empty texts, ties, repeated rows and empty tables."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -446,6 +447,19 @@ def test_op10_warc(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_op10_assembly_of_incomplete_transactions(spark, tmp_path):
+    def record(kind, i, body, **more):
+        head = "".join(f"{k}: {v}\r\n" for k, v in {"WARC-Type": kind, "WARC-Record-ID": f"<{i}>", **{k.replace("_", "-"): v for k, v in more.items()}, "Content-Length": len(body)}.items())
+        return f"WARC/1.1\r\n{head}\r\n".encode() + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    whole = b"".join([record("warcinfo", "w", b"x"), record("request", "q2", b"GET b", WARC_Concurrent_To="<a>"), record("request", "q1", b"GET a", WARC_Concurrent_To="<a>"), record("response", "a", http), record("response", "b", http), record("metadata", "m", b"k: v", WARC_Concurrent_To="<gone>")])
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(whole))
+    got = {r.capture_id: r for r in warc.transactions(spark, str(tmp_path)).collect()}
+    assert set(got) == {"<a>", "<b>"} and got["<a>"].request.content == "GET a" and got["<b>"].request is None and got["<a>"].metadata is None
+    assert bytes(got["<b>"].response.content) == b"body" and got["<b>"].response.payload_digest == hashlib.sha1(b"body").hexdigest()
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.by_language(spark, docs, SF)
