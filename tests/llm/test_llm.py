@@ -388,35 +388,39 @@ def test_op9_language_id(spark):
     assert language_id.identify(empty(spark), language_id.learn(empty(spark))).count() == 0
 
 
-def test_op9_code_lengths_equal_a_plain_model():
+def plain_counts(texts, order=4):
+    after = {}
+    for t in texts:
+        x = b" " * order + language_id.normal(t)
+        for i in range(order, len(x)):
+            for o in range(order + 1):
+                after.setdefault(x[i - o : i], Counter())[x[i]] += 1
+    return after
+
+
+def plain_bits(after, text, order=4):
     """Escape method C in dictionaries, byte by byte."""
-    texts = {"a": ["The cat sat  on the mat", "a  hat é"], "b": ["chien et chat", "été là là"]}
-    model, order = language_id.Model(texts, 4), 4
-
-    def plain(lang, text):
-        seen = Counter()
-        for t in texts[lang]:
-            x = b"    " + language_id.normal(t)
-            seen.update(x[i - o : i + 1] for i in range(4, len(x)) for o in range(order + 1))
-        bits, x = 0.0, b"    " + language_id.normal(text)
-        for i in range(4, len(x)):
-            for o in range(order, -2, -1):
-                if o < 0:
-                    bits += 8
-                    break
-                after = {g: n for g, n in seen.items() if len(g) == o + 1 and g[:-1] == x[i - o : i]}
-                if not after:
-                    continue
-                total = sum(after.values()) + len(after)
-                if (n := after.get(x[i - o : i + 1])) is not None:
-                    bits -= np.log2(n / total)
-                    break
-                bits -= np.log2(len(after) / total)
-        return bits
+    bits, x = 0.0, b" " * order + language_id.normal(text)
+    for i in range(order, len(x)):
+        for o in range(order, -1, -1):
+            if (seen := after.get(x[i - o : i])) is None:
+                continue
+            total = sum(seen.values()) + len(seen)
+            if x[i] in seen:
+                bits -= np.log2(seen[x[i]] / total)
+                break
+            bits -= np.log2(len(seen) / total)
+        else:
+            bits += 8
+    return bits
 
+
+def test_op9_code_lengths_equal_a_plain_model():
+    texts = {"a": ["The cat sat  on the mat", "a  hat é"], "b": ["chien et chat", "été là là"]}
+    model = language_id.Model(texts, 4)
     some = ["the hat", "", "là chat zz", "日本 A"]
     got, sizes = model.totals(some)
-    assert got.ravel().tolist() == pytest.approx([plain(k, t) for t in some for k in "ab"])
+    assert got.ravel().tolist() == pytest.approx([plain_bits(plain_counts(texts[k]), t) for t in some for k in "ab"])
     assert sizes.tolist() == [len(language_id.normal(t)) for t in some]
 
 
@@ -470,3 +474,86 @@ def test_pipeline(spark):
     for r in suffix_dedup.remove_repeats(once).collect():
         assert cut[r.doc_id].text == bytes(r.kept).decode("utf-8", "ignore") and cut[r.doc_id].n_chars == len(cut[r.doc_id].text)
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == len(cut)
+
+
+def plain_pipeline(rows):
+    """The stages by brute force, over (doc_id, text, lang): doc_id and text of what is packed."""
+    learned = {}
+    for i, t, lang in rows:
+        if t is not None and lang is not None and (i is None or zlib.crc32(str(i).encode()) % 3 != 1):
+            learned.setdefault(lang, set()).add((i, t))
+    learned = {k: [t for _, t in v] for k, v in learned.items()}
+    counts = {k: plain_counts(v) for k, v in sorted(learned.items())}
+    usual = {k: np.median([plain_bits(counts[k], t) / len(language_id.normal(t)) for t in v if t.split()]) for k, v in learned.items()}
+    kept = []
+    for i, t, _ in rows:
+        if t is not None and any(map(str.isalpha, t)):
+            size = len(language_id.normal(t))
+            bits, lang = min((plain_bits(c, t), k) for k, c in counts.items())
+            if bits / size < language_id.REJECTED * usual[lang] or bits - usual[lang] * size < language_id.EVIDENCE:
+                kept.append((i, t))
+    # near duplicates: all pairs
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.lower().split() for _, t in kept)]
+    label = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if label[i] != label[j] and (kept[i][1] == kept[j][1] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                label = [label[j] if x == label[i] else x for x in label]
+    best = {}
+    for k, row in zip(label, kept, strict=True):
+        if k not in best or (row[0] is not None and (best[k][0] is None or row[0] < best[k][0])):
+            best[k] = row
+    # repeats of 200 bytes
+    raw = [(i, t.encode()) for i, t in best.values()]
+    seen = Counter(b[i : i + 200] for _, b in raw for i in range(len(b) - 199))
+    out = []
+    for i, b in raw:
+        gone = np.zeros(len(b), bool)
+        for j in range(len(b) - 199):
+            if seen[b[j : j + 200]] > 1:
+                gone[j : j + 200] = True
+        left, at = "", 0
+        for c in b.decode():  # a character that is cut goes
+            size = len(c.encode())
+            left += c if not gone[at : at + size].any() else ""
+            at += size
+        out.append((i, left))
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    words = {"en": "the of and reading water house under stone river light".split(), "fr": "été où le des maison rivière pierre lumière forêt noël".split()}
+    prose = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    passage = prose("fr", 60)
+    rows = [(i, prose(lang, rng.randrange(5, 150)) + (" " + passage + " " if i % 5 == 0 else " ") + prose(lang, 30), lang if i % 4 else None) for i, lang in ((i, rng.choice(["en", "fr"])) for i in range(40))]
+    for i in range(0, 12, 3):  # near and exact copies
+        w = rows[i][1].split()
+        rows += [(50 + i, " ".join([*w[:3], "other", *w[4:]]), None), (60 + i, rows[i][1], "en")]
+    rows += [(80, "".join(rng.choices("bcdfghjklmnpqrstvwxz0123456789", k=300)), None), (81, "漢字" * 60, None), (82, None, "en"), (83, "", None), (84, "12 !", None), (85, "a", None)]
+    rows += [rows[4], rows[4], (None, prose("en", 50), None), (None, rows[7][1], None)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "clash", 1) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, h string, comp int")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    want = plain_pipeline(rows)
+    library = packing.Ids(WORDS).tokenizer
+    ids = lambda t: [*library.encode(t, add_special_tokens=False).ids, 2]
+    assert 30 < len(want) < len(rows) - 10
+    assert sorted(got[got.start == 0].doc_id.fillna(-1)) == sorted(-1 if i is None else i for i, _ in want)
+    pieces = {(-1 if r.doc_id != r.doc_id else int(r.doc_id), r.start): (r.length, r.ids_crc32, r.doc_tokens) for r in got.itertuples()}
+    for i, t in want:
+        at, mine = 0, ids(t)
+        while at < len(mine):
+            n, crc, size = pieces[-1 if i is None else i, at]
+            assert size == len(mine) and crc == zlib.crc32(np.array(mine[at : at + n], "<u4").tobytes())
+            at += n
+    for _, s in got.groupby("sequence_id"):
+        assert (n := int(s.length.sum())) == 4096 or n & (n - 1) == 0
+
+
+def test_pipeline_stages_on_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, h string")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, none, SF)
+        assert got.count() == 0 and (name == "packing" or got.columns == none.columns[:-1])
