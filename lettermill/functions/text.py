@@ -1,10 +1,12 @@
-"""Scalar text functions, as Column expressions (no Python on the executors)."""
+"""Scalar text functions, as Column expressions; Python (vectorized) where brackets and quotes have to be matched."""
 
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,29 +83,27 @@ def remove_footnotes(text: Column) -> Column:
     return _without_notes(text, r"[ \t]*>", "")
 
 
-def clean_text(text: Column) -> Column:
-    """Lines without markdown at their ends, breaks and superscripts; runs of blank lines as one."""
+#: White space within a line.
+INNER = r"[^\S\n]"
 
-    def line(x: Column) -> Column:
-        x = F.regexp_replace(strip(x), r"^(?:#+\s*|\*\*|\*|_+|>\s*)", "")
-        x = F.regexp_replace(x, r"^[ *_#>]+|[ *_#>]+\z", "")
-        x = F.regexp_replace(F.regexp_replace(x, r"<br>|<br/>|</br>", " "), r"<sup>[^<]*</sup>", "")
-        return strip(F.regexp_replace(x, r"(?U)\s+", " "))
 
-    joined = F.array_join(F.transform(lines(text), line), "\n")
-    return F.regexp_replace(F.regexp_replace(joined, "\n{3,}", "\n\n"), r"^\n+|\n+\z", "")
+def clean_text(text: Column) -> Column:
+    """Lines without markdown at their ends, breaks and superscripts; runs of blank lines as one."""
+    trim = rf"(?Umd)^{INNER}+|{INNER}+$"
+    x = F.regexp_replace(F.regexp_replace(text, P.LINE_BREAK, "\n"), trim, "")
+    x = F.regexp_replace(x, r"(?md)^(?:#+[ \t]*|\*\*|\*|_+|>[ \t]*)", "")
+    x = F.regexp_replace(x, r"(?md)^[ *_#>]+|[ *_#>]+$", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"<br>|<br/>|</br>", " "), r"<sup>[^<\n]*</sup>", "")
+    x = F.regexp_replace(F.regexp_replace(x, rf"(?U){INNER}+", " "), trim, "")
+    return F.regexp_replace(F.regexp_replace(x, "\n{3,}", "\n\n"), r"^\n+|\n+\z", "")
 
 
 def clean_petition(text: Column) -> Column:
-    """Without quotes and underscores around, and with one mark at the end."""
-    quotes = "”\"'‘’_"
+    """Without quotes and underscores around, and with one mark at the end: of the quotes and marks there the first mark stays."""
     out = F.regexp_replace(strip(text), "(?U)^[\\s“”\"'‘’_]+", "")
-    for _ in range(4):  # the rules feed each other; four rounds reach the fixed point
-        out = F.regexp_replace(out, rf"(?U)[\s{quotes}]*[{quotes}]\z", "")
-        out = F.regexp_replace(out, rf"(?U)[{quotes}]\s*([.!?;:])\s*\z", "$1")
-        out = F.regexp_replace(out, rf"(?U)([.!?;:])\s*[{quotes}]\s*\z", "$1")
-        out = F.regexp_replace(out, r"(?U)([.!?;:])\s*[.!?;:]+\s*\z", "$1")
-    return strip(out)
+    quotes = "”\"'‘’_"
+    out = F.regexp_replace(out, rf"(?U)(\s*)[\s{quotes}]*([.!?;:])[\s.!?;:{quotes}]*\z", "$1$2")
+    return strip(F.regexp_replace(out, rf"(?U)[\s{quotes}]+\z", ""))
 
 
 def clean_answer(text: Column, cleaner=clean_text) -> Column:
@@ -117,25 +117,28 @@ def normalize_markdown(text: Column) -> Column:
 
 
 def strip_markdown(text: Column) -> Column:
-    """Plain text of markdown: emphasis, links, headings, quotes and code marks go; a hard break stays, a soft one is a space."""
-    out = normalize_markdown(text)
-    out = F.regexp_replace(out, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(out, r"(?m)^\s{0,3}(?:#{1,6}\s+|>\s?)|\s+#+\s*$", "")
-    out = F.regexp_replace(out, r"(\*{1,3}|_{1,3}|`+)(?=\S)(.+?)(?<=\S)\1", "$2")
-    out = F.regexp_replace(out, r"(?: {2,}|\\)\n", "\u0000")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?<!\n)\n(?!\n)", " "), "\n{2,}", "\n\n")
-    return strip(F.replace(out, F.lit("\u0000"), F.lit("\n")))
+    """Plain text of CommonMark without lists: emphasis, links, headings, quotes and code marks go; a hard break stays, a soft one is a space."""
+
+    @F.pandas_udf("string")
+    def plain(x: pd.Series) -> pd.Series:
+        from lettermill.functions.markdown import plain_text
+
+        return x.map(plain_text, na_action="ignore")
+
+    return plain(normalize_markdown(text))
 
 
 def clean_line(x: Column) -> Column:
-    x = F.regexp_replace(x, r"^\s*[-*•◦▪▸]\s+", "")
-    return strip(F.regexp_replace(F.regexp_replace(x, r"^#{1,6}\s*", ""), r"^\d{1,3}\s*[.．)\]]\s+", ""))
+    """Of each line, without a list mark, heading marks and a number in front."""
+    blank = r"[ \t\x0B\f\r]"
+    x = F.regexp_replace(x, rf"(?md)^{blank}*[-*•◦▪▸]{blank}+", "")
+    x = F.regexp_replace(F.regexp_replace(x, rf"(?md)^#{{1,6}}{blank}*", ""), rf"(?md)^\d{{1,3}}{blank}*[.．)\]]{blank}+", "")
+    return F.regexp_replace(x, rf"(?Umd)^{INNER}+|{INNER}+$", "")
 
 
 def clean_block(text: Column) -> Column:
     """Cleaned lines, paragraphs apart by one blank line, without quotes and emphasis."""
-    out = F.array_join(F.transform(F.split(text, "\n"), clean_line), "\n")
-    out = F.regexp_replace(F.regexp_replace(out, "\n{2,}", "\n\n"), r"^\n+", "")
+    out = F.regexp_replace(F.regexp_replace(clean_line(text), "\n{2,}", "\n\n"), r"^\n+", "")
     return strip(F.regexp_replace(F.translate(out, "”“\"'‘’*_", ""), r"[ \t]+", " "))
 
 
@@ -211,7 +214,31 @@ def after_thinking(text: Column) -> Column:
 
 def clean_json_text(text: Column) -> Column:
     """JSON text without a byte order mark and a code fence, and with plain quotes for smart ones outside strings."""
-    x = F.regexp_replace(text, "\ufeff", "")
-    for smart, plain in (("‘’", "'"), ("“”", '"')):  # single ones first, as new double ones would look like strings
-        x = F.regexp_replace(x, rf'(?s)\G((?:[^{smart}"]++|"(?:[^"\\]++|\\.)*+(?:"|\z))*+)[{smart}]', f"$1{plain}")
-    return strip_fence(x)
+    token = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[“”‘’]', re.DOTALL)
+    plain = {"“": '"', "”": '"', "‘": "'", "’": "'"}
+
+    @F.pandas_udf("string")
+    def quoted(x: pd.Series) -> pd.Series:
+        return x.map(lambda s: token.sub(lambda m: plain.get(m.group(), m.group()), s.replace("\ufeff", "")), na_action="ignore")
+
+    return strip_fence(quoted(text))
+
+
+def outer_json(text: Column) -> Column:
+    """The first array or object of a text, up to its bracket's end (brackets in strings don't count); null without one."""
+    token = re.compile(r'"(?:[^"\\]|\\.)*"|[][{}]', re.DOTALL)
+
+    def first(s: str) -> str | None:
+        begin = re.search(r"[[{]", s)
+        depth, close = 0, "]" if begin and begin.group() == "[" else "}"
+        for m in token.finditer(s, begin.start()) if begin else ():
+            depth += (m.group() == begin.group()) - (m.group() == close)
+            if not depth:
+                return s[begin.start() : m.end()]
+        return None
+
+    @F.pandas_udf("string")
+    def outer(x: pd.Series) -> pd.Series:
+        return x.map(first, na_action="ignore")
+
+    return outer(text)

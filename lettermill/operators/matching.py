@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions import patterns as P
 from lettermill.functions import text as X
+from lettermill.sources.tables import written
 
 
 def keep_units(petitions: DataFrame, units: DataFrame) -> DataFrame:
@@ -26,8 +27,8 @@ def best_matches(petitions: DataFrame, pairs: DataFrame, threshold: float = P.TH
     """
     if threshold <= 0:
         raise ValueError("the threshold is above 0")
-    asked = petitions.select("petition_id", X.tokens(F.coalesce("noi_dung", F.lit(""))).alias("p"))
-    given = pairs.select("pair_ord", X.tokens(F.coalesce("noi_dung", F.lit(""))).alias("q"))
+    asked = written(petitions.select("petition_id", X.tokens(F.coalesce("noi_dung", F.lit(""))).alias("p")))  # each used three times
+    given = written(pairs.select("pair_ord", X.tokens(F.coalesce("noi_dung", F.lit(""))).alias("q")))
     seen = given.select(F.explode("q").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
     def rare(df: DataFrame, key: str, tokens: str) -> DataFrame:

@@ -19,10 +19,10 @@ BAD_JSON = "The last answer was no JSON array. Answer with one array of arrays o
 UNEVEN = "The last answer had %d petitions but %d answers. Each petition has exactly one answer; give the whole array again."
 
 
-def ask(prompts: DataFrame, model: Model, concurrency: int = 1, calls: int = 3) -> DataFrame:
+def ask(prompts: DataFrame, model: Model, concurrency: int | None = None, calls: int = 3) -> DataFrame:
     """doc_id, label, answer and error for each prompt (doc_id, prompt, hint) and label.
 
-    An empty answer or an exception is tried again, calls times in all. concurrency is the number of tasks that call the model.
+    An empty answer or an exception is tried again, calls times in all. concurrency is the number of tasks that call the model (what the service bears; as many as there are cores, if none is given).
     """
 
     def one(*asked) -> tuple[str | None, str | None]:
@@ -40,10 +40,10 @@ def ask(prompts: DataFrame, model: Model, concurrency: int = 1, calls: int = 3)
             out = [(d, label, *one(label, p, h)) for d, p, h in zip(b["doc_id"], b["prompt"], b["hint"], strict=True) for label in LABELS]
             yield pd.DataFrame(out, columns=["doc_id", "label", "answer", "error"])
 
-    return prompts.select("doc_id", "prompt", "hint").repartition(concurrency).mapInPandas(run, "doc_id long, label string, answer string, error string")
+    return prompts.select("doc_id", "prompt", "hint").repartition(concurrency or prompts.sparkSession.sparkContext.defaultParallelism, F.xxhash64("doc_id")).mapInPandas(run, "doc_id long, label string, answer string, error string")
 
 
-def propose(numbered: DataFrame, model: Model, tries: int = 3, concurrency: int = 1) -> DataFrame:
+def propose(numbered: DataFrame, model: Model, tries: int = 3, concurrency: int | None = None) -> DataFrame:
     """Answers (doc_id, label, answer, error) for the units of letters.
 
     A letter is asked about again, with a hint, while an answer can't be read or the sides differ in
@@ -65,7 +65,7 @@ def propose(numbered: DataFrame, model: Model, tries: int = 3, concurrency: int
     return all_tries.join(last, ["doc_id", "try"]).select("doc_id", "label", "answer", "error")
 
 
-def extract(docs: DataFrame, model: Model, tries: int = 3, concurrency: int = 1) -> DataFrame:
+def extract(docs: DataFrame, model: Model, tries: int = 3, concurrency: int | None = None) -> DataFrame:
     """doc_id, n_units, kien_nghi, tra_loi, blocks, warnings and error of each letter (doc_id, text).
 
     blocks are in the order of the groups, a petition before its answer. A letter without units isn't asked about (KHONG_UNIT).

@@ -9,10 +9,6 @@ from lettermill.functions import text as X
 
 ITEM = "struct<`KN_KIENNGHI.ID`:string,`KN_KIENNGHI.DONVI_TIEPNHAN`:string,`KN_KIENNGHI.NOI_DUNG`:string>"
 
-#: A string or number of a JSON array.
-VALUE = r'(?:"(?:[^"\\\\]|\\\\.)*"|[\w.+-]+)'
-
-
 def data_list(raw: Column) -> Column:
     """Petitions of a request: an array, an object with data_list, or an array of JSON strings; null if none of these."""
     x = X.clean_json_text(raw)
@@ -26,12 +22,15 @@ def data_list(raw: Column) -> Column:
 
 
 def file_ids(raw: Column) -> Column:
-    """Ids of a request: a JSON array, a bare id or a list with commas; null if what starts as JSON isn't."""
+    """Ids of a request: a JSON array of strings, a bare id or a list with commas; null if there is none, or if what starts as JSON isn't such an array."""
     x = X.clean_json_text(raw)
-    listed = F.filter(F.transform(F.split(x, ","), lambda s: F.regexp_replace(s, r"^[\s\[\]\"']+|[\s\[\]\"']+\z", "")), lambda s: s != "")
-    is_json = x.startswith("[") | x.startswith("{")
-    parsed = F.when(x.rlike(rf"^\[\s*(?:{VALUE}\s*(?:,\s*{VALUE}\s*)*)?\]$"), F.from_json(x, "array<string>"))
-    return F.when(is_json, parsed).otherwise(listed)
+    listed = F.filter(F.transform(F.split(x, ","), lambda s: X.strip(F.regexp_replace(s, r"[\[\]{}\"']", ""))), lambda s: s != "")
+    parsed = F.try_parse_json(x)
+    one = X.outer_json(x) == X.strip(x)  # nothing behind it
+    strings = F.when(one & (F.schema_of_variant(parsed) == "ARRAY<STRING>"), F.try_variant_get(parsed, "$", "array<string>"))
+    whole = F.forall(strings, lambda s: F.coalesce(X.strip(s) != "", F.lit(False)))
+    found = F.when(x.rlike(r"^[\[{]"), F.when(whole, strings)).otherwise(listed)
+    return F.when(F.size(found) > 0, found)
 
 
 def parse(requests: DataFrame) -> DataFrame:
@@ -52,4 +51,5 @@ def is_uuid(x: Column) -> Column:
 
 
 def preview(x: Column, n: int = 80) -> Column:
+    """The first n characters of a text, for messages."""
     return F.when(F.length(x) > n, F.concat(F.left(x, F.lit(n)), F.lit("…"))).otherwise(x)

@@ -18,9 +18,22 @@ def upsert(table: DataFrame, new: DataFrame, key: str = "cache_key", stamp: str
     return latest(both, [key], [stamp, "seq"]).drop("seq")
 
 
-def cache_key(data: Column, hashes: Column, ids: Column) -> Column:
-    """SHA-256 of the canonical request: data_list JSON, then file hashes and ids in order, a line each."""
-    return F.sha2(F.concat_ws("\n", data, F.array_join(hashes, ","), F.array_join(ids, ",")), 256)
+def _json_strings(x: Column) -> Column:
+    """JSON text of each of an array of strings."""
+    return F.transform(x, lambda s: F.coalesce(F.regexp_extract(F.to_json(F.array(s)), r"(?s)^\[(.*)\]$", 1), F.lit("null")))
+
+
+def cache_key(petitions: Column, hashes: Column, ids: Column) -> Column:
+    """SHA-256 of the canonical request: JSON with sorted keys of petitions (structs of petition_id, donvi_id and noi_dung), file hashes and ids, in order."""
+    shown = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
+    one = lambda p: F.concat(F.lit('{"KN_KIENNGHI.DONVI_TIEPNHAN": '), shown(p["donvi_id"]), F.lit(', "KN_KIENNGHI.ID": '), shown(p["petition_id"]), F.lit(', "KN_KIENNGHI.NOI_DUNG": '), F.get(_json_strings(F.array(p["noi_dung"])), 0), F.lit("}"))
+    listed = lambda x: F.concat(F.lit("["), F.array_join(F.coalesce(x, F.array().cast("array<string>")), ", "), F.lit("]"))
+    return F.sha2(F.concat(F.lit('{"data_list": '), listed(F.transform(petitions, one)), F.lit(', "file_hashes": '), listed(_json_strings(hashes)), F.lit(', "file_ids": '), listed(_json_strings(ids)), F.lit("}")), 256)
+
+
+def keys_by_data(cache: DataFrame, data_list: str) -> DataFrame:
+    """Keys of the cached results of a data_list (JSON text, as stored)."""
+    return cache.filter(F.col("data_list") == data_list).select("cache_key")
 
 
 def probe(requests: DataFrame, cache: DataFrame) -> DataFrame:
@@ -40,6 +53,10 @@ def job_states(events: DataFrame) -> DataFrame:
     return now.withColumn("result", F.when(F.col("status") == "succeeded", F.col("result"))).withColumn("api_status", job_status(F.col("status")))
 
 
+def job_count(jobs: DataFrame) -> DataFrame:
+    return jobs.agg(F.count(F.lit(1)).alias("n_jobs"))
+
+
 def newest_first(jobs: DataFrame) -> DataFrame:
     return jobs.orderBy(F.col("created_at").desc())
 

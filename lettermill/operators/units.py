@@ -27,9 +27,8 @@ def prompts(units: DataFrame) -> DataFrame:
 
 def answer_groups(answer: Column) -> Column:
     """Groups (JSON text each) of a model's answer: its first array, also amid other text; null if it has none."""
-    text = X.strip_fence(X.after_thinking(answer))
-    outer = F.regexp_extract(text, r"(?s)(\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\])", 1)
-    return F.when((F.regexp_extract(text, r"[\[{]", 0) == "[") & (outer != ""), F.from_json(outer, "array<string>"))
+    outer = X.outer_json(X.strip_fence(X.after_thinking(answer)))
+    return F.when(outer.startswith("["), F.from_json(outer, "array<string>"))
 
 
 def group_refs(answers: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 
 from lettermill.functions import patterns as P
 from lettermill.functions import text as X
+from lettermill.operators import store
+
+#: Names of a dictionary that is kept in a plan.
+MOST_NAMES = 10_000
 
 
 class Rejected(Exception):
@@ -24,11 +29,31 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("stem"), "length", "content")
 
 
+def by_name(files: DataFrame) -> DataFrame:
+    return files.orderBy("path")
+
+
 def missing(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Expected paths without a file."""
     return expected.join(found.select("path"), "path", "left_anti")
 
 
+def all_or_fail(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """The found files of expected (path, file_ord); raises, with their number and paths, if any isn't there."""
+    gone = missing(expected, found)
+    store.fail_on_any(gone.select("file_ord", F.concat(F.col("path"), F.lit(": no such file")).alias("error")))
+    return expected.join(found, "path")
+
+
+def names_with_ids(spark: SparkSession, path: str) -> dict[str, int]:
+    """A dictionary of units: a JSON object of names and ids. It is small (some hundred units), as it goes into plans."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "id")).selectExpr("name", "CAST(id AS BIGINT) AS id")
+    found = rows.limit(MOST_NAMES + 1).collect()
+    if len(found) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names are no dictionary")
+    return {r["name"]: r["id"] for r in found}
+
+
 def pending(inputs: DataFrame, outputs: DataFrame, overwrite: bool = False, key: str = "stem") -> DataFrame:
     """Inputs without an output yet; all, if outputs are overwritten."""
     return inputs if overwrite else inputs.join(outputs.select(key), key, "left_anti")
@@ -44,7 +69,7 @@ def retried(call: Callable[[bytes], tuple[int, str]], content: bytes, tries: int
             error: Exception = Rejected(f"HTTP {status}")
             if status not in P.RETRIED:
                 raise error
-        except (ConnectionError, TimeoutError) as e:
+        except (ConnectionError, TimeoutError, ValueError) as e:  # a ValueError: the answer isn't what was asked for
             error = e
         if k < tries:
             sleep(base * 2 ** (k - 1) + random.uniform(0, jitter))
@@ -53,7 +78,10 @@ def retried(call: Callable[[bytes], tuple[int, str]], content: bytes, tries: int
 
 def recognised(files: DataFrame, ocr: Callable[[bytes], tuple[int, str]], concurrency: int | None = None, **options) -> DataFrame:
     """path, text and error of files by an OCR callable; concurrency is the number of tasks that call it."""
+    return _called(files, ocr, concurrency, options).withColumn("text", X.real_newlines("text"))
 
+
+def _called(files: DataFrame, ocr: Callable[[bytes], tuple[int, str]], concurrency: int | None, options: dict) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -66,7 +94,36 @@ def recognised(files: DataFrame, ocr: Callable[[bytes], tuple[int, str]], concur
 
     rows = files.select("path", "content")
     rows = rows.repartition(concurrency) if concurrency else rows
-    return rows.mapInPandas(run, "path string, text string, error string").withColumn("text", X.real_newlines("text"))
+    return rows.mapInPandas(run, "path string, text string, error string")
+
+
+def canonical(files: DataFrame, ocr: Callable[[bytes], tuple[int, str]], concurrency: int | None = None, **options) -> DataFrame:
+    """path, canonical (the JSON text that OCR answers with), content (its field of that name) and error; an answer without content is an error."""
+
+    def with_content(body: bytes) -> tuple[int, str]:
+        status, text = ocr(body)
+        if status < 400 and "content" not in (found if isinstance(found := json.loads(text), dict) else {}):
+            raise ValueError("the answer has no content")
+        return status, text
+
+    rows = _called(files, with_content, concurrency, options)
+    return rows.select("path", F.col("text").alias("canonical"), X.real_newlines(F.get_json_object("text", "$.content")).alias("content"), "error")
+
+
+def rendered(recognised: DataFrame, render: Callable[[bytes], tuple[int, str]], tries: int = 3, **options) -> DataFrame:
+    """path, content and rendered of canonical() rows: the markdown that a service makes of the JSON; null if it fails or is blank, so that the content stands in."""
+
+    def markdown(body: bytes) -> tuple[int, str]:
+        status, text = render(body)
+        if status < 400:
+            text = json.loads(text).get("content") or ""
+            if not text.strip():
+                raise ValueError("the rendering is blank")
+        return status, text
+
+    good = recognised.filter("error IS NULL")
+    made = _called(good.select("path", F.encode("canonical", "UTF-8").alias("content")), markdown, None, {"tries": tries, **options})
+    return good.select("path", "content").join(made.select("path", X.real_newlines(F.col("text")).alias("rendered")), "path")
 
 
 def rendered_or_plain(rendered: str = "rendered", content: str = "content") -> F.Column:
@@ -79,6 +136,13 @@ def write_markdown(docs: DataFrame, path: str) -> None:
     docs.select("stem", "text").write.partitionBy("stem").option("lineSep", "\n").text(path)
 
 
+def json_of_markdown(spark: SparkSession, path: str, extract: Callable[[DataFrame], DataFrame], out: str) -> None:
+    """A JSON line for each markdown file below a path, in a folder of its stem: what extract makes of (doc_id, text)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path)
+    docs = files.select(F.xxhash64("path").alias("doc_id"), F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem"), F.decode("content", "UTF-8").alias("text"))
+    extract(docs.select("doc_id", "text")).join(docs.select("doc_id", "stem"), "doc_id").drop("doc_id").write.partitionBy("stem").json(out)
+
+
 def uploads(requests: DataFrame, root: str) -> DataFrame:
     """Paths root/request/ordinal.pdf of uploaded contents (request_id, contents)."""
     each = requests.select("request_id", F.posexplode("contents").alias("file_ord", "content"))

@@ -29,6 +29,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it has fewer: a small file can be one row group, and so one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def create_tables(spark: SparkSession) -> None:
     """The job and cache tables, where they aren't there yet."""
     for name, columns in TABLES.items():
