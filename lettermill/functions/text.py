@@ -226,10 +226,10 @@ def clean_json_text(text: Column) -> Column:
 
 def outer_json(text: Column) -> Column:
     """The first array or object of a text, up to its bracket's end (brackets in strings don't count); null without one."""
-    token = re.compile(r'"(?:[^"\\]|\\.)*"|[][{}]', re.DOTALL)
+    token = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.DOTALL)
 
     def first(s: str) -> str | None:
-        begin = re.search(r"[[{]", s)
+        begin = re.search(r"[\[{]", s)
         depth, close = 0, "]" if begin and begin.group() == "[" else "}"
         for m in token.finditer(s, begin.start()) if begin else ():
             depth += (m.group() == begin.group()) - (m.group() == close)

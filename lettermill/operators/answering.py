@@ -53,5 +53,6 @@ def formatted(results: DataFrame, plain_text: bool) -> DataFrame:
     """results with contents as plain text or tidy markdown; metadata is always tidy."""
     body = X.strip_markdown if plain_text else X.normalize_markdown
     tidy = lambda m: F.struct(*[X.normalize_markdown(m[c]).alias(c) for c in ("so_cong_van", "ngay_ban_hanh", "nguoi_ky")])
-    one = lambda a: F.struct(body(F.coalesce(a["content"], F.lit(""))).alias("content"), a["file_id"].alias("file_id"), F.when(a["metadata"].isNotNull(), tidy(a["metadata"])).alias("metadata"))
-    return results.withColumn("answers", F.transform("answers", one))
+    a = F.get("answers", 0)
+    one = F.struct(body(F.coalesce(a["content"], F.lit(""))).alias("content"), a["file_id"].alias("file_id"), F.when(a["metadata"].isNotNull(), tidy(a["metadata"])).alias("metadata"))
+    return results.withColumn("answers", F.array_compact(F.array(F.when(F.size("answers") > 0, one))))

@@ -124,9 +124,10 @@ def delegation_ids(docs: DataFrame, names: dict[str, int]) -> DataFrame:
     pick = lambda hit: F.coalesce(none, *[F.when(hit(k), F.lit(v)) for k, v in ordered]) if ordered else none
     phrase = P.DELEGATION_KEYS[0].strip()
     by_line = F.filter(F.transform("header", lambda x: F.when(x.contains(phrase), pick(lambda k: x.contains(k)))), lambda v: v.isNotNull())
-    joined = X.folded_name(F.array_join("header", " "))
+    joined = F.col("joined")
     by_header = pick(lambda k: joined.contains(P.DELEGATION_KEYS[0] + k) | joined.contains(P.DELEGATION_KEYS[1] + k))
-    return docs.withColumn("header", header).select("doc_id", F.coalesce(F.try_element_at(by_line, F.lit(1)), by_header).alias("donvi_id"))
+    rows = once(docs.select("doc_id", "text"), header=header)
+    return once(rows, joined=X.folded_name(F.array_join("header", " "))).select("doc_id", F.coalesce(F.try_element_at(by_line, F.lit(1)), by_header).alias("donvi_id"))
 
 
 def ministry(line: Column) -> Column:

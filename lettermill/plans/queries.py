@@ -11,14 +11,17 @@ from lettermill.functions import text as X
 from lettermill.operators import answering, letters, matching, modelled, requests, store, units
 from lettermill.plans import fixtures
 from lettermill.sources import files
+from lettermill.sources.tables import spread
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
-def _letters(spark: SparkSession) -> DataFrame:
-    return letters.prepared(spark.createDataFrame([(a, c) for a, _, c in fixtures.LETTERS], "doc_id long, text string"))
+def _letters(spark: SparkSession, d: str) -> DataFrame:
+    """A letter for each customer, as OCR gives it, prepared."""
+    return letters.prepared(spread(fixtures.customer_letters(_t(spark, d, "customer"))))
 
 
 def _benchmark_petitions(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +86,7 @@ def segment_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def header_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = _t(spark, d, "documents").select("doc_id", F.posexplode(X.lines(F.col("text"))).alias("ln", "line"))
+    lines = _t(spark, d, "documents").select("doc_id", F.posexplode(X.lines(F.regexp_replace("text", r"(?m)^(De|The|En) ", "# $1 "))).alias("ln", "line"))
     return lines.filter(X.is_header(F.col("line"))).select("doc_id", "ln", "line")
 
 
@@ -98,44 +101,48 @@ def head_tail_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def letter_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return letters.letter_metadata(_letters(spark))
+    return letters.letter_metadata(_letters(spark, d))
 
 
 def fmt_classify(spark: SparkSession, d: str) -> DataFrame:
-    return letters.classify(_letters(spark))
+    return letters.classify(_letters(spark, d))
 
 
 def extract_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return letters.pairs(_letters(spark)).withColumn("pair_ord", F.col("pair_ord").cast("long"))
+    return letters.pairs(_letters(spark, d)).withColumn("pair_ord", F.col("pair_ord").cast("long"))
 
 
 def donvi_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return letters.delegation_ids(_letters(spark), fixtures.UNITS)
+    return letters.delegation_ids(_letters(spark, d), fixtures.PROVINCES)
 
 
 def letter_matches(spark: SparkSession, d: str) -> DataFrame:
-    pairs = letters.pairs(_letters(spark)).withColumn("pair_ord", F.col("doc_id") * 10_000_000 + F.col("pair_ord"))
-    petitions = spark.createDataFrame(fixtures.PETITIONS, "petition_id long, donvi_id long, noi_dung string")
-    return matching.best_matches(petitions, pairs).select("petition_id", "pair_ord", F.round("score", 6).alias("score"))
-
-
-def _groups(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    u = units.segment_units(_letters(spark).filter("doc_id = 4"))
-    answers = spark.createDataFrame([(4, "KN", '[["U2"],["U3","U99"],["U4","U2"]]'), (4, "TL", '```json\n[["U6","U5"]]\n```')], "doc_id long, label string, answer string")
+    pairs = letters.pairs(_letters(spark, d)).withColumn("pair_ord", F.col("doc_id") * 10_000_000 + F.col("pair_ord"))
+    return matching.best_matches(fixtures.customer_petitions(_t(spark, d, "customer")), pairs).select("petition_id", "pair_ord", F.round("score", 6).alias("score"))
+
+
+def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Six units for each customer, and three kinds of model answers by custkey % 3."""
+    k = F.col("c_custkey")
+    people = _t(spark, d, "customer").select(k.cast("long").alias("doc_id"), (k % 3).alias("kind"))
+    u = people.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("unit_no")).select("doc_id", "unit_no", F.concat(F.lit("U"), "unit_no").alias("unit_id"), (F.col("unit_no") - 1).alias("idx"), F.lit("x").alias("text"))
+    said = lambda *x: F.when(F.col("kind") == 0, x[0]).when(F.col("kind") == 1, x[1]).otherwise(x[2])
+    kn, tl = said('[["U2"],["U3","U99"],["U4","U2"]]', 'So: [["U1"],["U2"]] and more', '[["U1"],["U4"]]'), said('```json\n[["U6","U5"]]\n```', '[["U4"],["U5","U6"]]', '[["U2"]]')
+    answers = people.select("doc_id", F.explode(F.map_from_arrays(F.array(F.lit("KN"), F.lit("TL")), F.array(kn, tl))).alias("label", "answer"))
     return units.group_refs(answers), u
 
 
 def group_validate(spark: SparkSession, d: str) -> DataFrame:
-    g = units.resolve_groups(*_groups(spark))
+    g = units.resolve_groups(*_groups(spark, d))
     return g.select("doc_id", "label", F.col("group_ord").cast("long").alias("group_ord"), F.array_join("unit_ids", ",").alias("unit_ids"), "in_order", "contiguous")
 
 
 def discarded_units(spark: SparkSession, d: str) -> DataFrame:
-    return units.discarded_units(*_groups(spark)).select("doc_id", "unit_id")
+    return units.discarded_units(*_groups(spark, d)).select("doc_id", "unit_id")
 
 
 def balance_merge(spark: SparkSession, d: str) -> DataFrame:
-    g = units.balance_groups(units.resolve_groups(*_groups(spark)))
+    g = units.balance_groups(units.resolve_groups(*_groups(spark, d)))
     return g.select("doc_id", "label", F.col("group_ord").cast("long").alias("group_ord"), F.array_join("unit_ids", ",").alias("unit_ids"), "warning")
 
 
@@ -144,7 +151,8 @@ def file_sha256(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cache_key(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", store.cache_key(F.col("text"), F.array(F.sha2("text", 256)), F.array(F.col("source"))).alias("cache_key"))
+    asked = F.array(F.struct(F.col("doc_id").alias("petition_id"), (F.col("doc_id") % 7).alias("donvi_id"), F.col("text").alias("noi_dung")))
+    return _t(spark, d, "documents").select("doc_id", store.cache_key(asked, F.array(F.sha2("text", 256)), F.array(F.col("source"), F.lit("a,b"))).alias("cache_key"))
 
 
 def cache_upsert_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -173,10 +181,46 @@ def pending_anti(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_requests(spark: SparkSession, d: str) -> DataFrame:
-    one = '{"KN_KIENNGHI.ID":1,"KN_KIENNGHI.DONVI_TIEPNHAN":"2","KN_KIENNGHI.NOI_DUNG":"a"}'
-    rows = [(1, f"[{one}]", "F1", 1), (2, f'{{"data_list":[{one}]}}', "F1, F2", 2), (3, "no json", "F1", 1), (4, "[]", "F1", 1), (5, f"[{one}]", '["F1"], ["F2"]', 2), (6, f"```json\n[{one}]\n```", '["F1"]', 2)]
-    out = requests.parse(spark.createDataFrame(rows, "request_id long, data_list string, file_ids string, n_files int"))
-    return out.select("request_id", F.array_join("ids", ",").alias("ids"), "reject")
+    """A request for each customer, good and bad by custkey % 8."""
+    k = F.col("c_custkey")
+    kinds = lambda *x: F.get(F.array(*[v if not isinstance(v, str) else F.lit(v) for v in x]), (k % 8).cast("int"))
+    one = F.to_json(F.struct(k.alias("KN_KIENNGHI.ID"), F.col("c_nationkey").cast("string").alias("KN_KIENNGHI.DONVI_TIEPNHAN"), F.col("c_name").alias("KN_KIENNGHI.NOI_DUNG")))
+    plain = F.concat(F.lit("["), one, F.lit("]"))
+    data = kinds(plain, F.concat(F.lit('{"data_list":'), plain, F.lit("}")), "no json", "[]", plain, F.concat(F.lit("```json\n"), plain, F.lit("\n```")), F.to_json(F.array(one)), plain)
+    ids = kinds("F1", F.concat(F.lit("F"), k.cast("string"), F.lit(", F2")), "F1", "F1", '["F1"], ["F2"]', '["F1"]', '["F\\"1","\\u0046,2"]', "[1]")
+    out = requests.parse(_t(spark, d, "customer").select(k.alias("request_id"), data.alias("data_list"), ids.alias("file_ids"), kinds(*map(F.lit, (1, 2, 1, 1, 2, 2, 2, 1))).alias("n_files")))
+    return out.select("request_id", F.get("petitions", 0)["noi_dung"].alias("noi_dung"), F.array_join("ids", "|").alias("ids"), "reject")
+
+
+def upload_status(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    path, mime = F.concat(F.lit("in/"), k.cast("string"), F.when(k % 3 == 0, ".PDF").when(k % 3 == 1, ".bin").otherwise(".pdf")), F.when(k % 2 == 0, "application/pdf")
+    uuid = F.when(k % 5 == 0, "x").otherwise(F.expr("concat(substr(md5(cast(o_orderkey AS string)), 1, 8), '-', substr(md5('a'), 1, 4), '-', substr(md5('b'), 1, 4), '-', substr(md5('c'), 1, 4), '-', substr(md5('d'), 1, 12))"))
+    length = (F.col("o_totalprice") * 1000).cast("long") * (k % 10)
+    return _t(spark, d, "orders").select(k, requests.file_status(path, mime, length).alias("status"), requests.is_uuid(uuid).alias("known"), F.length(requests.preview(F.repeat(F.lit("x"), (k % 100).cast("int")))).alias("shown"))
+
+
+def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
+    return store.outcome_counts(_t(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "P", "late").alias("error")))
+
+
+def job_count(spark: SparkSession, d: str) -> DataFrame:
+    return store.job_count(_t(spark, d, "orders"))
+
+
+def job_dump(spark: SparkSession, d: str) -> DataFrame:
+    stamp = F.col("o_orderdate").cast("timestamp")
+    rows = _t(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"), F.lit("[]").alias("input"), F.col("o_orderpriority").alias("result"), F.lit(None).cast("string").alias("error"), stamp.alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
+    return store.dump_lines(rows)
+
+
+def misread_and_lines(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("- (1) ḗ ṓ "), "c_name", F.lit("\n## 2. Ḗ Ṓ "), "c_mktsegment")
+    return _t(spark, d, "customer").select("c_custkey", X.fix_misread(text).alias("fixed"), X.clean_line(X.fix_misread(text)).alias("plain"))
+
+
+def files_by_name(spark: SparkSession, d: str) -> DataFrame:
+    return files.by_name(_t(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path")))
 
 
 def clean_text_block(spark: SparkSession, d: str) -> DataFrame:
@@ -184,42 +228,46 @@ def clean_text_block(spark: SparkSession, d: str) -> DataFrame:
 
 
 def footnote_clean(spark: SparkSession, d: str) -> DataFrame:
-    return _letters(spark).filter("doc_id = 1").select("doc_id", X.remove_footnotes(F.col("text")).alias("text"))
+    k = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("Bộ đã trả lời việc "), k, F.lit("\n> Chú thích "), k, F.lit("\n\nvà nêu rõ.\n> Chú thích cuối\n> trang\nHết "), "c_mktsegment")
+    return _t(spark, d, "customer").select("c_custkey", X.remove_footnotes(text).alias("text"))
 
 
 def letter_entities(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "# Bộ Y tế trả lời\n- Đoàn đại biểu Quốc hội tỉnh Bắc Ninh;"), (2, "- Đoàn đại biểu Quốc hội tỉnh Bắc Ninh;"), (3, "Bộ Y tế")]
-    return letters.entities(spark.createDataFrame(rows, "doc_id long, text string"))
+    return letters.entities(_letters(spark, d))
 
 
 def markdown_forms(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "thì **Chủ tịch** Ủy ban"), (2, "### Mục I"), (3, "(I)** Về ban hành"), (4, "Bộ trưởng ### Trịnh Việt Hùng")]
-    return spark.createDataFrame(rows, "id long, text string").select("id", X.normalize_markdown(F.col("text")).alias("tidy"), X.strip_markdown(F.col("text")).alias("plain"))
+    text = F.concat(F.lit("### Mục **"), "c_mktsegment", F.lit("**\nsnake_case_"), "c_name", F.lit(" [xem *tại*](b(c)d) đây\n\n(I)** Về a\\*b &amp; `x`\n1. một #### hai\n\n> trích\n> dẫn"))
+    return _t(spark, d, "customer").select("c_custkey", X.strip_markdown(text).alias("plain"), X.normalize_markdown(text).alias("tidy"))
 
 
 def model_groups(spark: SparkSession, d: str) -> DataFrame:
-    out = modelled.extract(_letters(spark).filter("doc_id = 4").select("doc_id", "text"), fixtures.model)
+    free = fixtures.customer_letters(_t(spark, d, "customer").filter("c_custkey % 4 = 3"), header=False)
+    out = modelled.extract(free.select("doc_id", "text"), fixtures.customer_model)
     return out.select("doc_id", F.col("n_units").cast("long").alias("n_units"), F.array_join("kien_nghi", "|").alias("kien_nghi"), F.array_join("tra_loi", "|").alias("tra_loi"), F.array_join("warnings", "|").alias("warnings"))
 
 
-def _job(spark: SparkSession) -> DataFrame:
-    docs = spark.createDataFrame(fixtures.LETTERS, "doc_id long, file_id string, text string")
-    return answering.answer(spark.createDataFrame(fixtures.JOB_PETITIONS, "petition_id long, donvi_id long, noi_dung string"), docs, fixtures.UNITS, fixtures.model)
+def _job(spark: SparkSession, d: str) -> DataFrame:
+    people = _t(spark, d, "customer")
+    return answering.answer(fixtures.customer_petitions(people), fixtures.customer_letters(people), fixtures.PROVINCES)
 
 
 def job_answers(spark: SparkSession, d: str) -> DataFrame:
     first = F.get("answers", 0)
-    out = answering.formatted(_job(spark), plain_text=True)
+    out = answering.formatted(_job(spark, d), plain_text=True)
     return out.select(F.col("`KN_KIENNGHI.ID`").alias("petition_id"), first["file_id"].alias("file_id"), first["content"].alias("content"), first["metadata"]["so_cong_van"].alias("so_cong_van"))
 
 
 def job_totals(spark: SparkSession, d: str) -> DataFrame:
-    return answering.totals(_job(spark))
+    return answering.totals(_job(spark, d))
 
 
 def log_job_stats(spark: SparkSession, d: str) -> DataFrame:
-    raw = ["2026-09-16 10:00:01 [INFO] [pipeline:12] - done in 31.79 s", "2026-09-16 10:00:02 [ERROR] [pipeline:13] - failed", "no log line", "2026-09-16 10:00:03 [INFO] [llm:7] - done in 7.41 s"]
-    return files.parse_log(spark.createDataFrame([(x,) for x in raw], "value string")).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("o_orderkey")
+    level = F.when(k % 5 == 0, "ERROR").otherwise("INFO")
+    line = F.when(k % 9 == 0, "no log line").otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" ["), level, F.lit("] [pipeline:"), k.cast("string"), F.lit("] - done in 7 s")))
+    return files.parse_log(_t(spark, d, "orders").select(line.alias("value"))).groupBy("level", F.year("ts").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("last"))
 
 
 def fmt_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -238,7 +286,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         norm_tokens, jaccard_best_match, jaccard_threshold_match, match_summary, donvi_semi_filter, donvi_guard_empty, turn_pairs_asof, turn_stop_boundary, section_slice_agg, segment_units,
         header_lines, has_structure, head_tail_lines, letter_numbers, fmt_classify, extract_pairs, donvi_lookup, letter_matches, group_validate, discarded_units, balance_merge, file_sha256,
         cache_key, cache_upsert_latest, cache_probe, job_status_map, jobs_newest_first, pending_anti, parse_requests, clean_text_block, log_job_stats, fmt_rollup, event_window,
-        footnote_clean, letter_entities, markdown_forms, model_groups, job_answers, job_totals,
+        footnote_clean, letter_entities, markdown_forms, model_groups, job_answers, job_totals, upload_status, outcome_counts, job_count, job_dump, misread_and_lines, files_by_name,
     )
 }
 
@@ -251,6 +299,8 @@ _SCORES = f"""
 _LINES = r"regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')"
 _NUMBERED = f"SELECT doc_id, unnest(l) AS line, unnest(generate_series(0, len(l) - 1)) AS ln FROM (SELECT doc_id, {_LINES} AS l FROM documents)"
 
+_MARKED = r"FROM (SELECT doc_id, regexp_replace(text, '(^|\n)(De|The|En) ', '\1# \2 ', 'g') AS text FROM documents) marked"
+
 _WS = r"[\s\v\pZ\x{85}]"
 _CUES = r"(Đề nghị|Kiến nghị|Đồng thời[, ]+đề nghị|Ngoài ra,?\s*đề nghị|Bên cạnh đó,?\s*đề nghị)([^\pL\pN_]|$)"
 _ROW = f"regexp_replace(r, '^{_WS}+|{_WS}+$', '', 'g')"
@@ -266,46 +316,52 @@ ORACLE_SQL: dict[str, str] = {
     "turn_pairs_asof": "SELECT * FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS asked FROM conversations) x WHERE asked IS NOT NULL",
     "turn_stop_boundary": "SELECT conv_id, turn, stop FROM (SELECT conv_id, turn, role, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM conversations) x WHERE role = 'assistant'",
     "section_slice_agg": "SELECT conv_id, section, string_agg(text, chr(10) ORDER BY turn) AS body FROM (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS section FROM conversations) x WHERE section > 0 AND role <> 'user' GROUP BY conv_id, section",
-    "header_lines": f"SELECT doc_id, CAST(ln AS INTEGER) AS ln, line FROM ({_NUMBERED}) x WHERE regexp_matches(line, '^\\s*(#|\\*\\*|Kính gửi|Số:|-)')",
+    "header_lines": f"SELECT doc_id, CAST(ln AS INTEGER) AS ln, line FROM ({_NUMBERED.replace('FROM documents', _MARKED)}) x WHERE regexp_matches(line, '^\\s*(#|\\*\\*|Kính gửi|Số:|-)')",
     "has_structure": r"SELECT doc_id, contains(text, '**') OR regexp_matches(text, '(?m)^\s*#') AS structured FROM documents",
     "head_tail_lines": f"SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, md5(array_to_string(l[1:50], chr(10))) AS head, md5(array_to_string(l[greatest(1, len(l) - 39):len(l)], chr(10))) AS tail FROM (SELECT doc_id, CASE WHEN l[len(l)] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM (SELECT doc_id, {_LINES} AS l FROM documents) x) y",
-    "letter_numbers": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), '7880/BNNMT-TTTV', '05/08/2026', 'Bộ trưởng Nguyễn Văn A'), (2, '7093/BNNMT-VPĐP', NULL, 'Bộ trưởng'), (3, '/BYT-VP', NULL, NULL), (4, NULL, '01/12/2026', NULL)) t(doc_id, so_cong_van, ngay_ban_hanh, nguoi_ky)",
-    "fmt_classify": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'f1'), (2, 'f2'), (3, 'f3'), (4, 'llm')) t(doc_id, label)",
-    "donvi_lookup": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 1), (2, 2), (3, 1), (4, NULL)) t(doc_id, donvi_id)",
-    "letter_matches": "SELECT * FROM (VALUES (CAST(101 AS BIGINT), CAST(10000000 AS BIGINT), CAST(1.0 AS DOUBLE)), (102, 20000000, 0.6), (103, NULL, NULL), (104, 30000001, 0.888889)) t(petition_id, pair_ord, score)",
-    "group_validate": "SELECT * FROM (VALUES (CAST(4 AS BIGINT), 'KN', CAST(0 AS BIGINT), 'U2', true, true), (4, 'KN', 1, 'U3', true, true), (4, 'KN', 2, 'U4', true, true), (4, 'TL', 0, 'U5,U6', false, true)) t(doc_id, label, group_ord, unit_ids, in_order, contiguous)",
-    "discarded_units": "SELECT CAST(4 AS BIGINT) AS doc_id, 'U1' AS unit_id",
-    "balance_merge": "SELECT * FROM (VALUES (CAST(4 AS BIGINT), 'KN', CAST(1 AS BIGINT), 'U2,U3,U4', 'CAN_BANG'), (4, 'TL', 1, 'U5,U6', 'CAN_BANG')) t(doc_id, label, group_ord, unit_ids, warning)",
+    "letter_numbers": """SELECT c_custkey AS doc_id, c_custkey || '/BXD-QLN' AS so_cong_van,
+        CASE WHEN c_custkey % 7 > 0 THEN lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') || '/' || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || '/2025' END AS ngay_ban_hanh,
+        CASE c_custkey % 4 WHEN 0 THEN 'Bộ trưởng Lê Thị Mẫu' WHEN 1 THEN 'Bộ trưởng' END AS nguoi_ky FROM customer""",
+    "fmt_classify": "SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'f1' WHEN 1 THEN 'f2' WHEN 2 THEN 'f3' ELSE 'llm' END AS label FROM customer",
+    "donvi_lookup": "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 11 > 0 THEN c_nationkey + 1 END AS donvi_id FROM customer",
+    "letter_matches": "SELECT c_custkey AS petition_id, CASE WHEN c_custkey % 4 = 0 THEN c_custkey * 10000000 END AS pair_ord, CASE WHEN c_custkey % 4 = 0 THEN CAST(0.875 AS DOUBLE) END AS score FROM customer",
+    "group_validate": "SELECT c_custkey AS doc_id, label, CAST(g AS BIGINT) AS group_ord, ids AS unit_ids, o AS in_order, true AS contiguous FROM customer JOIN (VALUES (0, 'KN', 0, 'U2', true), (0, 'KN', 1, 'U3', true), (0, 'KN', 2, 'U4', true), (0, 'TL', 0, 'U5,U6', false), (1, 'KN', 0, 'U1', true), (1, 'KN', 1, 'U2', true), (1, 'TL', 0, 'U4', true), (1, 'TL', 1, 'U5,U6', true), (2, 'KN', 0, 'U1', true), (2, 'KN', 1, 'U4', true), (2, 'TL', 0, 'U2', true)) t(kind, label, g, ids, o) ON c_custkey % 3 = kind",
+    "discarded_units": "SELECT c_custkey AS doc_id, u AS unit_id FROM customer JOIN (VALUES (0, 'U1'), (1, 'U3'), (2, 'U3'), (2, 'U5'), (2, 'U6')) t(kind, u) ON c_custkey % 3 = kind",
+    "balance_merge": "SELECT c_custkey AS doc_id, label, CAST(g AS BIGINT) AS group_ord, ids AS unit_ids, w AS warning FROM customer JOIN (VALUES (0, 'KN', 1, 'U2,U3,U4', 'CAN_BANG'), (0, 'TL', 1, 'U5,U6', 'CAN_BANG'), (1, 'KN', 1, 'U1', NULL), (1, 'KN', 2, 'U2', NULL), (1, 'TL', 1, 'U4', NULL), (1, 'TL', 2, 'U5,U6', NULL), (2, 'KN', 1, 'U1', 'MISMATCH'), (2, 'KN', 2, 'U4', 'MISMATCH'), (2, 'TL', 1, 'U2', 'MISMATCH')) t(kind, label, g, ids, w) ON c_custkey % 3 = kind",
     "segment_units": f"""
         WITH p AS (SELECT doc_id, flatten(list_transform(string_split(regexp_replace(coalesce(text, ''), '^{_WS}+|{_WS}+$', '', 'g'), chr(10)), lambda r: {_PIECES})) AS p FROM documents),
         u AS (SELECT doc_id, unnest(p) AS text, unnest(generate_series(0, len(p) - 1)) AS idx FROM p)
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS INTEGER) AS unit_no, CAST(idx AS INTEGER) AS idx, CAST(length(text) AS INTEGER) AS n_chars FROM u WHERE text <> ''""",
-    "extract_pairs": """SELECT * FROM (VALUES
-        (CAST(1 AS BIGINT), 'f1', CAST(0 AS BIGINT), 'Đề nghị hỗ trợ nông dân trồng lúa.', 'Bộ đã ban hành chính sách hỗ trợ nông dân trong **năm 2026**.'),
-        (2, 'f2', 0, 'Xây cầu mới qua sông.', 'Đang lập dự án.' || chr(10) || 'Nội dung kiến nghị đã được ghi nhận.'),
-        (2, 'f2', 100000, 'Sửa đường liên xã.', 'Đã bố trí vốn.'),
-        (3, 'f3', 0, '(1) Kiến nghị số 04: Tăng bác sĩ cho xã.', 'Mở đầu chung.' || chr(10) || 'Sẽ tăng biên chế.'),
-        (3, 'f3', 1, '(2) Kiến nghị số 13: Mua máy X quang.', 'Mở đầu chung.' || chr(10) || 'Sẽ tăng biên chế.'),
-        (3, 'f3', 2, '(3) Kiến nghị số 99: Giảm viện phí.', 'Mở đầu chung.' || chr(10) || '2.1. Về kiến nghị số 04 và số 13' || chr(10) || 'Sẽ tăng biên chế.' || chr(10) || '2.2. Đối với kiến nghị số 20' || chr(10) || 'Nội dung khác.')
-        ) t(doc_id, label, pair_ord, noi_dung, tra_loi)""",
-    "letter_entities": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'Bộ Y tế', 'Đoàn đại biểu Quốc hội tỉnh Bắc Ninh'), (2, NULL, NULL), (3, NULL, NULL)) t(doc_id, bo, daibieu)",
-    "markdown_forms": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'thì **Chủ tịch** Ủy ban', 'thì Chủ tịch Ủy ban'), (2, '### Mục I', 'Mục I'), (3, '(I) Về ban hành', '(I) Về ban hành'), (4, 'Bộ trưởng Trịnh Việt Hùng', 'Bộ trưởng Trịnh Việt Hùng')) t(id, tidy, plain)",
-    "model_groups": "SELECT CAST(4 AS BIGINT) AS doc_id, CAST(6 AS BIGINT) AS n_units, 'Cử tri phản ánh giá điện cao.' || chr(10) || chr(10) || 'Đề nghị giảm giá điện;' || chr(10) || chr(10) || 'Kiến nghị minh bạch hóa đơn.' AS kien_nghi, '(1) Về giá điện' || chr(10) || chr(10) || 'Giá điện được điều chỉnh theo quy định.' AS tra_loi, 'VALIDATE: KN unknown unit: U77|VALIDATE: TL put in order: U5,U6|CAN_BANG' AS warnings",
-    "job_answers": """SELECT * FROM (VALUES
-        (CAST(101 AS BIGINT), 'FILE_001', 'Bộ đã ban hành chính sách hỗ trợ nông dân trong năm 2026.', '7880/BNNMT-TTTV'), (102, 'FILE_002', 'Đang lập dự án. Nội dung kiến nghị đã được ghi nhận.', '7093/BNNMT-VPĐP'), (103, NULL, NULL, NULL),
-        (105, 'FILE_004', '(1) Về giá điện' || chr(10) || chr(10) || 'Giá điện được điều chỉnh theo quy định.', NULL)) t(petition_id, file_id, content, so_cong_van)""",
-    "job_totals": "SELECT CAST(3 AS BIGINT) AS matched_count, CAST(1 AS BIGINT) AS unmatched_count",
-    "footnote_clean": """SELECT CAST(1 AS BIGINT) AS doc_id, '**Số:** 7880 /BNNMT-TTTV' || chr(10) || 'Hà Nội, ngày 5 tháng 8 năm 2026' || chr(10) || 'Kính gửi: Đoàn đại biểu Quốc hội tỉnh Alpha' || chr(10) || '## 1. Nội dung kiến nghị của cử tri' || chr(10) || '“Đề nghị hỗ trợ nông dân trồng lúa.”' || chr(10)
-        || '## 2. Kết quả nghiên cứu, giải quyết và trả lời kiến nghị' || chr(10) || 'Bộ đã ban hành chính sách hỗ trợ nông dân trong **năm 2026**.' || chr(10) || 'Nơi nhận:' || chr(10) || '**BỘ TRƯỞNG Nguyễn Văn A**' AS text""",
+    "extract_pairs": """WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS s, CAST(c_custkey + 1 AS VARCHAR) AS n, lower(c_mktsegment) AS m FROM customer)
+        SELECT k AS doc_id, 'f1' AS label, CAST(0 AS BIGINT) AS pair_ord, 'Việc ' || s || 'a ' || s || 'b ' || s || 'c ' || s || 'd ' || s || 'e tại chỗ.' AS noi_dung, 'Bộ đã xem xét việc ' || s || ' và trả lời như sau.' AS tra_loi FROM c WHERE k % 4 = 0
+        UNION ALL SELECT k, 'f2', 0, 'Xây cầu ' || s || '.', 'Đang lập dự án ' || s || '.' FROM c WHERE k % 4 = 1 UNION ALL SELECT k, 'f2', 100000, 'Sửa đường ' || s || '.', 'Đã bố trí vốn cho ' || m || '.' FROM c WHERE k % 4 = 1
+        UNION ALL SELECT k, 'f3', 0, '(1) Kiến nghị số ' || s || ': Tăng bác sĩ.', 'Mở đầu ' || s || '.' || chr(10) || 'Sẽ tăng biên chế.' FROM c WHERE k % 4 = 2
+        UNION ALL SELECT k, 'f3', 1, '(2) Kiến nghị số ' || n || ': Mua máy.', 'Sẽ mua máy ' || m || '.' FROM c WHERE k % 4 = 2""",
+    "letter_entities": "SELECT c_custkey AS doc_id, CASE WHEN ok THEN 'Bộ Xây dựng' END AS bo, CASE WHEN ok THEN 'Đoàn đại biểu Quốc hội tỉnh Vùng ' || chr(c_nationkey + 65) END AS daibieu FROM (SELECT *, c_custkey % 2 = 0 AND c_custkey % 11 > 0 AS ok FROM customer) x",
+    "markdown_forms": """SELECT c_custkey, 'Mục ' || c_mktsegment || chr(10) || chr(10) || 'snake_case_' || c_name || ' xem tại đây' || chr(10) || chr(10) || '(I) Về a*b & x 1. một hai' || chr(10) || chr(10) || 'trích dẫn' AS plain,
+        '### Mục **' || c_mktsegment || '**' || chr(10) || 'snake_case_' || c_name || ' [xem *tại*](b(c)d) đây' || chr(10) || chr(10) || '(I) Về a\\*b &amp; `x`' || chr(10) || '1. một hai' || chr(10) || chr(10) || '> trích' || chr(10) || '> dẫn' AS tidy FROM customer""",
+    "model_groups": """SELECT c_custkey AS doc_id, CAST(5 AS BIGINT) AS n_units, 'Cử tri phản ánh việc ' || c_custkey || '.' || chr(10) || chr(10) || 'Đề nghị giảm giá;' || chr(10) || chr(10) || 'Kiến nghị minh bạch ' || lower(c_mktsegment) || '.' AS kien_nghi,
+        '(1) Về ' || lower(c_mktsegment) || chr(10) || chr(10) || 'Giá ' || c_custkey || ' được điều chỉnh.' AS tra_loi, 'VALIDATE: KN unknown unit: U77|VALIDATE: TL put in order: U4,U5|CAN_BANG' AS warnings FROM customer WHERE c_custkey % 4 = 3""",
+    "job_answers": "SELECT c_custkey AS petition_id, CASE WHEN ok THEN 'FILE_' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') END AS file_id, CASE WHEN ok THEN 'Bộ đã xem xét việc ' || c_custkey || ' và trả lời như sau.' END AS content, CASE WHEN ok THEN c_custkey || '/BXD-QLN' END AS so_cong_van FROM (SELECT *, c_custkey % 4 = 0 AS ok FROM customer) x",
+    "job_totals": "SELECT count(*) FILTER (c_custkey % 4 = 0) AS matched_count, count(*) FILTER (c_custkey % 4 <> 0) AS unmatched_count FROM customer",
+    "footnote_clean": "SELECT c_custkey, 'Bộ đã trả lời việc ' || c_custkey || ' và nêu rõ.' || chr(10) || 'Hết ' || c_mktsegment AS text FROM customer",
     "file_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
-    "cache_key": "SELECT doc_id, sha256(text || chr(10) || sha256(text) || chr(10) || source) AS cache_key FROM documents",
+    "cache_key": """SELECT doc_id, sha256('{"data_list": [{"KN_KIENNGHI.DONVI_TIEPNHAN": ' || doc_id % 7 || ', "KN_KIENNGHI.ID": ' || doc_id || ', "KN_KIENNGHI.NOI_DUNG": ' || to_json(text) || '}], "file_hashes": ["' || sha256(text) || '"], "file_ids": ["' || source || '", "a,b"]}') AS cache_key FROM documents""",
     "cache_upsert_latest": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k = 1",
     "cache_probe": "SELECT d.doc_id, l.doc_id IS NOT NULL AND source <> 'src1' AS hit, CASE WHEN source <> 'src1' THEN CAST(quality AS VARCHAR) END AS result FROM documents d LEFT JOIN labels l USING (doc_id)",
     "job_status_map": "SELECT CASE o_orderstatus WHEN 'F' THEN 'FINISHED' WHEN 'P' THEN 'FAILED' ELSE 'PROCESSING' END AS status, count(*) AS n FROM orders GROUP BY 1",
     "jobs_newest_first": "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC",
     "pending_anti": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "parse_requests": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'F1', NULL), (2, 'F1,F2', NULL), (3, 'F1', 'data_list'), (4, 'F1', 'data_list'), (5, NULL, 'file_ids'), (6, 'F1', '400')) t(request_id, ids, reject)",
-    "log_job_stats": "SELECT * FROM (VALUES ('INFO', CAST(2 AS BIGINT)), ('ERROR', 1)) t(level, n)",
+    "parse_requests": """SELECT c_custkey AS request_id, CASE WHEN c_custkey % 8 NOT IN (2, 3) THEN c_name END AS noi_dung,
+        CASE c_custkey % 8 WHEN 1 THEN 'F' || c_custkey || '|F2' WHEN 4 THEN NULL WHEN 6 THEN 'F"1|F,2' WHEN 7 THEN NULL ELSE 'F1' END AS ids, CASE c_custkey % 8 WHEN 2 THEN 'data_list' WHEN 3 THEN 'data_list' WHEN 4 THEN 'file_ids' WHEN 5 THEN '400' WHEN 7 THEN 'file_ids' END AS reject FROM customer""",
+    "log_job_stats": """SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'ERROR' ELSE 'INFO' END AS level, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n, CAST(max(o_orderkey) AS INTEGER) AS last FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY 1, 2""",
     "fmt_rollup": r"SELECT lang, CASE WHEN contains(text, '**') OR regexp_matches(text, '(?m)^\s*#') THEN 'md' ELSE 'plain' END AS fmt, count(*) AS n FROM documents GROUP BY ROLLUP (lang, 2)".replace("ROLLUP (lang, 2)", "ROLLUP (lang, CASE WHEN contains(text, '**') OR regexp_matches(text, '(?m)^\\s*#') THEN 'md' ELSE 'plain' END)"),
     "event_window": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "upload_status": """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 2 = 1 THEN 415 WHEN n > 52428800 THEN 413 WHEN n = 0 THEN 400 ELSE 200 END AS INTEGER) AS status, o_orderkey % 5 <> 0 AS known, CAST(CASE WHEN o_orderkey % 100 > 80 THEN 81 ELSE o_orderkey % 100 END AS INTEGER) AS shown
+        FROM (SELECT *, CAST(trunc(o_totalprice * 1000) AS BIGINT) * (o_orderkey % 10) AS n FROM orders) x""",
+    "outcome_counts": "SELECT count(*) FILTER (o_orderstatus <> 'P') AS n_ok, count(*) FILTER (o_orderstatus = 'P') AS n_failed FROM orders",
+    "job_count": "SELECT count(*) AS n_jobs FROM orders",
+    "job_dump": """SELECT 'job_id: ' || o_orderkey || chr(10) || 'status: ' || o_orderstatus || chr(10) || 'created_at: ' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') || chr(10) || 'updated_at: NULL' || chr(10) || 'INPUT:' || chr(10) || '[]' || chr(10) || 'RESULT:' || chr(10) || o_orderpriority || chr(10) || 'ERROR:' || chr(10) || 'NULL' || chr(10) AS value FROM orders""",
+    "misread_and_lines": "SELECT c_custkey, '- (1) ế ố ' || c_name || chr(10) || '## 2. Ế Ố ' || c_mktsegment AS fixed, '(1) ế ố ' || c_name || chr(10) || 'Ế Ố ' || c_mktsegment AS plain FROM customer",
+    "files_by_name": "SELECT source || '/' || doc_id AS path FROM documents ORDER BY path",
 }
