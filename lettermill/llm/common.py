@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,9 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lettermill.sources.tables import shared_dir, spread, written
+
+__all__ = ["id_and_text", "shared_dir", "slices", "table", "utf8_length", "worker_state", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
@@ -47,22 +50,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 <
             start = end
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; below the warehouse
-    where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/lettermill-shared"
-    return f"{base.rstrip('/')}/lettermill-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: cuts the lineage, and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def utf8_length(text: Column) -> Column:
     return F.octet_length(text).cast("long")
