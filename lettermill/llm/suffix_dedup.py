@@ -393,8 +393,8 @@ def _repeats(docs: DataFrame, length: int, k: int, heavy: int) -> DataFrame:
     first = merged(places.groupBy("d", "h").agg(F.collect_set("place").alias("places")), False)  # of one document, once where its rows repeat
     if counts.filter(F.col("n") > heavy).limit(1).count():
         first = written(first)
-        codes = first.filter("codes IS NOT NULL").select("d", "h", F.explode("codes").alias("code"))
-        second = merged(codes.groupBy("d", "h").agg(F.collect_set("code").alias("places")), True)
+        codes = first.filter("codes IS NOT NULL").groupBy("d", "h").agg(F.flatten(F.collect_list("codes")).alias("places"))  # of one document
+        second = merged(codes, True)
         first = first.unionByName(second)
     return first.filter("spans IS NOT NULL").select("d", "h", "spans")
 
