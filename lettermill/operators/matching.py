@@ -23,7 +23,8 @@ def best_matches(petitions: DataFrame, pairs: DataFrame, threshold: float = P.TH
 
     With t the threshold, two sets can only reach it if they share one of the |A| - ceil(t |A|) + 1
     tokens of either that are rarest among the pairs, so only these meet in a join by token; sizes that
-    can't reach it are left out there, and what is left is verified. Frequent tokens never meet.
+    can't reach it are left out there, and what is left is verified. At a high threshold frequent tokens never
+    meet; at the low default most tokens of a set are in its prefix, and the join grows with frequent ones.
     """
     if threshold <= 0:
         raise ValueError("the threshold is above 0")
