@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import exact_topk, filter_audit, fingerprints, language_id, licenses, near_dedup, nbest_pieces, packing, suffix_dedup, token_counts, warc
+from lettermill.llm import exact_topk, filter_audit, fingerprints, language_id, licenses, near_dedup, nbest_pieces, packing, suffix_dedup, token_counts, token_store, warc
 from lettermill.llm.common import table
 
 
@@ -64,8 +64,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_nbest_pieces, op2_license_scan, op3_packing, op4_fingerprints, op5_near_duplicates, op6_exact_topk, op7_suffix_dedup, op8_token_counts, op9_language_id, op10_warc, op12_filter_audit)
+    f.__name__: f for f in (op1_nbest_pieces, op2_license_scan, op3_packing, op4_fingerprints, op5_near_duplicates, op6_exact_topk, op7_suffix_dedup, op8_token_counts, op9_language_id, op10_warc, op12_filter_audit, op13_token_store)
 }
 
 ORACLE_SQL: dict[str, str] = {
