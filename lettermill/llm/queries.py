@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import exact_topk, filter_audit, fingerprints, language_id, licenses, near_dedup, nbest_pieces, packing, suffix_dedup, token_counts, token_store, warc
+from lettermill.llm import exact_topk, filter_audit, fingerprints, language_id, licenses, merkle, near_dedup, nbest_pieces, packing, suffix_dedup, token_counts, token_store, warc
 from lettermill.llm.common import table
 
 
@@ -60,6 +60,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("long").cast("string")) % 3 == 0
+    found = merkle.sealed(table(spark, sf_dir, "documents"), tampered)
+    return found.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -69,7 +75,7 @@ def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_nbest_pieces, op2_license_scan, op3_packing, op4_fingerprints, op5_near_duplicates, op6_exact_topk, op7_suffix_dedup, op8_token_counts, op9_language_id, op10_warc, op12_filter_audit, op13_token_store)
+    f.__name__: f for f in (op1_nbest_pieces, op2_license_scan, op3_packing, op4_fingerprints, op5_near_duplicates, op6_exact_topk, op7_suffix_dedup, op8_token_counts, op9_language_id, op10_warc, op11_merkle_manifest, op12_filter_audit, op13_token_store)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,6 +93,31 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM m""",
+    "op11_merkle_manifest": """
+        WITH RECURSIVE d AS (SELECT *, '{' || coalesce('+' || lang, '') AS part, row_number() OVER () AS row FROM documents),
+        f AS (SELECT row, part, doc_id, text, coalesce(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+                     || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, coalesce(octet_length(encode(text)) || ':', '-') AS size,
+                     list_reduce(list_concat([4294967295], list_transform(generate_series(1, length(CAST(doc_id AS VARCHAR))), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+                                 lambda c, b: list_reduce(list_concat([xor(c, b)], [CAST(0 AS BIGINT) FOR i IN generate_series(1, 8)]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM d),
+        l AS (SELECT row, part, doc_id, sha256(head || size || coalesce(text, '')) AS leaf,
+                     sha256(head || size || coalesce(CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '')) AS claimed FROM f),
+        i AS (SELECT *, CAST(row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS BIGINT) AS idx, count(*) OVER (PARTITION BY part) AS n FROM l),
+        t AS (SELECT part, 0 AS level, idx, n, leaf AS digest FROM i
+              UNION ALL SELECT part, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY part, level, idx // 8, n),
+        s AS (SELECT part AS name, '' AS part, digest, CAST(row_number() OVER (ORDER BY part) - 1 AS BIGINT) AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+        u AS (SELECT part, 0 AS level, idx, n, digest FROM s
+              UNION ALL SELECT part, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY part, level, idx // 8, n),
+        r AS (SELECT part, level, idx // 8 AS parent, list(digest ORDER BY idx) AS ds FROM (SELECT * FROM t UNION ALL SELECT * FROM u) x WHERE n > 1 GROUP BY part, level, idx // 8),
+        w AS (SELECT row, part, 0 AS level, idx, '' AS proof, claimed AS fold FROM i
+              UNION ALL SELECT row, w.part, w.level + 1, parent, proof || array_to_string(list_concat(ds[1:idx % 8], ds[idx % 8 + 2:8]), ''), sha256(array_to_string(list_concat(ds[1:idx % 8], [fold], ds[idx % 8 + 2:8]), ''))
+              FROM w JOIN r ON r.part = w.part AND r.level = w.level AND r.parent = w.idx // 8),
+        a AS (SELECT row, arg_max(part, level) AS part, arg_max(proof, level) AS proof, arg_max(fold, level) AS fold FROM w GROUP BY row),
+        v AS (SELECT row, '' AS part, 0 AS level, s.idx, proof, fold FROM a JOIN s ON s.name = a.part
+              UNION ALL SELECT row, v.part, v.level + 1, parent, proof || array_to_string(list_concat(ds[1:idx % 8], ds[idx % 8 + 2:8]), ''), sha256(array_to_string(list_concat(ds[1:idx % 8], [fold], ds[idx % 8 + 2:8]), ''))
+              FROM v JOIN r ON r.part = v.part AND r.level = v.level AND r.parent = v.idx // 8),
+        e AS (SELECT row, arg_max(proof, level) AS proof, arg_max(fold, level) AS fold FROM v GROUP BY row)
+        SELECT doc_id, leaf, s.digest AS subroot, u.digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = u.digest AS verified
+        FROM i JOIN e USING (row) JOIN s ON s.name = i.part JOIN u ON u.n = 1""",
     "op12_filter_audit": r"""
         WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
         w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
