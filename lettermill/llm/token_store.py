@@ -37,8 +37,12 @@ STRETCH = 64
 #: Ids after which a segment ends (with the document), and segments in a file.
 SEGMENT_IDS = 1 << 19
 FILE_SEGMENTS = 8
-#: Words that a Python worker remembers, beyond which it starts afresh, and characters of the longest of them.
+#: Words that a Python worker remembers, beyond which those of the next batch stay, and characters of the longest of them.
 REMEMBERED, LONGEST = 800_000, 64
+#: Marks that are looked up apart from the letters before them.
+MARKS = ".,!?;:"
+#: New words that are encoded in one text.
+TOGETHER = 500
 
 
 def bitmap_directory(bits: np.ndarray) -> np.ndarray:
@@ -133,7 +137,9 @@ class WordIds:
     """Ids of whole texts as little-endian bytes; remembers words.
 
     A byte-level tokenizer splits a text before a space between two characters that are no white space,
-    so words are looked up one by one, with the space before them. What holds other white space is encoded in longer parts.
+    so words are looked up one by one, with the space (or line end) before them; of Latin letters with marks behind them
+    the letters and the marks. New words are encoded in one text, in which the ids that begin with a space tell
+    them apart. What holds other white space is encoded in longer parts.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -148,61 +154,72 @@ class WordIds:
         pre = said.get("pre_tokenizer") or {}
         if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex") or said.get("normalizer") or said.get("post_processor"):
             raise ValueError("only byte-level tokenizers without normalization and prefix are supported")
-        special = [x["content"] for x in said["added_tokens"]]
         if any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in said["added_tokens"]):
             raise ValueError("special tokens that take in what is around them aren't supported")
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.mark = special[0] if special else ""
-        self.mark_id = said["added_tokens"][0]["id"] if special else -1
-        self.known: dict[str, bytes] = {}
+        self.special = [x["content"] for x in said["added_tokens"]]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for x, i in vocabulary.items() if x.startswith("Ġ")]] = True  # a space, as byte-level tokenizers show it
+        #: By word: its ids behind a space, or behind a line end where it begins with one; None where it can't be looked up.
+        self.known: dict[str, bytes | None] = {}
+        self.parts: dict[str, bytes] = {}
         self.between = re.compile(r"(?<=\S) (?=\S)")
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _each(self, some: list[str]) -> list[bytes]:
-        """Ids of parts, none of which holds a special token."""
-        if self.mark:
-            ids = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            return [ids[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1] + 1]).tolist(), ends.tolist(), strict=True)]
-        return [self._alone(x) for x in some]
-
-    def _learn(self, parts: list[str]) -> None:
-        for start in range(0, len(parts), 50):
-            some = parts[start : start + 50]
-            self.known.update(zip(some, self._each(some), strict=True))
+    def _learn(self, new: set[str]) -> None:
+        known = self.known
+        core = {x: c for x in new if (c := x.rstrip(MARKS)) != x and c.isalpha() and max(c) < "\u0250"}
+        plain = [x for x in {core.get(x, x) for x in new}.difference(known) if x.isprintable() and x]
+        for start in range(0, len(plain), TOGETHER):
+            some = plain[start : start + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
+            known.update(zip(some, (ids[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)), strict=True))
+        marks = {m: self._alone(m) for m in {x[len(c) :] for x, c in core.items()}}
+        known.update((x, known[c] + marks[x[len(c) :]]) for x, c in core.items())
+        for x in new.difference(known):  # line ends before words, and what has white space in it
+            known[x] = self._alone(x) if x[:1] == "\n" and x[1:] and x[1:].isprintable() else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [t.replace("\n", " \n").split(" ") for t in texts]
+        used = set().union(*(x[1:] for x in cut))
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [None if self.special and self.special.search(t) else self._cut(t) for t in texts]
-        new = set().union(*(x for x in cut if x)).difference(self.known)
-        self._learn(list(new))
-        get = self.known.__getitem__
-        out = [self._alone(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, cut, strict=True)]
+            self.known = {x: self.known[x] for x in used if x in self.known}
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        new = used.difference(self.known)
+        self._learn(new)
+        get, out = self.known.__getitem__, []
+        for t, words in zip(texts, cut, strict=True):
+            if any(x in t for x in self.special):
+                out.append(self._alone(t))
+                continue
+            try:
+                out.append(b"".join([self._first(words[0]), *map(get, words[1:])]))
+            except TypeError:  # some words can't be looked up
+                out.append(b"".join(map(self._part, self._apart(t))))
         for x in new:
             if len(x) > LONGEST:
                 del self.known[x]
         return out
 
-    def _cut(self, text: str) -> list[str]:
-        """Parts that are encoded alone: words with the space before them, line ends between words, and what has other white space."""
-        out = []
-        for n, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if not all(words) or not line.isprintable():
-                return self._careful(text)
-            if n:
-                out.append("\n")
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
-        return out
+    def _first(self, word: str) -> bytes | None:
+        return self._part(word) if word and word.isprintable() else None
 
-    def _careful(self, text: str) -> list[str]:
+    def _apart(self, text: str) -> list[str]:
         first, *others = self.between.split(text)
         return [first, *(" " + x for x in others)] if text else []
 
+    def _part(self, text: str) -> bytes:
+        found = self.parts.get(text)
+        if found is None:
+            found = self._alone(text)
+            if len(text) <= LONGEST:
+                self.parts[text] = found
+        return found
+
 
 def word_ids(tokenizer_path: str) -> WordIds:
     return worker_state(("token_store", tokenizer_path), lambda: WordIds(tokenizer_path))

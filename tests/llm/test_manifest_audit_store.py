@@ -222,5 +222,6 @@ def test_op13_words_equal_the_library():
     bits = [" ", "  ", "\n", "\n\n", "\t", " ", " ", "\x1c", "\x85", "a", "bc", "it's", "'re", "don't", "1", "23", "!", "...", "é", "日本", "<|", "<|endoftext|>", " ", "​", "\r\n", "The", "end", "\x00"]
     for _ in range(5000):
         text = "".join(rng.choices(bits, k=rng.randrange(9)))
-        assert w.encode([text])[0] == np.array(w.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
-    assert all(len(x) <= token_store.LONGEST for x in w.known)
+        for some in ([text], [text, text + " Straße, x.y! co-op;; (a)... 12,5 ʼn. \nnext: day\nŒuvre!?"]):
+            assert w.encode(some) == [np.array(w.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some], some
+    assert all(len(x) <= token_store.LONGEST for x in (*w.known, *w.parts))
