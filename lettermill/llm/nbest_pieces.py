@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ class Lattice:
         #: What an id shows wherever it stands; None where that depends on its neighbours.
         self.shown = [None if i in self.signs or self.byte_of.get(i, 0) > 127 else chr(self.byte_of[i]) if i in self.byte_of else p for i, p in enumerate(self.pieces)]
         self.longest = max(map(len, self.ids))
-        self.prefix: dict[str, float | None] = {p[:i]: None for p in self.ids for i in range(1, len(p))} | self.score
+        self.suffix: dict[str, float | None] = {p[i:]: None for p in self.ids for i in range(1, len(p))} | self.score
         self.packed = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.unknown = min(self.score.values()) - UNKNOWN_LOSS
         self.crossed = {c for p in self.ids if len(p) > 1 for c in p}
@@ -92,40 +92,47 @@ class Lattice:
                 heapq.heappush(queue, (-(best[s] + behind + x), made, s, behind + x, (s, path)))
         return out
 
-    def best(self, text: str) -> tuple[float, tuple[int, ...], float]:
-        """Score and cuts of the best path, and what the second best loses against it."""
-        size, get, low = len(text), self.prefix.get, -float("inf")
-        best, back, ways = [0.0] + [low] * size, [0] * (size + 1), []
-        for s in range(size):
-            a, e, here = best[s], s + 1, []
-            while e <= size:
-                x = get(text[s:e], low)
-                if x is low:  # no piece begins like this
+    def best(self, texts: Iterable[str]) -> Iterator[tuple[str, float, list[int], float]]:
+        """Each text (none of them empty) with score and cuts of its best path, and what the second best loses against it.
+
+        Both best scores of a node depend on the text before it alone, so in sorted order the nodes of a common prefix are kept.
+        """
+        get, low = self.suffix.get, -float("inf")
+        one, two, back, last = [0.0], [low], [0], ""
+        for text in sorted(texts):
+            same = 0
+            for a, b in zip(last, text, strict=False):
+                if a != b:
                     break
-                if x is not None:
-                    here.append((e, x))
-                    if a + x > best[e]:
-                        best[e], back[e] = a + x, s
-                e += 1
-            if not here or here[0][0] != s + 1:
-                here.append((s + 1, self.unknown))
-                if a + self.unknown > best[s + 1]:
-                    best[s + 1], back[s + 1] = a + self.unknown, s
-            ways.append(here)
-        ends, node = {}, size
-        while node:
-            ends[back[node]], node = node, back[node]
-        after, second = [low] * size + [0.0], low
-        for s in range(size - 1, -1, -1):
-            most, taken = low, ends.get(s)
-            for e, x in ways[s]:
-                x += after[e]
-                if x > most:
-                    most = x
-                if e != taken and best[s] + x > second:
-                    second = best[s] + x
-            after[s] = most
-        return best[size], tuple(sorted(ends)), best[size] - second
+                same += 1
+            del one[same + 1 :], two[same + 1 :], back[same + 1 :]
+            for end in range(same + 1, len(text) + 1):
+                start = end - 1
+                x = get(text[start:end], low)
+                more = x is not low  # else no piece ends like this
+                if x is None or x is low:
+                    x = self.unknown
+                first, second, at = one[start] + x, two[start] + x, start
+                while more and start:
+                    start -= 1
+                    x = get(text[start:end], low)
+                    if x is low:
+                        break
+                    if x is not None:
+                        y = one[start] + x
+                        if y >= first:  # of equals the longer piece
+                            z = two[start] + x
+                            second, first, at = (first if first > z else z), y, start
+                        elif y > second:
+                            second = y
+                one.append(first)
+                two.append(second)
+                back.append(at)
+            last, cuts, node = text, [], len(text)
+            while node:
+                node = back[node]
+                cuts.append(node)
+            yield text, one[-1], cuts[::-1], one[-1] - two[-1]
 
     def encode(self, text: str, cuts: tuple[int, ...]) -> list[int]:
         out = []
@@ -190,22 +197,29 @@ class Segmenter:
             return [x for line in lines for x in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", line)]
         return [x for line in lines for x in line.replace(SPACE, " " + SPACE).split(" ") if x]
 
-    def solve(self, part: str) -> tuple[float, bytes, float]:
-        x, cuts, loss = self.lattice.best(part)
-        packed = self.lattice.packed.get
-        ids = [packed(part[s:e]) or b"".join(self.lattice.bytes[b].to_bytes(4, "little") for b in part[s:e].encode()) for s, e in zip(cuts, (*cuts[1:], len(part)), strict=True)]
-        return x, b"".join(ids), loss
+    def learn(self, parts: set[str]) -> None:
+        """The best path of new parts: score, ids and what the second best loses."""
+        packed, raw = self.lattice.packed.get, self.lattice.bytes
+        for part, x, cuts, loss in self.lattice.best(parts):
+            ids = [packed(part[s:e]) or b"".join(raw[b].to_bytes(4, "little") for b in part[s:e].encode()) for s, e in zip(cuts, (*cuts[1:], len(part)), strict=True)]
+            self.known[part] = x, b"".join(ids), loss
 
-    def segment(self, text: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best segmentations of a text: score and ids (little-endian, four bytes each)."""
-        parts = self.parts(text)
+    def segment_all(self, texts: list[str], n: int) -> list[list[tuple[float, bytes]]]:
+        """segment() of each text; the new parts of all are solved together."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         if len(self.more) > REMEMBERED // 8:
             self.more.clear()
+        cut = [self.parts(t) for t in texts]
+        self.learn(set().union(*cut).difference(self.known))
+        return [self._joined(parts, n) for parts in cut]
+
+    def segment(self, text: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best segmentations of a text: score and ids (little-endian, four bytes each)."""
+        return self.segment_all([text], n)[0]
+
+    def _joined(self, parts: list[str], n: int) -> list[tuple[float, bytes]]:
         known = self.known
-        for x in set(parts).difference(known):
-            known[x] = self.solve(x)
         solved = list(map(known.__getitem__, parts))
         top = sum(x[0] for x in solved)
         ids = [x[1] for x in solved]
@@ -248,11 +262,14 @@ SCHEMA = "doc_id long, n_best array<struct<score:double,ids:array<int>>>"
 DIGEST = "doc_id long, n_paths int, n_pieces long, score double, ids_crc32 long, n_best string, decoded_equal boolean"
 
 
-def _over(docs: DataFrame, schema: str, row) -> DataFrame:
+def _over(docs: DataFrame, schema: str, model_path: str, n: int, row) -> DataFrame:
+    """row of each text and its n best segmentations."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = re.findall(r"(?:^|, )(\w+)", re.sub("<.*>", "", schema))
         for batch in slices(batches, "text"):
-            rows = [row(t) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            rows = [row(t, found) for t, found in zip(texts, segmenter(model_path).segment_all(texts, n), strict=True)]
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, TYPES[schema], strict=True))], names=names)
 
@@ -272,7 +289,7 @@ def encode_nbest(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
     empty segmentation with score 0 alone; a text with fewer segmentations has fewer; repeated rows
     give repeated rows; an empty table gives no rows. Only doc_id and text are read.
     """
-    return _over(docs, SCHEMA, lambda t: ([{"score": x, "ids": np.frombuffer(ids, "<u4").tolist()} for x, ids in segmenter(model_path).segment(t, n)],))
+    return _over(docs, SCHEMA, model_path, n, lambda _, found: ([{"score": x, "ids": np.frombuffer(ids, "<u4").tolist()} for x, ids in found],))
 
 
 def encode_digest(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
@@ -280,13 +297,12 @@ def encode_digest(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
     "score:CRC-32" joined by commas; and whether decoding the best gives the text back (true of every
     text in which the space symbol itself doesn't occur)."""
 
-    def row(text: str) -> tuple:
-        found = segmenter(model_path).segment(text, n)
+    def row(text: str, found: list[tuple[float, bytes]]) -> tuple:
         score, ids = found[0]
         same = segmenter(model_path).lattice.decode(np.frombuffer(ids, "<u4").tolist()) == text
         return len(found), len(ids) // 4, score, zlib.crc32(ids), ",".join(f"{x:.1f}:{zlib.crc32(y)}" for x, y in found), same
 
-    return _over(docs, DIGEST, row)
+    return _over(docs, DIGEST, model_path, n, row)
 
 
 def decode(rows: DataFrame, model_path: str) -> DataFrame:
