@@ -37,8 +37,8 @@ STRETCH = 64
 #: Ids after which a segment ends (with the document), and segments in a file.
 SEGMENT_IDS = 1 << 19
 FILE_SEGMENTS = 8
-#: Words that a Python worker remembers, beyond which those of the next batch stay, and characters of the longest of them.
-REMEMBERED, LONGEST = 800_000, 64
+#: Words that a Python worker remembers, beyond which those stay that came again, and characters of the longest of them.
+REMEMBERED, LONGEST = 500_000, 64
 #: Marks that are looked up apart from the letters before them.
 MARKS = ".,!?;:"
 #: New words that are encoded in one text.
@@ -162,6 +162,7 @@ class WordIds:
         self.begins[[i for x, i in vocabulary.items() if x.startswith("Ġ")]] = True  # a space, as byte-level tokenizers show it
         #: By word: its ids behind a space, or behind a line end where it begins with one; None where it can't be looked up.
         self.known: dict[str, bytes | None] = {}
+        self.again: set[str] = set()
         self.parts: dict[str, bytes] = {}
         self.between = re.compile(r"(?<=\S) (?=\S)")
 
@@ -169,27 +170,34 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        known = self.known
-        core = {x: c for x in new if (c := x.rstrip(MARKS)) != x and c.isalpha() and max(c) < "\u0250"}
-        plain = [x for x in {core.get(x, x) for x in new}.difference(known) if x.isprintable() and x]
+        known, core = self.known, {}
+        for x in new:
+            if x[-1:] in MARKS and (c := x.rstrip(MARKS)).isalpha() and c.isascii():
+                core[x] = c
+        plain = [x for x in new.difference(core).union(core.values()).difference(known) if x and x.isprintable()]
         for start in range(0, len(plain), TOGETHER):
             some = plain[start : start + TOGETHER]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            at = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
-            known.update(zip(some, (ids[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)), strict=True))
+            raw, at = ids.tobytes(), (4 * np.flatnonzero(self.begins[ids])).tolist()
+            at.append(len(raw))
+            known.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
         marks = {m: self._alone(m) for m in {x[len(c) :] for x, c in core.items()}}
-        known.update((x, known[c] + marks[x[len(c) :]]) for x, c in core.items())
+        for x, c in core.items():
+            known[x] = known[c] + marks[x[len(c) :]]
         for x in new.difference(known):  # line ends before words, and what has white space in it
             known[x] = self._alone(x) if x[:1] == "\n" and x[1:] and x[1:].isprintable() else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
         used = set().union(*(x[1:] for x in cut))
-        if len(self.known) > REMEMBERED:
-            self.known = {x: self.known[x] for x in used if x in self.known}
+        new = used.difference(self.known)
+        if len(self.known) > REMEMBERED // 2:
+            self.again |= used - new
+        if len(self.known) > REMEMBERED:  # what came but once of late goes
+            self.known = {x: self.known[x] for x in self.again if x in self.known}
+            self.again, new = set(), used.difference(self.known)
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        new = used.difference(self.known)
         self._learn(new)
         get, out = self.known.__getitem__, []
         for t, words in zip(texts, cut, strict=True):
