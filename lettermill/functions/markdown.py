@@ -21,8 +21,11 @@ ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 SPACE = re.compile(r"\s*")
 ANGLED = re.compile(r"<(?:[^<>\n\\]|\\.)*>")
 TITLE = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)", re.DOTALL)
-#: Brackets within brackets in a link's target.
+BLANKS = re.compile(" *")
+SAME = {c: re.compile(re.escape(c) + "+") for c in "`*_"}
+#: Brackets within brackets in a link's target, and quotes within quotes: deeper ones are one.
 DEEPEST = 32
+QUOTES = re.compile(r"(?: {0,3}> ?)*")
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -53,6 +56,7 @@ def inline(s: str) -> str:
     out: list[str] = []
     runs: list[list] = []  # place in out, mark, length, can open, can close, length at first
     opened: list[tuple[int, bool, int]] = []  # place in out of an opening bracket, whether it is an image's, runs before it
+    unclosed: set[int] = set()  # lengths of runs of backticks that no later one closes
     i = 0
     while i < len(s):
         c = s[i]
@@ -60,11 +64,13 @@ def inline(s: str) -> str:
             out.append(s[i + 1])
             i += 2
             if s[i - 1] == "\n":
-                i += len(s[i:]) - len(s[i:].lstrip(" "))
+                i = BLANKS.match(s, i).end()
             continue
         if c == "`":
-            n = len(re.match("`+", s[i:]).group())
-            end = re.compile(rf"(?<!`)`{{{n}}}(?!`)").search(s, i + n)
+            n = SAME["`"].match(s, i).end() - i
+            end = None if n in unclosed else re.compile(rf"(?<!`)`{{{n}}}(?!`)").search(s, i + n)
+            if not end:
+                unclosed.add(n)
             code = s[i + n : end.start()].replace("\n", " ") if end else s[i : i + n]
             out.append(code[1:-1] if end and code[:1] == code[-1:] == " " and code.strip() else code)
             i = end.end() if end else i + n
@@ -82,10 +88,10 @@ def inline(s: str) -> str:
             while out and out[-1] == " ":
                 out.pop()
             out.append("\n" if hard else " ")
-            i += 1 + len(s[i + 1 :]) - len(s[i + 1 :].lstrip(" "))
+            i = BLANKS.match(s, i + 1).end()
             continue
         if c in "*_":
-            n = len(re.match(re.escape(c) + "+", s[i:]).group())
+            n = SAME[c].match(s, i).end() - i
             before, after = s[i - 1] if i else " ", s[i + n] if i + n < len(s) else " "
             left = not after.isspace() and (not _punctuation(after) or before.isspace() or _punctuation(before))
             right = not before.isspace() and (not _punctuation(before) or after.isspace() or _punctuation(after))
@@ -118,29 +124,31 @@ def inline(s: str) -> str:
 
 def _settle(runs: list[list], out: list[str], first: int) -> None:
     """Takes the delimiters of emphasis out, from the first run on."""
-    k = first
-    while k < len(runs):
-        close = runs[k]
-        if not close[4] or not close[2]:
-            k += 1
-            continue
-        for j in range(k - 1, first - 1, -1):
-            opener = runs[j]
-            odd = (opener[4] or close[3]) and (opener[5] + close[5]) % 3 == 0 and (opener[5] % 3 or close[5] % 3)
-            if opener[1] == close[1] and opener[3] and opener[2] and not odd:
-                n = 2 if opener[2] >= 2 and close[2] >= 2 else 1
-                for run in (opener, close):
-                    run[2] -= n
-                    out[run[0]] = run[1] * run[2]
-                for between in runs[j + 1 : k]:
-                    between[3] = between[4] = False
+    live: list[list] = []  # runs that can still open
+    searched: dict[tuple, int] = {}  # of each kind of closing run, below which place of live no opener is
+    for close in runs[first:]:
+        while close[4] and close[2]:
+            kind = (close[1], close[3], close[5] % 3)
+            for j in range(len(live) - 1, searched.get(kind, 0) - 1, -1):
+                opener = live[j]
+                odd = (opener[4] or close[3]) and (opener[5] + close[5]) % 3 == 0 and (opener[5] % 3 or close[5] % 3)
+                if opener[1] == close[1] and not odd:
+                    break
+            else:
+                searched[kind] = len(live)
                 break
-        else:
-            k += 1
+            n = 2 if opener[2] >= 2 and close[2] >= 2 else 1
+            for run in (opener, close):
+                run[2] -= n
+                out[run[0]] = run[1] * run[2]
+            del live[j + (opener[2] > 0) :]  # what is between opens nothing any more
+            searched = {k: min(v, len(live)) for k, v in searched.items()}
+        if close[3] and close[2]:
+            live.append(close)
     del runs[first:]
 
 
-def blocks(lines: list[str]) -> list[str]:
+def blocks(lines: list[str], depth: int = 0) -> list[str]:
     """The plain text of each block, with the break behind it."""
     out: list[str] = []
     paragraph: list[str] = []
@@ -159,9 +167,9 @@ def blocks(lines: list[str]) -> list[str]:
             close()
             inner = []
             while i < len(lines) and (QUOTE.match(lines[i]) or (lines[i].strip() and inner and inner[-1].strip() and not (RULE.match(lines[i]) or FENCE.match(lines[i]) or HEADING.match(lines[i])))):
-                inner.append(QUOTE.sub("", lines[i], count=1))
+                inner.append((QUOTE if depth < DEEPEST else QUOTES).sub("", lines[i], count=1))
                 i += 1
-            out += blocks(inner)
+            out += blocks(inner, depth + 1)
             continue
         elif m := FENCE.match(x):
             close()

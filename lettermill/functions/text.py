@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 from lettermill.functions import patterns as P
 
 
+def _last(chars: str) -> str:
+    """The last run of characters (the inside of a class), found at its beginning alone: a search would begin anew at each of them."""
+    return f"(?<![{chars}])[{chars}]++"
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(x, r"(?U)^\s++|" + _last(r"\s") + r"\z", "")
 
 
 def lines(text: Column) -> Column:
@@ -70,7 +75,7 @@ def _without_notes(text: Column, note: str, also: str) -> Column:
     cluster = rf"(?:[ \t]*\n)?{note}[^\n]*(?:\n(?:{note}[^\n]*|[ \t]*(?=\n|\z)))*+"
     flags = "(?iU)"
     joined = F.regexp_replace(text, rf"{flags}([^\s.!?;:])[ \t]*\n{cluster}\n[ \t]*(?=(?-i:[(_\"' ]*[\p{{Ll}}\p{{IsLowercase}}]{also}))", "$1 ")
-    return F.regexp_replace(F.regexp_replace(joined, rf"{flags}(?<=\n|\A){cluster}(?:\n|\z)", ""), r"\n+\z", "")
+    return F.regexp_replace(F.regexp_replace(joined, rf"{flags}(?<=\n|\A){cluster}(?:\n|\z)", ""), _last(r"\n") + r"\z", "")
 
 
 def clean_footer(text: Column) -> Column:
@@ -84,26 +89,26 @@ def remove_footnotes(text: Column) -> Column:
 
 
 #: White space within a line.
-INNER = r"[^\S\n]"
+INNER = r"[\s&&[^\n]]"
 
 
 def clean_text(text: Column) -> Column:
     """Lines without markdown at their ends, breaks and superscripts; runs of blank lines as one."""
-    trim = rf"(?Umd)^{INNER}+|{INNER}+$"
+    trim = rf"(?Umd)^{INNER}++|{_last(INNER)}$"
     x = F.regexp_replace(F.regexp_replace(text, P.LINE_BREAK, "\n"), trim, "")
     x = F.regexp_replace(x, r"(?md)^(?:#+[ \t]*|\*\*|\*|_+|>[ \t]*)", "")
-    x = F.regexp_replace(x, r"(?md)^[ *_#>]+|[ *_#>]+$", "")
+    x = F.regexp_replace(x, r"(?md)^[ *_#>]++|" + _last(" *_#>") + "$", "")
     x = F.regexp_replace(F.regexp_replace(x, r"<br>|<br/>|</br>", " "), r"<sup>[^<\n]*</sup>", "")
     x = F.regexp_replace(F.regexp_replace(x, rf"(?U){INNER}+", " "), trim, "")
-    return F.regexp_replace(F.regexp_replace(x, "\n{3,}", "\n\n"), r"^\n+|\n+\z", "")
+    return F.regexp_replace(F.regexp_replace(x, "\n{3,}", "\n\n"), r"^\n++|" + _last(r"\n") + r"\z", "")
 
 
 def clean_petition(text: Column) -> Column:
     """Without quotes and underscores around, and with one mark at the end: of the quotes and marks there the first mark stays."""
     out = F.regexp_replace(strip(text), "(?U)^[\\s“”\"'‘’_]+", "")
-    quotes = "”\"'‘’_"
-    out = F.regexp_replace(out, rf"(?U)(\s*)[\s{quotes}]*([.!?;:])[\s.!?;:{quotes}]*\z", "$1$2")
-    return strip(F.regexp_replace(out, rf"(?U)[\s{quotes}]+\z", ""))
+    quotes, marks = "\\s”\"'‘’_", ".!?;:"
+    out = F.regexp_replace(out, rf"(?U)(?<![{quotes}{marks}])(\s*+)[{quotes}]*+([{marks}])[{quotes}{marks}]*+\z", "$1$2")
+    return strip(F.regexp_replace(out, rf"(?U){_last(quotes)}\z", ""))
 
 
 def clean_answer(text: Column, cleaner=clean_text) -> Column:
@@ -112,7 +117,7 @@ def clean_answer(text: Column, cleaner=clean_text) -> Column:
 
 def normalize_markdown(text: Column) -> Column:
     """Without orphaned stars behind item numbers and heading marks within lines."""
-    out = F.regexp_replace(text, r"(?U)((?:\(\w+\)|\d+\.|\d+\))\s*)\*{1,2}\s+", "$1 ")
+    out = F.regexp_replace(text, r"(?U)((?:\(\w++\)|(?<!\d)\d++[.)])\s*+)\*{1,2}\s+", "$1 ")
     return F.regexp_replace(F.regexp_replace(out, r"(?mU)(?<=\S)\s+#{1,6}\s+", " "), r"[ \t]{2,}", " ")
 
 
@@ -133,7 +138,7 @@ def clean_line(x: Column) -> Column:
     blank = r"[ \t\x0B\f\r]"
     x = F.regexp_replace(x, rf"(?md)^{blank}*[-*•◦▪▸]{blank}+", "")
     x = F.regexp_replace(F.regexp_replace(x, rf"(?md)^#{{1,6}}{blank}*", ""), rf"(?md)^\d{{1,3}}{blank}*[.．)\]]{blank}+", "")
-    return F.regexp_replace(x, rf"(?Umd)^{INNER}+|{INNER}+$", "")
+    return F.regexp_replace(x, rf"(?Umd)^{INNER}++|{_last(INNER)}$", "")
 
 
 def clean_block(text: Column) -> Column:
@@ -143,16 +148,18 @@ def clean_block(text: Column) -> Column:
 
 
 def trim_list_mark(text: Column) -> Column:
-    return F.regexp_replace(text, r"[,;]+\z", "")
+    return F.regexp_replace(text, _last(",;") + r"\z", "")
 
 
 def delegation(line: Column) -> Column:
     """The delegation that a line names, with its capitalised province; the bare phrase without one."""
     out = F.lit(P.DELEGATION)
     for marker in reversed(P.DELEGATION_OF):
-        found = F.regexp_extract(line, rf"(?iU){marker}((?-i:(?:\s+[;,:.]*\p{{Lu}}\S*)*))", 1)
-        words = F.transform(F.filter(F.split(strip(found), r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(w, r"^[;,:.]+|[;,:.]+\z", ""))
-        out = F.when(F.lower(line).contains(marker.lower()), F.concat_ws(" ", F.lit(marker), F.array_join(words, " "))).otherwise(out)
+        behind = F.regexp_extract(line, rf"(?iUs){marker}(.*)", 1)
+        words = F.transform(F.filter(F.split(behind, r"(?U)\s+"), lambda w: w != ""), lambda w: F.regexp_replace(w, r"^[;,:.]++|" + _last(";,:.") + r"\z", ""))
+        stop = F.array_position(F.transform(words, lambda w: w.rlike(r"^\p{IsUppercase}")), False)  # from 1, 0 if there is none
+        names = F.when(stop == 0, words).otherwise(F.slice(words, F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int")))
+        out = F.when(F.lower(line).contains(marker.lower()), F.concat_ws(" ", F.lit(marker), F.array_join(names, " "))).otherwise(out)
     return strip(out)
 
 
@@ -170,6 +177,8 @@ def signer(text: Column) -> Column:
     """The minister who signs in the last lines; the bare title without an acceptable name; null without a title."""
     last = lines(text)
     tail = F.array_join(F.slice(last, F.greatest(F.lit(1), F.size(last) - P.TAIL_LINES + 1), P.TAIL_LINES), "\n")
+    most = P.SIGNER_CHARS + 40  # a name with more white space inside is too long anyway
+    tail = F.regexp_replace(tail, rf"(?U){INNER}{{{most},}}+", " " * most)
     names = F.transform(F.regexp_extract_all(tail, F.lit(P.SIGNER), F.lit(1)), strip)
     good = F.filter(names, lambda x: (x != "") & (F.length(x) <= P.SIGNER_CHARS) & ~x.rlike(P.LEGAL_WORDS))
     return F.when(F.size(names) > 0, F.concat_ws(" ", F.lit(P.MINISTER), F.try_element_at(good, F.lit(1))))
@@ -195,7 +204,7 @@ def is_stop(line: Column) -> Column:
 
 
 def has_structure(text: Column) -> Column:
-    return text.contains("**") | text.rlike(r"(?m)^\s*#")
+    return text.contains("**") | text.rlike(r"(?m)^[ \t\x0B\f]*+#")
 
 
 def is_footnote(line: Column) -> Column:
@@ -204,7 +213,7 @@ def is_footnote(line: Column) -> Column:
 
 def strip_fence(text: Column) -> Column:
     """What stands in a code fence, else the text."""
-    inner = F.regexp_extract(text, r"(?s)^\s*```[a-zA-Z]*\s*(.*?)\s*```", 1)
+    inner = strip(F.regexp_extract(text, r"(?s)^\s*+```[a-zA-Z]*+(.*?)```", 1))
     return F.when(inner != "", inner).otherwise(strip(text))
 
 
