@@ -5,7 +5,8 @@ all of them, and each round merges, in every sequence at once, its pair of lowes
 of equals). Sequences end where no piece goes over two characters in a row. Long ones, which would
 take a round for each merge, go rank by rank instead: a round takes, in all of them at once, the
 places of the lowest rank, up to the first in a sequence that makes a pair of a rank as low or lower
-(which comes first then), and only looks at their neighbours. The symbols that survive are the
+(which comes first then), and only looks at their neighbours. Sequences that stop so again and again (runs of one
+character, whose doubled pieces have lower and lower ranks) are merged pair by pair over a heap. The symbols that survive are the
 tokens; a symbol outside the vocabulary counts one token for each of its UTF-8 bytes (byte fallback).
 """
 
@@ -30,6 +31,10 @@ BATCH_SYMBOLS = 400_000
 NONE = np.iinfo(np.int64).max
 #: Symbols from which on a sequence is a long one.
 LONG = 48
+#: Rounds between two looks for sequences that have stopped in half of them.
+PATIENCE = 32
+#: Characters of the longest pre-token that is remembered.
+LONGEST = 200
 #: Stands for a symbol that has merged into the one before.
 GONE = -(1 << 40)
 
@@ -54,9 +59,31 @@ class MergeTable:
         pairs = sorted((self.ids[p.piece[:i]] << 32 | self.ids[p.piece[i:]], k) for k, p in enumerate(pieces) for i in range(1, len(p.piece)) if p.piece[:i] in self.ids and p.piece[i:] in self.ids)
         self.keys, made = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.made, self.ranks = made, rank[made]
+        self.pairs = {(k >> 32, k & 0xFFFFFFFF): (r, m) for k, r, m in zip(self.keys.tolist(), self.ranks.tolist(), made.tolist(), strict=True)}
         self.in_pieces = {c for p in pieces if len(p.piece) > 1 for c in p.piece}
         self.neighbours = np.unique(np.array([ord(a) << 32 | ord(b) for p in pieces for a, b in zip(p.piece, p.piece[1:], strict=False)], np.int64))
 
+    def one_by_one(self, sym: list[int]) -> list[int]:
+        """The symbols that survive of one sequence, its pairs merged in their order (rank, then place) over a heap."""
+        n, pair = len(sym), self.pairs.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], i, found[1]) for i in range(n - 1) if (found := pair((sym[i], sym[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, made = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] == GONE or j == n or pair((sym[i], sym[j])) != (rank, made):
+                continue
+            sym[i], sym[j], k = made, GONE, after[j]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if found := pair((made, sym[k])):
+                    heapq.heappush(heap, (found[0], i, found[1]))
+            if (h := before[i]) >= 0 and (found := pair((sym[h], made))):
+                heapq.heappush(heap, (found[0], h, found[1]))
+        return [x for x in sym if x != GONE]
+
     def found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair and what it makes; NONE where it doesn't merge."""
         key = left << 32 | right
@@ -131,7 +158,18 @@ class MergeTable:
                 put(value, places[order[first[i] : first[i + 1] if i + 1 < len(first) else None]])
 
         wait(np.arange(n))
+        stops, rounds = np.zeros(int(seq.max()) + 2, np.int64), 0
         while ranks:
+            rounds += 1
+            if not rounds % PATIENCE:
+                slow = np.flatnonzero(stops >= PATIENCE // 2)
+                stops[:] = 0
+                if len(slow):
+                    at = np.flatnonzero(np.isin(seq[:n], slow) & (sym[:n] != GONE))
+                    rank[at] = NONE
+                    for part in np.split(at, np.flatnonzero(np.diff(seq[at])) + 1):
+                        left = self.one_by_one(sym[part].tolist())
+                        sym[part[: len(left)]], sym[part[len(left) :]] = left, GONE
             now = heapq.heappop(ranks)
             at = np.unique(np.concatenate(waiting.pop(now)))
             at = at[rank[at] == now]  # what has merged since has another rank
@@ -149,8 +187,9 @@ class MergeTable:
             low = np.minimum(low, np.where(seq[right] == seq[at_once], self.found(made, sym[right])[0], NONE)) <= now
             late = np.zeros(len(at), bool)
             if low.any():  # in a sequence, all that comes behind the first such place waits
-                stop = np.full(int(seq.max()) + 2, n)
+                stop = np.full(len(stops), n)
                 np.minimum.at(stop, seq[at_once[low]], at_once[low])
+                stops[seq[at_once[low]]] += 1
                 late = at > stop[seq[at]]
                 go = at_once <= stop[seq[at_once]]
                 at_once, made, last = at_once[go], made[go], last[go]
@@ -209,7 +248,11 @@ class Counter:
                 self.known.update(zip(some, self.table.counts(some).tolist(), strict=True))
                 start, size = i + 1, 0
         get = self.known.__getitem__
-        return [sum(map(get, x)) for x in chunked]
+        out = [sum(map(get, x)) for x in chunked]
+        for x in new:
+            if len(x) > LONGEST:
+                del self.known[x]
+        return out
 
 
 def counter(model_path: str) -> Counter:

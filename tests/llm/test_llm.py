@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -376,6 +377,18 @@ def test_op8_long_runs_without_a_space():
             token_counts.LONG = before
 
 
+def test_op8_runs_of_one_character():
+    lib, c, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), token_counts.Counter(PIECES), random.Random(1)
+    signs = sorted({" " if p[0] == token_counts.SPACE else p[0] for p in c.table.ids if len(p) > 1 and len(set(p)) == 1})
+    texts = [" " * 1_000_000, *(x * 20_000 for x in signs), "".join(rng.choice(signs) * rng.randrange(1, 400) for _ in range(2000))]
+    for _ in range(300):
+        some = rng.choices(signs, k=rng.randrange(1, 5))
+        texts.append("".join(rng.choice(some) * rng.choice([1, 2, 3, 5, 17, 40, 100, 333]) for _ in range(rng.randrange(1, 9))))
+    start = time.time()
+    assert c.count(texts) == [len(x) for x in lib.encode(texts)] and time.time() - start < 60
+    assert max(map(len, c.known)) <= token_counts.LONGEST
+
+
 def test_op9_language_id(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.learn(docs)
