@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.functions import names as N
 from lettermill.functions import patterns as P
 from lettermill.functions import text as X
 
@@ -101,33 +102,11 @@ def letter_metadata(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", X.metadata(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
-def unit_names(names: dict[str, int]) -> list[tuple[str, int]]:
-    """Folded names of units with their ids, short forms included, longest first; a later name replaces an earlier one."""
-    import re
-    import unicodedata
-
-    found: dict[str, int] = {}
-    for name, unit in names.items():
-        base = "".join(c for c in unicodedata.normalize("NFKD", name.lower().replace("đ", "d")) if not unicodedata.combining(c))
-        full = " ".join(base.split())
-        for key in (full, re.sub(P.UNIT_PREFIX, "", full)):
-            found[key] = unit
-    return sorted(found.items(), key=lambda x: -len(x[0]))
-
-
 def delegation_ids(docs: DataFrame, names: dict[str, int]) -> DataFrame:
     """doc_id and donvi_id: the unit named in the first header line with the phrase and a known name, else
-    right behind the phrase in the joined header; the longest name wins. names is a small dictionary."""
-    ordered = unit_names(names)
+    right behind the phrase in the joined header; the longest name wins."""
     header = F.transform(F.slice(X.lines(F.coalesce("text", F.lit(""))), 1, P.HEADER_LINES), X.folded_name)
-    none = F.lit(None).cast("int")
-    pick = lambda hit: F.coalesce(none, *[F.when(hit(k), F.lit(v)) for k, v in ordered]) if ordered else none
-    phrase = P.DELEGATION_KEYS[0].strip()
-    by_line = F.filter(F.transform("header", lambda x: F.when(x.contains(phrase), pick(lambda k: x.contains(k)))), lambda v: v.isNotNull())
-    joined = F.col("joined")
-    by_header = pick(lambda k: joined.contains(P.DELEGATION_KEYS[0] + k) | joined.contains(P.DELEGATION_KEYS[1] + k))
-    rows = once(docs.select("doc_id", "text"), header=header)
-    return once(rows, joined=X.folded_name(F.array_join("header", " "))).select("doc_id", F.coalesce(F.try_element_at(by_line, F.lit(1)), by_header).alias("donvi_id"))
+    return docs.select("doc_id", N.delegation(docs.sparkSession, header, names).alias("donvi_id"))
 
 
 def ministry(line: Column) -> Column:

@@ -15,8 +15,8 @@ from lettermill.functions import patterns as P
 from lettermill.functions import text as X
 from lettermill.operators import store
 
-#: Names of a dictionary that is kept in a plan.
-MOST_NAMES = 10_000
+#: Names of a dictionary that goes through the driver.
+MOST_NAMES = 500_000
 
 
 class Rejected(Exception):
@@ -46,7 +46,7 @@ def all_or_fail(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def names_with_ids(spark: SparkSession, path: str) -> dict[str, int]:
-    """A dictionary of units: a JSON object of names and ids. It is small (some hundred units), as it goes into plans."""
+    """A dictionary of units: a JSON object of names and ids, in their order."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "id")).selectExpr("name", "CAST(id AS BIGINT) AS id")
     found = rows.limit(MOST_NAMES + 1).collect()
     if len(found) > MOST_NAMES:
