@@ -13,10 +13,10 @@ def segment_units(docs: DataFrame) -> DataFrame:
     """doc_id, unit_no, unit_id, idx and text: lines, and parts of lines before a cue; blank lines take an idx."""
     rows = F.transform(F.split(X.strip(F.coalesce("text", F.lit(""))), "\n"), X.strip)
     split = lambda x: F.when((x == "") | x.rlike(P.HEADING), F.array(x)).otherwise(F.filter(F.split(x, P.UNIT_CUE), lambda p: X.strip(p) != ""))
-    flat = docs.select("doc_id", F.posexplode(F.flatten(F.transform(rows, split))).alias("idx", "text"))
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    numbered = flat.filter(F.length("text") > 0).withColumn("unit_no", F.row_number().over(w))
-    return numbered.select("doc_id", "unit_no", F.concat(F.lit("U"), F.col("unit_no")).alias("unit_id"), "idx", "text")
+    parts = F.flatten(F.transform(rows, split))
+    kept = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("idx"), p.alias("text"))), lambda u: u["text"] != "")
+    numbered = docs.select("doc_id", F.posexplode(kept).alias("place", "u")).withColumn("unit_no", F.col("place") + 1)  # a unit's place in its letter's array is its number
+    return numbered.select("doc_id", "unit_no", F.concat(F.lit("U"), F.col("unit_no")).alias("unit_id"), "u.idx", "u.text")
 
 
 def prompts(units: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from lettermill.functions import text as X
 from lettermill.operators import answering, letters, matching, modelled, requests, store, units
 from lettermill.plans import fixtures
 from lettermill.sources import files
-from lettermill.sources.tables import spread
+from lettermill.sources.tables import shared_dir, spread
+from lettermill.streaming import machine, windows
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -280,13 +281,37 @@ def event_window(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 
+def event_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """A stream over events: one-hour windows, one of which begins every half hour."""
+    rows = windows.latest_windows(spark, windows.sliding_counts(windows.stream_of(spark, f"{d}/events.parquet")), ["begin", "event_type"])
+    return rows.select(F.date_format("begin", "yyyy-MM-dd HH:mm").alias("begin"), "event_type", "n")
+
+
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """A stream over events: sessions of users, half an hour apart."""
+    rows = windows.latest_windows(spark, windows.session_counts(windows.stream_of(spark, f"{d}/events.parquet")), ["user_id", "begin"], "complete")
+    return rows.select("user_id", F.date_format("begin", "yyyy-MM-dd HH:mm:ss").alias("begin"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")
+
+
+def job_machine(spark: SparkSession, d: str) -> DataFrame:
+    """The state machine over a stream of lineitem: each order is a job, its lines are messages."""
+    lines = windows.stream_of(spark, f"{d}/lineitem.parquet")
+    status = F.when(F.col("l_linestatus") == "F", "succeeded").when(F.col("l_returnflag") == "R", "failed").otherwise("processing")
+    at, seq = F.col("l_shipdate").cast("timestamp"), F.col("l_linenumber").cast("long") * 8 + F.when(F.col("l_linestatus") == "F", 4).otherwise(0) + F.instr(F.lit("ANR"), F.col("l_returnflag"))
+    events = lines.select(F.col("l_orderkey").cast("string").alias("job_id"), status.alias("status"), F.col("l_linenumber").cast("string").alias("result"), F.lit(None).cast("string").alias("error"), at.alias("updated_at"), seq.alias("seq"))
+    out, checkpoint = shared_dir(spark), shared_dir(spark)
+    machine.run_machine(events, out, checkpoint, late="100000 days", stall=1 << 45).awaitTermination()
+    states = machine.current_states(spark.read.schema(f"{machine.CHANGE}, batch long").option("basePath", out).parquet(out))
+    return states.select(F.col("job_id").cast("long").alias("job_id"), "api_status", "result", "seq")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         norm_tokens, jaccard_best_match, jaccard_threshold_match, match_summary, donvi_semi_filter, donvi_guard_empty, turn_pairs_asof, turn_stop_boundary, section_slice_agg, segment_units,
         header_lines, has_structure, head_tail_lines, letter_numbers, fmt_classify, extract_pairs, donvi_lookup, letter_matches, group_validate, discarded_units, balance_merge, file_sha256,
         cache_key, cache_upsert_latest, cache_probe, job_status_map, jobs_newest_first, pending_anti, parse_requests, clean_text_block, log_job_stats, fmt_rollup, event_window,
-        footnote_clean, letter_entities, markdown_forms, model_groups, job_answers, job_totals, upload_status, outcome_counts, job_count, job_dump, misread_and_lines, files_by_name,
+        footnote_clean, letter_entities, markdown_forms, model_groups, job_answers, job_totals, upload_status, outcome_counts, job_count, job_dump, misread_and_lines, files_by_name, event_sliding, event_sessions, job_machine,
     )
 }
 
@@ -357,6 +382,15 @@ ORACLE_SQL: dict[str, str] = {
     "log_job_stats": """SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'ERROR' ELSE 'INFO' END AS level, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n, CAST(max(o_orderkey) AS INTEGER) AS last FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY 1, 2""",
     "fmt_rollup": r"SELECT lang, CASE WHEN contains(text, '**') OR regexp_matches(text, '(?m)^\s*#') THEN 'md' ELSE 'plain' END AS fmt, count(*) AS n FROM documents GROUP BY ROLLUP (lang, 2)".replace("ROLLUP (lang, 2)", "ROLLUP (lang, CASE WHEN contains(text, '**') OR regexp_matches(text, '(?m)^\\s*#') THEN 'md' ELSE 'plain' END)"),
     "event_window": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "event_sliding": """WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS begin FROM events)
+        SELECT strftime(begin, '%Y-%m-%d %H:%M') AS begin, event_type, count(*) AS n FROM w GROUP BY 1, 2""",
+    "event_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+        s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM g)
+        SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS begin, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS end, count(*) AS n FROM s GROUP BY user_id, nr""",
+    "job_machine": """SELECT l_orderkey AS job_id, CASE WHEN l_linestatus = 'F' THEN 'FINISHED' WHEN l_returnflag = 'R' THEN 'FAILED' ELSE 'PROCESSING' END AS api_status,
+        CASE WHEN l_linestatus = 'F' THEN CAST(l_linenumber AS VARCHAR) END AS result, seq
+        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, seq DESC) AS k
+              FROM (SELECT *, CAST(l_linenumber * 8 + CASE WHEN l_linestatus = 'F' THEN 4 ELSE 0 END + instr('ANR', l_returnflag) AS BIGINT) AS seq FROM lineitem) y) x WHERE k = 1""",
     "upload_status": """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 2 = 1 THEN 415 WHEN n > 52428800 THEN 413 WHEN n = 0 THEN 400 ELSE 200 END AS INTEGER) AS status, o_orderkey % 5 <> 0 AS known, CAST(CASE WHEN o_orderkey % 100 > 80 THEN 81 ELSE o_orderkey % 100 END AS INTEGER) AS shown
         FROM (SELECT *, CAST(trunc(o_totalprice * 1000) AS BIGINT) * (o_orderkey % 10) AS n FROM orders) x""",
     "outcome_counts": "SELECT count(*) FILTER (o_orderstatus <> 'P') AS n_ok, count(*) FILTER (o_orderstatus = 'P') AS n_failed FROM orders",

@@ -53,8 +53,3 @@ def run_jobs(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], states: st
             made.select("cache_key", "data_list", "result").write.mode("overwrite").parquet(f"{cache}/batch={number}")
 
     return jobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
-    """Extension: events (ts, event_type) counted in event-time windows."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
