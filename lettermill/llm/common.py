@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 
 from lettermill.sources.tables import shared_dir, spread, written
 
-__all__ = ["id_and_text", "shared_dir", "slices", "table", "utf8_length", "worker_state", "written"]
+__all__ = ["id_and_text", "shared_dir", "slices", "small_batches", "table", "utf8_length", "worker_state", "written"]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB: a task holds one each way in the JVM and one in Python, besides the operator's own data."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 

@@ -80,28 +80,43 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def ranges(keyed: DataFrame, n: int) -> DataFrame:
+    """keyed (key, h) with bucket: n ranges of (key, h), in their order.
+
+    Borders are quantiles of key. A key that is several of them is frequent, and its rows are cut into as many ranges by h, which
+    is a hash; so of one key only rows with the same text have to stay together.
+    """
+    borders = sorted(keyed.stat.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n)) if n > 1 else []
+    if not borders:
+        return keyed.withColumn("bucket", F.lit(0))
+    values = sorted(set(borders))
+    times = [0, *(borders.count(v) for v in values)]
+    before = [0, *np.cumsum(times)[:-1].tolist()]
+    found = Bucketizer(splits=[-float("inf"), *values, float("inf")], inputCol="at", outputCol="b").transform(keyed.withColumn("at", F.col("key").cast("double")))
+    of = lambda x: F.get(F.array(*[F.lit(v) for v in x]), F.col("b").cast("int"))
+    share = F.col("h").cast("double") / 2.0**64 + 0.5  # 0 to 1, ascending with h
+    slot = F.least(F.floor(share * (of(times) + 1)).cast("int"), of(times))
+    return found.withColumn("bucket", of(before) + F.when(F.col("at") == of([None, *values]).cast("double"), slot).otherwise(of(times))).drop("at", "b")
+
+
 def with_next(rows: DataFrame, partitions: int | None = None) -> DataFrame:
-    """doc_id and text, dealt by ranges of doc_id and sorted by (doc_id, text) in each partition, where
-    each partition also holds the rows that follow its last one (ahead = true).
+    """doc_id and text, dealt by ranges of doc_id and sorted by (doc_id, text's hash, text) in each partition, where
+    each partition also holds the rows that follow its last one (copy = true).
 
-    Range borders come from quantiles of doc_id; the first doc_id of each range, and no more, goes
-    through the driver.
+    The first row's key of each range, and no more, goes through the driver.
     """
     spark = rows.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.withColumn("key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))  # null ids come first
-    borders = sorted(set(keyed.stat.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    keyed = keyed.withColumn("at", F.col("key").cast("double"))  # equal ids stay together, and the order holds
-    splits = [-float("inf"), *borders, float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(keyed) if borders else keyed.withColumn("bucket", F.lit(0.0))
-    firsts = sorted((r["bucket"], r["first"]) for r in dealt.groupBy("bucket").agg(F.min("key").alias("first")).collect())  # a row for each range
-    before = [(first, firsts[i - 1][0], i == 0) for i, (_, first) in enumerate(firsts)]  # the first of all follows the last
-    to = spark.createDataFrame(before, "key long, to double, wraps boolean")
-    joined = dealt.join(F.broadcast(to), "key", "left")
+    keyed = rows.withColumns({"key": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "h": F.xxhash64("text")})  # null ids come first
+    dealt = ranges(keyed, n)
+    firsts = sorted((r["bucket"], *r["first"]) for r in dealt.groupBy("bucket").agg(F.min(F.struct("key", "h")).alias("first")).collect())  # a row for each range
+    before = [(key, h, firsts[i - 1][0], i == 0) for i, (_, key, h) in enumerate(firsts)]  # the first of all follows the last
+    to = spark.createDataFrame(before, "key long, h long, to int, wraps boolean")
+    joined = dealt.join(F.broadcast(to), ["key", "h"], "left")
     own = F.struct(F.col("bucket"), F.lit(False).alias("copy"), F.lit(False).alias("wraps"))
     other = F.struct(F.col("to").alias("bucket"), F.lit(True).alias("copy"), F.col("wraps"))
-    out = joined.withColumn("place", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, other)))).select("place.*", "key", "doc_id", "text")
-    return out.repartition(n, "bucket").sortWithinPartitions("bucket", "wraps", "key", "text").select("bucket", "copy", "doc_id", "text")
+    out = joined.withColumn("place", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, other)))).select("place.*", "key", "h", "doc_id", "text")
+    return out.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "copy", "wraps", "key", "h", "text").select("bucket", "copy", "doc_id", "text")
 
 
 SCHEMA = T.StructType(
@@ -117,7 +132,7 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
 
     A fingerprint is the ascending set of chosen hashes, 8 hex digits each; positions are where the
     hashes were chosen (in text order). The edited text has the last quarter of the code points
-    replaced by the first as many of the next document in (doc_id, text) order; the first follows the
+    replaced by the first as many of the next document in doc_id order (equal ids by their texts' hashes); the first follows the
     last, and a single document follows itself. A null text is empty and has an empty fingerprint; a
     null doc_id comes first; repeated rows follow each other; an empty table gives no rows. Only
     doc_id and text are read, so other columns can't clash.

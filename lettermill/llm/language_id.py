@@ -186,7 +186,7 @@ def _identified(rows: DataFrame, model: Model, more: list[str], schema: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(sent.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             total, sizes = m.totals(texts)
             pred, score, bits, usual, excess = [], [], [], [], []

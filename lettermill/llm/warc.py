@@ -22,6 +22,8 @@ from lettermill.llm.common import shared_dir
 EOL = "\r\n"
 #: From so many bytes on, equal payloads are stored once.
 REVISIT_BYTES = 1000
+#: Records in an archive at most: those of 1,000 pages. So it is longer than 2 GB only if its pages have 2 MB each on average, compressed.
+FILE_RECORDS = 3000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:lettermill:"
@@ -63,7 +65,7 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES)
         ),
         record("metadata", [("WARC-Record-ID", named("metadata", own)), ("WARC-Concurrent-To", capture), uri], "application/warc-fields", F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(EOL))),
     )
-    all_rows.select(F.explode(records).alias("value")).write.option("lineSep", EOL * 2).option("compression", "gzip").text(path)
+    all_rows.select(F.explode(records).alias("value")).write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parsed(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -89,7 +91,7 @@ def read_warc(spark: SparkSession, path: str, content: bool = True) -> DataFrame
     For responses the payload's digest (SHA-1, lower-case hex) and length are computed from the
     payload and a digest that differs from its header's is an error; revisits have them from their
     headers. content: the payload of responses, the block of other records; without content it is
-    null for responses and revisits. A task reads an archive at a time, which is up to 2 GB (of Spark's binary files).
+    null for responses and revisits. A task reads an archive at a time, which can be up to 2 GB (as Spark's binary files); write_warc() bounds its own (see FILE_RECORDS).
     """
 
     def payload(block: bytes) -> tuple[int, bytes]:

@@ -203,6 +203,38 @@ def test_op4_fingerprints(spark):
     assert fingerprints.fingerprints(odd(spark)).count() == len(ODD) + 2 and fingerprints.fingerprints(empty(spark)).count() == 0
 
 
+def test_op4_likenesses_and_hot_ids(spark):
+    """Ids that repeat over many ranges, against plain sets of the hashes of all windows."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("alpha beta gamma delta epsilon zeta".split(), k=rng.randrange(0, 60))) for _ in range(160)]
+    rows = [(7 if i % 2 else i % 50 if i % 5 else None, t) for i, t in enumerate(texts)] + [(7, texts[1])] * 5
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashed = d.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(((r.doc_id is not None, r.doc_id or 0, r.h, r.text) for r in hashed))
+
+    def plain(t):
+        codes = fingerprints.codes_of(t)
+        if not len(codes):
+            return frozenset()
+        h = [int(x) for x in fingerprints.rolling(codes, min(fingerprints.K, len(codes))) >> np.uint64(32)]
+        w = min(fingerprints.WINDOW, len(h))
+        return frozenset(min(h[i : i + w]) for i in range(len(h) - w + 1))
+
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = []
+    for (has, i, _, t), (_, _, _, after) in zip(order, order[1:] + order[:1], strict=True):
+        n = len(t) // 4
+        edited = t[: len(t) - n] + after[:n]
+        want.append((i if has else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(like(plain(t), plain(edited)), 9), round(like(plain(t), plain(after)), 9)))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.fingerprints(d).collect()]
+    key = lambda x: (x[0] is not None, x)
+    assert sorted(got, key=lambda x: str(key(x))) == sorted(want, key=lambda x: str(key(x)))
+    keyed = d.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), F.xxhash64("text").alias("h"))
+    dealt = {(r.key, r.h): r.bucket for r in fingerprints.ranges(keyed, 8).collect()}
+    buckets = [dealt[k] for k in sorted(dealt)]
+    assert buckets == sorted(buckets) and len({b for (k, _), b in dealt.items() if k == 7}) >= 3
+
+
 def test_op5_near_duplicates(spark):
     rng, base = random.Random(2), [" ".join(random.Random(i).choices("one two three four five six seven eight nine ten".split(), k=120)) for i in range(12)]
     texts = list(base)
