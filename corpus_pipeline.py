@@ -5,27 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lettermill.llm import language_id, near_dedup, packing, suffix_dedup
-from lettermill.llm.common import table, written
+from lettermill.llm.common import small_batches, table, written
 from lettermill.llm.queries import tokenizer
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model learned from their labelled rows."""
+    small_batches(spark)
     return language_id.keep_identified(docs, language_id.learn(docs))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    small_batches(spark)
     return near_dedup.keep_first(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that also occur elsewhere."""
+    small_batches(spark)
     return suffix_dedup.without_repeats(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 4096 tokens."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
