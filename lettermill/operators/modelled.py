@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.functions import calls
 from lettermill.operators import units
 from lettermill.sources.tables import written
 
@@ -19,31 +20,33 @@ BAD_JSON = "The last answer was no JSON array. Answer with one array of arrays o
 UNEVEN = "The last answer had %d petitions but %d answers. Each petition has exactly one answer; give the whole array again."
 
 
-def ask(prompts: DataFrame, model: Model, concurrency: int | None = None, calls: int = 3) -> DataFrame:
+def ask(prompts: DataFrame, model: Model, most: int | None = None, tries: int = 3, in_flight: int = calls.IN_FLIGHT) -> DataFrame:
     """doc_id, label, answer and error for each prompt (doc_id, prompt, hint) and label.
 
-    An empty answer or an exception is tried again, calls times in all. concurrency is the number of tasks that call the model (what the service bears; as many as there are cores, if none is given).
+    An empty answer or an exception is tried again, tries times in all. model is a plain or a coroutine function; a task has in_flight
+    calls at once, and all tasks together most (what the service bears), if given; else there are as many tasks as cores.
     """
 
-    def one(*asked) -> tuple[str | None, str | None]:
-        error = "empty answer"
-        for _ in range(calls):
+    async def one(pool, question: tuple) -> str:
+        error: Exception = ValueError("empty answer")
+        for _ in range(tries):
             try:
-                if answer := model(*asked):
-                    return answer, None
-            except Exception as e:  # noqa: BLE001  every failure is reported in its row
-                error = f"{type(e).__name__}: {e}"
-        return None, error
+                if answer := await calls.once(model, pool, *question[1:]):
+                    return answer
+            except Exception as e:  # noqa: BLE001  the last one is reported
+                error = e
+        raise error
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(d, label, *one(label, p, h)) for d, p, h in zip(b["doc_id"], b["prompt"], b["hint"], strict=True) for label in LABELS]
-            yield pd.DataFrame(out, columns=["doc_id", "label", "answer", "error"])
+        questions = ((d, label, p, h) for b in batches for d, p, h in zip(b["doc_id"], b["prompt"], b["hint"], strict=True) for label in LABELS)
+        for (d, label, _, _), answer, error in calls.in_order(questions, one, in_flight):
+            yield pd.DataFrame([(d, label, answer, error)], columns=["doc_id", "label", "answer", "error"])
 
-    return prompts.select("doc_id", "prompt", "hint").repartition(concurrency or prompts.sparkSession.sparkContext.defaultParallelism, F.xxhash64("doc_id")).mapInPandas(run, "doc_id long, label string, answer string, error string")
+    tasks = calls.tasks_for(most, in_flight) or prompts.sparkSession.sparkContext.defaultParallelism
+    return prompts.select("doc_id", "prompt", "hint").repartition(tasks, F.xxhash64("doc_id")).mapInPandas(run, "doc_id long, label string, answer string, error string")
 
 
-def propose(numbered: DataFrame, model: Model, tries: int = 3, concurrency: int | None = None) -> DataFrame:
+def propose(numbered: DataFrame, model: Model, tries: int = 3, most: int | None = None, in_flight: int = calls.IN_FLIGHT) -> DataFrame:
     """Answers (doc_id, label, answer, error) for the units of letters.
 
     A letter is asked about again, with a hint, while an answer can't be read or the sides differ in
@@ -51,7 +54,7 @@ def propose(numbered: DataFrame, model: Model, tries: int = 3, concurrency: int
     """
     pending, all_tries = units.prompts(numbered).withColumn("hint", F.lit(None).cast("string")), None
     for i in range(tries):
-        got = written(ask(pending, model, concurrency).withColumn("try", F.lit(i)))
+        got = written(ask(pending, model, most, in_flight=in_flight).withColumn("try", F.lit(i)))
         all_tries = got if all_tries is None else all_tries.unionByName(got)
         sides = units.resolve_groups(units.group_refs(got), numbered).groupBy("doc_id").agg(F.count_if(F.col("label") == "KN").alias("kn"), F.count_if(F.col("label") == "TL").alias("tl"))
         read = got.groupBy("doc_id").agg(F.bool_and(units.answer_groups(F.col("answer")).isNotNull()).alias("read"), F.bool_or(F.col("error").isNotNull()).alias("failed"))
@@ -65,13 +68,13 @@ def propose(numbered: DataFrame, model: Model, tries: int = 3, concurrency: int
     return all_tries.join(last, ["doc_id", "try"]).select("doc_id", "label", "answer", "error")
 
 
-def extract(docs: DataFrame, model: Model, tries: int = 3, concurrency: int | None = None) -> DataFrame:
+def extract(docs: DataFrame, model: Model, tries: int = 3, most: int | None = None, in_flight: int = calls.IN_FLIGHT) -> DataFrame:
     """doc_id, n_units, kien_nghi, tra_loi, blocks, warnings and error of each letter (doc_id, text).
 
     blocks are in the order of the groups, a petition before its answer. A letter without units isn't asked about (KHONG_UNIT).
     """
     numbered = written(units.segment_units(docs))
-    answers = propose(numbered, model, tries, concurrency)
+    answers = propose(numbered, model, tries, most, in_flight)
     groups = units.with_texts(units.balance_groups(units.resolve_groups(units.group_refs(answers), numbered)), numbered)
     block = F.struct("group_ord", "label", F.col("unit_ids").alias("source_unit_ids"), F.element_at("unit_ids", 1).alias("start_id"), F.element_at("unit_ids", -1).alias("end_id"), "text")
     texts = lambda label: F.transform(F.filter("blocks", lambda b: b["label"] == label), lambda b: b["text"])

@@ -105,8 +105,9 @@ def balance_groups(groups: DataFrame) -> DataFrame:
     least, own = F.least("kn", "tl"), F.when(F.col("label") == "KN", F.col("kn")).otherwise(F.col("tl"))
     rows = rows.withColumns({"slot": F.least("n", least), "surplus": own > least})
     merged = rows.filter("surplus").groupBy("doc_id", "label", "slot").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.count(F.lit(1)).alias("parts"), F.flatten(F.collect_list("unit_ids")).alias("own"))
-    inner = rows.select("doc_id", F.explode("unit_ids").alias("unit")).withColumn("u", F.substring("unit", 2, 20).cast("long"))
-    between = merged.filter("parts > 1").join(inner, "doc_id").filter("u BETWEEN lo AND hi AND NOT array_contains(own, unit)")
+    taken = rows.groupBy("doc_id").agg(F.array_distinct(F.transform(F.flatten(F.collect_list("unit_ids")), lambda u: F.substring(u, 2, 20).cast("long"))).alias("taken"))
+    inside = F.size(F.filter("taken", lambda u: (u >= F.col("lo")) & (u <= F.col("hi"))))  # the merged group's own are all inside
+    between = merged.filter("parts > 1").join(taken, "doc_id").filter(inside > F.size(F.array_distinct("own")))
     out = rows.join(between.select("doc_id").distinct().withColumn("blocked", F.lit(True)), "doc_id", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
     slot = F.when(F.col("blocked"), F.col("n")).otherwise(F.col("slot"))
     ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "unit_ids"))), lambda s: s["unit_ids"]))

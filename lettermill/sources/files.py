@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import json
-import random
-import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.functions import patterns as P
+from lettermill.functions import calls
 from lettermill.functions import text as X
 from lettermill.operators import store
 
@@ -19,10 +17,6 @@ from lettermill.operators import store
 MOST_NAMES = 500_000
 
 
-class Rejected(Exception):
-    """What a service answered with a status that isn't tried again."""
-
-
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """path, stem, length and content of the PDFs below a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
@@ -59,70 +53,54 @@ def pending(inputs: DataFrame, outputs: DataFrame, overwrite: bool = False, key:
     return inputs if overwrite else inputs.join(outputs.select(key), key, "left_anti")
 
 
-def retried(call: Callable[[bytes], tuple[int, str]], content: bytes, tries: int = 5, base: float = 1.0, jitter: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> str:
-    """The answer of a call (status, body); overload and transport errors are tried again after growing waits."""
-    for k in range(1, tries + 1):
-        try:
-            status, body = call(content)
-            if status < 400:
-                return body
-            error: Exception = Rejected(f"HTTP {status}")
-            if status not in P.RETRIED:
-                raise error
-        except (ConnectionError, TimeoutError, ValueError) as e:  # a ValueError: the answer isn't what was asked for
-            error = e
-        if k < tries:
-            sleep(base * 2 ** (k - 1) + random.uniform(0, jitter))
-    raise error
+def recognised(files: DataFrame, ocr: Callable[[bytes], tuple[int, str]], most: int | None = None, in_flight: int = calls.IN_FLIGHT, **options) -> DataFrame:
+    """path, text and error of files by an OCR callable, a plain or a coroutine function.
 
+    A task has in_flight calls at once, on an event loop of its own; all tasks together have most, if given (1: one after another, with in_flight 1).
+    """
+    return _called(files, ocr, most, in_flight, options).withColumn("text", X.real_newlines("text"))
 
-def recognised(files: DataFrame, ocr: Callable[[bytes], tuple[int, str]], concurrency: int | None = None, **options) -> DataFrame:
-    """path, text and error of files by an OCR callable; concurrency is the number of tasks that call it."""
-    return _called(files, ocr, concurrency, options).withColumn("text", X.real_newlines("text"))
 
+def _called(files: DataFrame, ocr: Callable[[bytes], tuple[int, str]], most: int | None, in_flight: int, options: dict) -> DataFrame:
+    def ask(pool, question: tuple[str, bytes]):
+        return calls.retried(ocr, pool, question[1], **options)
 
-def _called(files: DataFrame, ocr: Callable[[bytes], tuple[int, str]], concurrency: int | None, options: dict) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    out.append((path, retried(ocr, content, **options), None))
-                except Exception as e:  # noqa: BLE001  every failure is reported in its row
-                    out.append((path, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["path", "text", "error"])
-
-    rows = files.select("path", "content")
-    rows = rows.repartition(concurrency) if concurrency else rows
+        questions = (q for b in batches for q in zip(b["path"], b["content"], strict=True))
+        for (path, _), text, error in calls.in_order(questions, ask, in_flight):
+            yield pd.DataFrame([(path, text, error)], columns=["path", "text", "error"])
+
+    rows, tasks = files.select("path", "content"), calls.tasks_for(most, in_flight)
+    rows = rows.repartition(tasks) if tasks else rows
     return rows.mapInPandas(run, "path string, text string, error string")
 
 
-def canonical(files: DataFrame, ocr: Callable[[bytes], tuple[int, str]], concurrency: int | None = None, **options) -> DataFrame:
+def canonical(files: DataFrame, ocr: Callable[[bytes], tuple[int, str]], most: int | None = None, in_flight: int = calls.IN_FLIGHT, **options) -> DataFrame:
     """path, canonical (the JSON text that OCR answers with), content (its field of that name) and error; an answer without content is an error."""
 
-    def with_content(body: bytes) -> tuple[int, str]:
-        status, text = ocr(body)
+    def checked(status: int, text: str) -> tuple[int, str]:
         if status < 400 and "content" not in (found if isinstance(found := json.loads(text), dict) else {}):
             raise ValueError("the answer has no content")
         return status, text
 
-    rows = _called(files, with_content, concurrency, options)
+    with_content = calls.then(ocr, checked)
+    rows = _called(files, with_content, most, in_flight, options)
     return rows.select("path", F.col("text").alias("canonical"), X.real_newlines(F.get_json_object("text", "$.content")).alias("content"), "error")
 
 
-def rendered(recognised: DataFrame, render: Callable[[bytes], tuple[int, str]], tries: int = 3, **options) -> DataFrame:
+def rendered(recognised: DataFrame, render: Callable[[bytes], tuple[int, str]], tries: int = 3, most: int | None = None, in_flight: int = calls.IN_FLIGHT, **options) -> DataFrame:
     """path, content and rendered of canonical() rows: the markdown that a service makes of the JSON; null if it fails or is blank, so that the content stands in."""
 
-    def markdown(body: bytes) -> tuple[int, str]:
-        status, text = render(body)
+    def content_of(status: int, text: str) -> tuple[int, str]:
         if status < 400:
             text = json.loads(text).get("content") or ""
             if not text.strip():
                 raise ValueError("the rendering is blank")
         return status, text
 
+    markdown = calls.then(render, content_of)
     good = recognised.filter("error IS NULL")
-    made = _called(good.select("path", F.encode("canonical", "UTF-8").alias("content")), markdown, None, {"tries": tries, **options})
+    made = _called(good.select("path", F.encode("canonical", "UTF-8").alias("content")), markdown, most, in_flight, {"tries": tries, **options})
     return good.select("path", "content").join(made.select("path", X.real_newlines(F.col("text")).alias("rendered")), "path")
 
 

@@ -55,8 +55,6 @@ def test_cache_and_sources(spark, tmp_path):
     old = spark.createDataFrame([("a", "1", 1), ("b", "2", 5)], "cache_key string, result string, updated_at int")
     new = spark.createDataFrame([("a", "3", 1), ("b", "4", 4)], "cache_key string, result string, updated_at int")
     assert {(r.cache_key, r.result) for r in store.upsert(old, new).collect()} == {("a", "3"), ("b", "2")}
-    answers = iter([(503, ""), (200, "x\\ny")])
-    assert files.retried(lambda _: next(answers), b"", sleep=lambda _: None) == "x\\ny"
     got = files.recognised(spark.createDataFrame([("p", bytearray(b"1")), ("q", bytearray(b"2"))], "path string, content binary"), lambda c: (200, "a\\nb") if c == b"1" else (400, "bad")).collect()
     assert {(r.path, r.text, r.error is None) for r in got} == {("p", "a\nb", True), ("q", None, False)}
     (tmp_path / "in").mkdir()
