@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions import text as X
 from lettermill.operators import answering, letters, matching, modelled, requests, store, units
-from lettermill.plans import fixtures
+from lettermill.plans import fixtures, surface
 from lettermill.sources import files
 from lettermill.sources.tables import shared_dir, spread
 from lettermill.streaming import machine, windows
@@ -260,6 +260,21 @@ def job_answers(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("`KN_KIENNGHI.ID`").alias("petition_id"), first["file_id"].alias("file_id"), first["content"].alias("content"), first["metadata"]["so_cong_van"].alias("so_cong_van"))
 
 
+def job_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """job_answers without formatting, written in SQL over the views of its stages."""
+    people = _t(spark, d, "customer")
+    out = surface.job_in_sql(fixtures.customer_letters(people), fixtures.customer_petitions(people), fixtures.PROVINCES)
+    first = F.get("answers", 0)
+    return out.select(F.col("`KN_KIENNGHI.ID`").alias("petition_id"), first["file_id"].alias("file_id"), first["content"].alias("content"), first["metadata"]["so_cong_van"].alias("so_cong_van"))
+
+
+def similarity_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The functions for SQL over the tables: similarity of each labelled document to its lang's and source's names."""
+    surface.register(spark)
+    _t(spark, d, "documents").createOrReplaceTempView("surface_documents")
+    return spark.sql("SELECT doc_id, size(word_set(text)) AS n_words, round(set_similarity(word_set(text), word_set(concat('The ', lang, ' of and in ', source))), 9) AS similarity FROM surface_documents")
+
+
 def job_totals(spark: SparkSession, d: str) -> DataFrame:
     return answering.totals(_job(spark, d))
 
@@ -311,7 +326,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         norm_tokens, jaccard_best_match, jaccard_threshold_match, match_summary, donvi_semi_filter, donvi_guard_empty, turn_pairs_asof, turn_stop_boundary, section_slice_agg, segment_units,
         header_lines, has_structure, head_tail_lines, letter_numbers, fmt_classify, extract_pairs, donvi_lookup, letter_matches, group_validate, discarded_units, balance_merge, file_sha256,
         cache_key, cache_upsert_latest, cache_probe, job_status_map, jobs_newest_first, pending_anti, parse_requests, clean_text_block, log_job_stats, fmt_rollup, event_window,
-        footnote_clean, letter_entities, markdown_forms, model_groups, job_answers, job_totals, upload_status, outcome_counts, job_count, job_dump, misread_and_lines, files_by_name, event_sliding, event_sessions, job_machine,
+        footnote_clean, letter_entities, markdown_forms, model_groups, job_answers, job_totals, upload_status, outcome_counts, job_count, job_dump, misread_and_lines, files_by_name, event_sliding, event_sessions, job_machine, job_in_sql, similarity_in_sql,
     )
 }
 
@@ -368,6 +383,9 @@ ORACLE_SQL: dict[str, str] = {
     "model_groups": """SELECT c_custkey AS doc_id, CAST(5 AS BIGINT) AS n_units, 'Cử tri phản ánh việc ' || c_custkey || '.' || chr(10) || chr(10) || 'Đề nghị giảm giá;' || chr(10) || chr(10) || 'Kiến nghị minh bạch ' || lower(c_mktsegment) || '.' AS kien_nghi,
         '(1) Về ' || lower(c_mktsegment) || chr(10) || chr(10) || 'Giá ' || c_custkey || ' được điều chỉnh.' AS tra_loi, 'VALIDATE: KN unknown unit: U77|VALIDATE: TL put in order: U4,U5|CAN_BANG' AS warnings FROM customer WHERE c_custkey % 4 = 3""",
     "job_answers": "SELECT c_custkey AS petition_id, CASE WHEN ok THEN 'FILE_' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') END AS file_id, CASE WHEN ok THEN 'Bộ đã xem xét việc ' || c_custkey || ' và trả lời như sau.' END AS content, CASE WHEN ok THEN c_custkey || '/BXD-QLN' END AS so_cong_van FROM (SELECT *, c_custkey % 4 = 0 AS ok FROM customer) x",
+    "job_in_sql": "SELECT c_custkey AS petition_id, CASE WHEN ok THEN 'FILE_' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') END AS file_id, CASE WHEN ok THEN 'Bộ đã xem xét việc ' || c_custkey || ' và trả lời như sau.' END AS content, CASE WHEN ok THEN c_custkey || '/BXD-QLN' END AS so_cong_van FROM (SELECT *, c_custkey % 4 = 0 AS ok FROM customer) x",
+    "similarity_in_sql": f"""WITH w AS (SELECT doc_id, {_TOKENS} AS a, {_TOKENS.replace("lower(text)", "lower('The ' || lang || ' of and in ' || source)")} AS b FROM documents)
+        SELECT doc_id, CAST(len(a) AS INTEGER) AS n_words, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / CAST(len(a) + len(b) - len(list_intersect(a, b)) AS DOUBLE) END, 9) AS similarity FROM w""",
     "job_totals": "SELECT count(*) FILTER (c_custkey % 4 = 0) AS matched_count, count(*) FILTER (c_custkey % 4 <> 0) AS unmatched_count FROM customer",
     "footnote_clean": "SELECT c_custkey, 'Bộ đã trả lời việc ' || c_custkey || ' và nêu rõ.' || chr(10) || 'Hết ' || c_mktsegment AS text FROM customer",
     "file_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",

@@ -109,11 +109,6 @@ def rendered_or_plain(rendered: str = "rendered", content: str = "content") -> F
     return F.when(X.has_structure(F.col(rendered)), F.col(rendered)).otherwise(X.real_newlines(F.col(content)))
 
 
-def write_markdown(docs: DataFrame, path: str) -> None:
-    """A folder for each document with its text as it is (columns stem, text); any file system that Spark knows."""
-    docs.select("stem", "text").write.partitionBy("stem").option("lineSep", "\n").text(path)
-
-
 def json_of_markdown(spark: SparkSession, path: str, extract: Callable[[DataFrame], DataFrame], out: str) -> None:
     """A JSON line for each markdown file below a path, in a folder of its stem: what extract makes of (doc_id, text)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path)
@@ -121,12 +116,6 @@ def json_of_markdown(spark: SparkSession, path: str, extract: Callable[[DataFram
     extract(docs.select("doc_id", "text")).join(docs.select("doc_id", "stem"), "doc_id").drop("doc_id").write.partitionBy("stem").json(out)
 
 
-def uploads(requests: DataFrame, root: str) -> DataFrame:
-    """Paths root/request/ordinal.pdf of uploaded contents (request_id, contents)."""
-    each = requests.select("request_id", F.posexplode("contents").alias("file_ord", "content"))
-    return each.withColumn("path", F.format_string(f"{root}/%s/%d.pdf", "request_id", "file_ord"))
-
-
 LOG_LINE = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) \[(\w+)\] \[([^:\]]+):(\d+)\] - (.*)$"
 
 
