@@ -26,17 +26,23 @@ def letter_pairs(docs: DataFrame, model: modelled.Model | None = None, **options
     return known.unionByName(modelled.pairs(extracted).select(*columns))
 
 
+def numbered_pairs(docs: DataFrame, model: modelled.Model | None = None, **options) -> DataFrame:
+    """letter_pairs() with numbers that are unique over all letters."""
+    return letter_pairs(docs, model, **options).withColumn("pair_ord", F.col("doc_id") * PER_LETTER + F.col("pair_ord"))
+
+
 def answer(petitions: DataFrame, docs: DataFrame, names: dict[str, int], model: modelled.Model | None = None, threshold: float = P.THRESHOLD, keep_filtered: bool = False, **options) -> DataFrame:
     """`KN_KIENNGHI.ID` and answers (content, file_id, metadata) of petitions (petition_id, donvi_id, noi_dung).
 
     docs: doc_id (the place of the file), file_id and text. Petitions of units that no letter names are
     left out, unless keep_filtered: then they have no answers.
     """
-    ready = letters.prepared(docs)
+    ready = written(letters.prepared(docs))  # read for pairs, metadata and units
     of_file = ready.select("doc_id", "file_id", X.metadata(F.col("text")).alias("metadata"))
-    pairs = letter_pairs(ready, model, **options).withColumn("pair_ord", F.col("doc_id") * PER_LETTER + F.col("pair_ord")).join(of_file, "doc_id")
+    pairs = written(numbered_pairs(ready, model, **options))  # matched, and looked up for the answers
+    pairs = pairs.join(of_file, "doc_id")
     kept = matching.keep_units(petitions, letters.delegation_ids(ready, names))
-    out = matching.answers(matching.best_matches(kept, pairs, threshold), pairs)
+    out = matching.answers(matching.best_matches(kept, pairs.select("pair_ord", "noi_dung"), threshold), pairs)
     if not keep_filtered:
         return out
     left = petitions.join(kept.select("petition_id"), "petition_id", "left_anti").select(F.col("petition_id").alias("KN_KIENNGHI.ID"))

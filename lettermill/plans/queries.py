@@ -250,7 +250,7 @@ def model_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _job(spark: SparkSession, d: str) -> DataFrame:
-    people = _t(spark, d, "customer")
+    people = spread(_t(spark, d, "customer"))
     return answering.answer(fixtures.customer_petitions(people), fixtures.customer_letters(people), fixtures.PROVINCES)
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lettermill.functions import patterns as P
 from lettermill.functions import text as X
 from lettermill.operators import answering, letters, matching, modelled, units
+from lettermill.sources.tables import written
 
 FUNCTIONS = {
     "fold_text(t STRING) RETURNS STRING": r"regexp_replace(lower(translate(lower(t), '{src}', '{dst}')), '\\p{{M}}+', '')",
@@ -34,8 +34,8 @@ def register(spark: SparkSession) -> None:
 
 def views(docs: DataFrame, petitions: DataFrame, names: dict[str, int], model: modelled.Model | None = None, threshold: float = P.THRESHOLD) -> list[str]:
     """Temporary views of the stages of a job over docs (doc_id, file_id, text) and petitions (petition_id, donvi_id, noi_dung); their names."""
-    ready = letters.prepared(docs)
-    pairs = answering.letter_pairs(ready, model).withColumn("pair_ord", F.col("doc_id") * answering.PER_LETTER + F.col("pair_ord"))
+    ready = written(letters.prepared(docs))
+    pairs = written(answering.numbered_pairs(ready, model))
     ids = letters.delegation_ids(ready, names)
     kept = matching.keep_units(petitions, ids)
     made = {
