@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lettermill.functions import text as X
-from lettermill.operators import answering, letters, matching, modelled, requests, store, units
+from lettermill.operators import answering, letters, matching, modelled, requests, statistics, store, units
 from lettermill.plans import fixtures, surface
 from lettermill.sources import files
-from lettermill.sources.tables import shared_dir, spread
+from lettermill.sources.tables import shared_dir, spread, written
 from lettermill.streaming import machine, windows
 
 
@@ -296,6 +296,24 @@ def event_window(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 
+def corpus_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Units of documents by lang and source, in eight batches whose sketches are kept and merged; whether the estimates are within
+    three standard errors (distinct texts) and 3 % of the ranks (median length) of the exact ones."""
+    docs = _t(spark, d, "documents")
+    numbered = written(units.segment_units(docs.select("doc_id", "text")).join(docs.select("doc_id", "lang", "source"), "doc_id"))
+    size, batch = F.length("text"), F.pmod("doc_id", F.lit(8)).alias("batch")
+    kept = written(statistics.sketches(numbered.withColumn("batch", batch), ["batch", "lang", "source"], F.col("text"), size))
+    found = statistics.merged(kept, [["lang", "source"], ["lang"], []])
+    sets = [[F.col("lang"), F.col("source")], [F.col("lang")], []]
+    exact = numbered.groupingSets(sets, "lang", "source").agg((F.grouping("lang") + F.grouping("source")).cast("int").alias("level"), F.countDistinct("text").alias("kinds"), F.percentile(size, F.array(*map(F.lit, (0.3, 0.47, 0.53, 0.7)))).alias("near"))
+    same = lambda c: found[c].eqNullSafe(exact[c])
+    both = found.join(exact, same("level") & same("lang") & same("source"))
+    close = F.abs(found["distinct"] - exact["kinds"]) <= F.greatest(3 * 1.04 / 2 ** (statistics.DISTINCT_BITS / 2) * exact["kinds"], F.lit(1.0))
+    few = found["n"] < 100  # a row more or less is more than 3 %
+    middle = found["q50"].between(F.floor(F.when(few, exact["near"][0]).otherwise(exact["near"][1])), F.ceil(F.when(few, exact["near"][3]).otherwise(exact["near"][2])))
+    return both.select(found["level"], found["lang"], found["source"], found["n"], exact["kinds"], close.alias("distinct_close"), middle.alias("median_close"))
+
+
 def event_sliding(spark: SparkSession, d: str) -> DataFrame:
     """A stream over events: one-hour windows, one of which begins every half hour."""
     rows = windows.latest_windows(spark, windows.sliding_counts(windows.stream_of(spark, f"{d}/events.parquet")), ["begin", "event_type"])
@@ -326,7 +344,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         norm_tokens, jaccard_best_match, jaccard_threshold_match, match_summary, donvi_semi_filter, donvi_guard_empty, turn_pairs_asof, turn_stop_boundary, section_slice_agg, segment_units,
         header_lines, has_structure, head_tail_lines, letter_numbers, fmt_classify, extract_pairs, donvi_lookup, letter_matches, group_validate, discarded_units, balance_merge, file_sha256,
         cache_key, cache_upsert_latest, cache_probe, job_status_map, jobs_newest_first, pending_anti, parse_requests, clean_text_block, log_job_stats, fmt_rollup, event_window,
-        footnote_clean, letter_entities, markdown_forms, model_groups, job_answers, job_totals, upload_status, outcome_counts, job_count, job_dump, misread_and_lines, files_by_name, event_sliding, event_sessions, job_machine, job_in_sql, similarity_in_sql,
+        footnote_clean, letter_entities, markdown_forms, model_groups, job_answers, job_totals, upload_status, outcome_counts, job_count, job_dump, misread_and_lines, files_by_name, corpus_sketches, event_sliding, event_sessions, job_machine, job_in_sql, similarity_in_sql,
     )
 }
 
@@ -400,6 +418,10 @@ ORACLE_SQL: dict[str, str] = {
     "log_job_stats": """SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'ERROR' ELSE 'INFO' END AS level, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n, CAST(max(o_orderkey) AS INTEGER) AS last FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY 1, 2""",
     "fmt_rollup": r"SELECT lang, CASE WHEN contains(text, '**') OR regexp_matches(text, '(?m)^\s*#') THEN 'md' ELSE 'plain' END AS fmt, count(*) AS n FROM documents GROUP BY ROLLUP (lang, 2)".replace("ROLLUP (lang, 2)", "ROLLUP (lang, CASE WHEN contains(text, '**') OR regexp_matches(text, '(?m)^\\s*#') THEN 'md' ELSE 'plain' END)"),
     "event_window": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "corpus_sketches": f"""
+        WITH p AS (SELECT doc_id, lang, source, flatten(list_transform(string_split(regexp_replace(coalesce(text, ''), '^{_WS}+|{_WS}+$', '', 'g'), chr(10)), lambda r: {_PIECES})) AS p FROM documents),
+        u AS (SELECT lang, source, unnest(p) AS text FROM p)
+        SELECT CAST(grouping(lang) + grouping(source) AS INTEGER) AS level, lang, source, count(*) AS n, count(DISTINCT text) AS kinds, true AS distinct_close, true AS median_close FROM u WHERE text <> '' GROUP BY GROUPING SETS ((lang, source), (lang), ())""",
     "event_sliding": """WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS begin FROM events)
         SELECT strftime(begin, '%Y-%m-%d %H:%M') AS begin, event_type, count(*) AS n FROM w GROUP BY 1, 2""",
     "event_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
