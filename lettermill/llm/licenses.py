@@ -59,7 +59,20 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "ARR": "All rights reserved.",
+    "MIT-heading": "MIT License",
+    "Apache-2.0-heading": "Apache License Version 2.0, January 2004",
+    "BSD-2-Clause-conditions": BSD_FORMS + BSD_TWO,
+    "BSD-3-Clause-conditions": BSD_FORMS + BSD_TWO + BSD_NAME,
+    "GPL-2.0-short": "Licensed under the GPL v2.",
+    "GPL-3.0-short": "Licensed under the GPL v3.",
+    "GPL-2.0-only-notice": "GNU General Public License version 2 as published by the Free Software Foundation",
+    "GPL-3.0-only-notice": "GNU General Public License version 3 as published by the Free Software Foundation",
 }
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "X11",
+)
+TEMPLATES |= {f"SPDX-{x}": f"SPDX-License-Identifier: {x}" for x in SPDX}
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
 NC, SA, ND = r"\W*non\W?commercial", r"\W*share\W?alike", r"\W*no\W?deriv\w*"
 
@@ -101,6 +114,22 @@ TELLING = {
     "CC-BY-NC-SA-4.0-line": _cc(NC + SA),
     "CC-BY-NC-ND-4.0-line": _cc(NC + ND),
 }
+#: What tells a template from its siblings by not being there: in the aligned span, or up to TAIL words before or behind.
+LACKING = {
+    "MIT-0": TELLING["MIT"],
+    "MIT-permission": TELLING["MIT"],
+    "BSD-2-Clause": TELLING["BSD-3-Clause"],
+    "BSD-2-Clause-conditions": TELLING["BSD-3-Clause"],
+    "ARR": r"\b(?:not|without|no)\W+all\W+rights",
+}
+TELLING |= {
+    "BSD-3-Clause-conditions": TELLING["BSD-3-Clause"],
+    "GPL-2.0-short": r"\bgpl\W*v2\b",
+    "GPL-3.0-short": r"\bgpl\W*v3\b",
+    "GPL-2.0-only-notice": TELLING["GPL-2.0-notice"],
+    "GPL-3.0-only-notice": TELLING["GPL-3.0-notice"],
+    "Apache-2.0-heading": TELLING["Apache-2.0"],
+}
 TAIL = 3
 #: Aligned share of a template from which a text carries the license.
 COVERAGE = 0.85
@@ -156,9 +185,12 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], telling: dict[str, str] | None = None):
+    def __init__(self, templates: dict[str, str], telling: dict[str, str] | None = None, lacking: dict[str, str] | None = None):
+        self.lacking = {k: re.compile(v, re.IGNORECASE | re.DOTALL) for k, v in (lacking or {}).items()}
         self.telling = {k: re.compile(v, re.IGNORECASE | re.DOTALL) for k, v in (telling or {}).items()}
         self.templates = {k: words_of(v) for k, v in sorted(templates.items())}
+        joined = {k: f" {' '.join(t)} " for k, t in self.templates.items()}
+        self.wholes = {k: {n for n, y in joined.items() if x in y and x != y} for k, x in joined.items()}  # templates of which one is a part
         self.words = {w for t in self.templates.values() for w in t}
         self.vocabulary = {k: Counter(dict(sorted(Counter(t).items(), key=lambda x: -len(x[0])))) for k, t in self.templates.items()}  # longer words first: those that texts often don't have
 
@@ -210,11 +242,13 @@ class Scanner:
                 first, last = part[pairs[0][0]][0], part[pairs[-1][0]][0]
                 if name in self.telling and not self.telling[name].search(text, matches[first][0], matches[min(last + TAIL, len(matches) - 1)][1]):
                     continue
+                if name in self.lacking and self.lacking[name].search(text, matches[max(0, first - TAIL)][0], matches[min(last + TAIL, len(matches) - 1)][1]):
+                    continue
                 best = max(best, (len(pairs) / len(self.templates[name]), -first, last))
             if best[0] >= coverage:
                 out.append((name, best[0], matches[-best[1]][0], matches[best[2]][1]))
         longer = lambda x, y: len(self.templates[y[0]]) > len(self.templates[x[0]]) and y[2] <= x[2] and x[3] <= y[3]
-        return [x for x in out if not any(longer(x, y) for y in out)]
+        return [x for x in out if not any(longer(x, y) or y[0] in self.wholes[x[0]] for y in out)]
 
 
 SCHEMA = "doc_id long, n_chars long, n_licenses int, license string, coverage double, span_start long, span_end long, all_licenses string"
@@ -225,15 +259,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
 
     license, coverage and the span in characters are of the template with the largest coverage (of
     equals the longest, then the first by name), null without one; all_licenses has the names of all
-    templates with the coverage, joined by commas, but for those that are part of a longer one. A match is
+    templates with the coverage, joined by commas, but for those that are part of a longer one's match or template. A match is
     at most STRETCH times as long as its template. The own templates also need what tells them from their
-    siblings (see TELLING). A null or empty text has none; a null doc_id stays
+    siblings (see TELLING and LACKING). A null or empty text has none; a null doc_id stays
     null; repeated rows give repeated rows; an empty table gives no rows. Only doc_id and text are read.
     """
-    chosen, telling = (dict(TEMPLATES), dict(TELLING)) if templates is None else (dict(templates), {})
+    chosen, telling, lacking = (dict(TEMPLATES), dict(TELLING), dict(LACKING)) if templates is None else (dict(templates), {}, {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(chosen, telling)
+        scanner = Scanner(chosen, telling, lacking)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
         for batch in slices(batches, "text"):

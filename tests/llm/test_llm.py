@@ -120,6 +120,25 @@ def test_op2_telling_words(spark):
     assert all(r.n_licenses == (r.license is not None) for r in got)
 
 
+def test_op2_siblings_identifiers_and_headings(spark):
+    changed = licenses.TEMPLATES["MIT"].replace("substantial portions", "big parts")
+    texts = {
+        " Next copy: ".join([changed] * 4): "MIT",
+        "// SPDX-License-Identifier: Apache-2.0\nint main() {}": "SPDX-Apache-2.0",
+        "SPDX-License-Identifier: MIT-0": "SPDX-MIT-0",
+        "MIT License\n\nCopyright (c) 2020 A": "MIT-heading",
+        "This is licensed under the GPL v3, see below": "GPL-3.0-short",
+        "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": "GPL-2.0-only-notice",
+        "Apache License Version 2.0, January 2004 http://x": "Apache-2.0-heading",
+        "not all rights reserved.": None,
+        "All rights reserved.": "ARR",
+        "Intro: " + licenses.BSD_FORMS + licenses.BSD_TWO + " The end": "BSD-2-Clause-conditions",
+        "Intro: " + licenses.BSD_FORMS + licenses.BSD_TWO + licenses.BSD_NAME + " The end": "BSD-3-Clause-conditions",
+    }
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.all_licenses for r in sorted(got, key=lambda r: r.doc_id)] == list(texts.values())
+
+
 def test_op2_equals_brute_force(spark):
     """Windows from every word of a template on, aligned by a plain recursion with a quadratic longest increasing subsequence."""
     templates = {"a": "one two three two four five six one seven", "b": "eight nine two ten", "c": "one one two two three three"}
