@@ -3,13 +3,15 @@
 Vectors lie in blocks, column by column. For a block of queries and one of candidates the scores
 add up a few dimensions at a time. After each step the k-th best of what is certain (score so far
 minus the most that is left) is a threshold, and candidates whose score so far plus the most that is
-left (product of the remaining norms) is below it leave the block. Blocks of candidates are dealt to
-lots, one for each shuffle partition, and each lot gets the blocks of queries: no side is broadcast
-whole, a block of candidates moves once, and a task holds one block of either side at a time.
+left (product of the remaining norms) is below it leave the block. Blocks of candidates and of queries
+meet in a grid with a cell for each shuffle partition: a candidate block goes to the cells of its row, a query block
+to those of its column, and there are so many more rows than columns as candidates are more than queries. So neither side is copied to
+every partition (Spark broadcasts blocks of queries only if they are small), and a task holds one block of either side at a time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,9 +122,14 @@ def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, every: int = 50) ->
         raise ValueError("queries are the rows whose id is divisible by 50")
     both = written(blocks(vectors, CANDIDATES, False).withColumn("side", F.lit(0)).unionByName(blocks(vectors, QUERIES, True).withColumn("side", F.lit(1))))
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    candidates = both.filter("side = 0").select("dims", F.pmod(F.xxhash64("ids", "values"), F.lit(n)).cast("int").alias("lot"), "ids", "values").repartitionById(n, F.col("lot"))
-    queries = both.filter("side = 1").select("dims", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("lot"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values")).repartitionById(n, F.col("lot"))
-    met = queries.join(candidates, ["dims", "lot"])  # the queries stream past the lot's candidates, which are a shuffle partition
+    columns = max(1, math.isqrt(n // every))
+    lots = n // columns
+    dealt = lambda k, *c: F.pmod(F.xxhash64(*c), F.lit(k)).cast("int")
+    across = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: F.col("lot") * columns + c)
+    down = F.transform(F.sequence(F.lit(0), F.lit(lots - 1)), lambda lot: lot * columns + F.col("column"))
+    candidates = both.filter("side = 0").withColumn("lot", dealt(lots, "ids", "values")).select("dims", F.explode(across).alias("cell"), "ids", "values").repartitionById(n, F.col("cell"))
+    queries = both.filter("side = 1").withColumn("column", dealt(columns, "ids")).select("dims", F.explode(down).alias("cell"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values")).repartitionById(n, F.col("cell"))
+    met = queries.join(candidates, ["dims", "cell"])  # the queries stream past the cell's candidates, which are a shuffle partition
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -351,6 +351,24 @@ def test_op6_topk(spark):
     assert exact_topk.top_k(rows.filter("false")).count() == 0
 
 
+def test_op6_grid_of_several_columns(spark):
+    rng, n = np.random.default_rng(3), spark.conf.get("spark.sql.shuffle.partitions")
+    x = rng.normal(size=(9000, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "230")
+    try:
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in exact_topk.top_k(rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    q = np.floor(256 * x).astype(np.int64)
+    want = {}
+    for i in range(0, 9000, 50):
+        scores = q @ q[i]
+        order = [j for j in np.lexsort((np.arange(9000), -scores)) if j != i][:5]
+        want |= {(i, k + 1): (int(j), int(scores[j])) for k, j in enumerate(order)}
+    assert got == want
+
+
 def test_op6_repeated_query_with_an_invalid_row(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.5, 0.5]), (0, [nan, 0.5]), (50, [0.5, 0.25]), (50, [inf, 0.5]), (100, [0.25, 0.5]), (100, [0.25, None]), (100, None), (1, [1.0, 1.0])]
