@@ -364,7 +364,27 @@ _CUES = r"(Đề nghị|Kiến nghị|Đồng thời[, ]+đề nghị|Ngoài ra,
 _ROW = f"regexp_replace(r, '^{_WS}+|{_WS}+$', '', 'g')"
 _PIECES = rf"CASE WHEN {_ROW} = '' OR regexp_matches({_ROW}, '^#{{1,6}}\s') THEN [{_ROW}] ELSE list_filter(string_split(regexp_replace({_ROW}, '([.;])\s*{_CUES}', '\1' || chr(1) || '\2\3', 'g'), chr(1)), lambda p: trim(p) <> '') END"
 
+_IN = r"[\t\v\f\r \pZ\x{85}]"  # white space within a line
+_BLANK = r"[ \t\v\f\r]"
+
+
+def _replaced(x: str, *steps: tuple[str, str]) -> str:
+    """SQL that replaces one pattern after the other."""
+    for pattern, by in steps:
+        x = f"regexp_replace({x}, '{pattern}', {by}, 'g')"
+    return x
+
+
+_ENDS = (rf"(?m)^{_IN}+|{_IN}+$", "''")
+_CLEANED = _replaced(
+    "text", (r"\r\n|[\n\r\v\f\x1c-\x1e\x{85}\x{2028}\x{2029}]", "chr(10)"), _ENDS, (r"(?m)^(?:#+[ \t]*|\*\*|\*|_+|>[ \t]*)", "''"), (r"(?m)^[ *_#>]+|[ *_#>]+$", "''"), ("<br>|<br/>|</br>", "' '"),
+    (r"<sup>[^<\n]*</sup>", "''"), (f"{_IN}+", "' '"), _ENDS, (r"\n{3,}", "chr(10) || chr(10)"), (r"^\n+|\n+\z", "''"),
+)
+_LINES_CLEANED = _replaced("text", (rf"(?m)^{_BLANK}*[-*•◦▪▸]{_BLANK}+", "''"), (rf"(?m)^#{{1,6}}{_BLANK}*", "''"), (rf"(?m)^\d{{1,3}}{_BLANK}*[.．)\]]{_BLANK}+", "''"), _ENDS, (r"\n{2,}", "chr(10) || chr(10)"), (r"^\n+", "''"))
+_BLOCK = _replaced(f"translate({_LINES_CLEANED}, '”“\"''‘’*_', '')", (r"[ \t]+", "' '"), (rf"^{_WS}+|{_WS}+\z", "''"))
+
 ORACLE_SQL: dict[str, str] = {
+    "clean_text_block": f"SELECT doc_id, md5({_CLEANED}) AS cleaned, md5({_BLOCK}) AS block FROM documents",
     "norm_tokens": f"SELECT doc_id, array_to_string(list_sort({_TOKENS}), ' ') AS tokens FROM documents",
     "jaccard_best_match": f"{_SCORES} SELECT b.item_id AS petition_id, coalesce(r.doc_id, (SELECT min(doc_id) FROM documents)) AS pair_ord, round(coalesce(score, 0.0), 6) AS score FROM benchmark b LEFT JOIN r ON r.item_id = b.item_id AND k = 1",
     "jaccard_threshold_match": f"{_SCORES} SELECT b.item_id AS petition_id, r.doc_id AS pair_ord, round(score, 6) AS score FROM benchmark b LEFT JOIN r ON r.item_id = b.item_id AND k = 1 AND score >= 0.1",
