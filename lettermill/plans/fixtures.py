@@ -1,5 +1,6 @@
 """Synthetic letters, dictionaries and petitions of this project: a few by hand, and one for each customer."""
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -65,3 +66,15 @@ def customer_petitions(customers: DataFrame) -> DataFrame:
 def customer_model(label: str, prompt: str, hint: str | None) -> str:
     """Stands for a language model that groups the units of a letter without a layout."""
     return 'Here: [["U1","U2"],["U3","U77"]]' if label == "KN" else '```json\n[["U5","U4"]]\n```'
+
+
+def page_ocr(content: bytes) -> tuple[int, str]:
+    """Stands for OCR to JSON: refuses every seventh page."""
+    text = bytes(content).decode()
+    return (400, "") if int(text.split()[0]) % 7 == 0 else (200, json.dumps({"content": f"read\\n{text}", "pages": [int(text.split()[0])]}))
+
+
+async def page_render(canonical: bytes) -> tuple[int, str]:
+    """Stands for the service that renders JSON as markdown, blank for every third page; asked without a thread of its own."""
+    page = json.loads(bytes(canonical))["pages"][0]
+    return 200, json.dumps({"content": " " if page % 3 == 0 else f"# {page}\nread"})

@@ -314,6 +314,33 @@ def corpus_sketches(spark: SparkSession, d: str) -> DataFrame:
     return both.select(found["level"], found["lang"], found["source"], found["n"], exact["kinds"], close.alias("distinct_close"), middle.alias("median_close"))
 
 
+def cached_keys(spark: SparkSession, d: str) -> DataFrame:
+    cache = _t(spark, d, "orders").select(F.col("o_orderkey").alias("cache_key"), F.to_json(F.array("o_orderpriority")).alias("data_list"))
+    return store.keys_by_data(cache, '["1-URGENT"]')
+
+
+def unit_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return units.prompts(units.segment_units(_t(spark, d, "documents").select("doc_id", "text"))).select("doc_id", F.md5("prompt").alias("prompt"))
+
+
+def ocr_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as files: OCR to JSON (every seventh fails), rendering (every third is blank), and what stands in for it."""
+    pages = _t(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.encode(F.concat_ws(" ", F.col("page_id").cast("string"), "url"), "UTF-8").alias("content"))
+    read = files.canonical(pages, fixtures.page_ocr, tries=1)
+    made = files.rendered(read, fixtures.page_render, tries=1)
+    errors = read.select("path", F.col("error").isNotNull().alias("failed"))
+    shown = made.select("path", F.coalesce(files.rendered_or_plain(), F.col("content")).alias("text"))
+    return errors.join(shown, "path", "left").select(F.col("path").cast("long").alias("page_id"), "failed", "text")
+
+
+def petitions_kept(spark: SparkSession, d: str) -> DataFrame:
+    """A job whose dictionary lacks five provinces: petitions of these have no answers, and stay."""
+    people = spread(_t(spark, d, "customer"))
+    known = {k: v for k, v in fixtures.PROVINCES.items() if v > 5}
+    out = answering.answer(fixtures.customer_petitions(people), fixtures.customer_letters(people), known, keep_filtered=True)
+    return out.select(F.col("`KN_KIENNGHI.ID`").alias("petition_id"), F.get("answers", 0)["file_id"].alias("file_id"))
+
+
 def event_sliding(spark: SparkSession, d: str) -> DataFrame:
     """A stream over events: one-hour windows, one of which begins every half hour."""
     rows = windows.latest_windows(spark, windows.sliding_counts(windows.stream_of(spark, f"{d}/events.parquet")), ["begin", "event_type"])
@@ -344,7 +371,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         norm_tokens, jaccard_best_match, jaccard_threshold_match, match_summary, donvi_semi_filter, donvi_guard_empty, turn_pairs_asof, turn_stop_boundary, section_slice_agg, segment_units,
         header_lines, has_structure, head_tail_lines, letter_numbers, fmt_classify, extract_pairs, donvi_lookup, letter_matches, group_validate, discarded_units, balance_merge, file_sha256,
         cache_key, cache_upsert_latest, cache_probe, job_status_map, jobs_newest_first, pending_anti, parse_requests, clean_text_block, log_job_stats, fmt_rollup, event_window,
-        footnote_clean, letter_entities, markdown_forms, model_groups, job_answers, job_totals, upload_status, outcome_counts, job_count, job_dump, misread_and_lines, files_by_name, corpus_sketches, event_sliding, event_sessions, job_machine, job_in_sql, similarity_in_sql,
+        footnote_clean, letter_entities, markdown_forms, model_groups, job_answers, job_totals, upload_status, outcome_counts, job_count, job_dump, misread_and_lines, files_by_name, cached_keys, unit_prompts, ocr_forms, petitions_kept, corpus_sketches, event_sliding, event_sessions, job_machine, job_in_sql, similarity_in_sql,
     )
 }
 
@@ -438,6 +465,14 @@ ORACLE_SQL: dict[str, str] = {
     "log_job_stats": """SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'ERROR' ELSE 'INFO' END AS level, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n, CAST(max(o_orderkey) AS INTEGER) AS last FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY 1, 2""",
     "fmt_rollup": r"SELECT lang, CASE WHEN contains(text, '**') OR regexp_matches(text, '(?m)^\s*#') THEN 'md' ELSE 'plain' END AS fmt, count(*) AS n FROM documents GROUP BY ROLLUP (lang, 2)".replace("ROLLUP (lang, 2)", "ROLLUP (lang, CASE WHEN contains(text, '**') OR regexp_matches(text, '(?m)^\\s*#') THEN 'md' ELSE 'plain' END)"),
     "event_window": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "cached_keys": "SELECT o_orderkey AS cache_key FROM orders WHERE o_orderpriority = '1-URGENT'",
+    "unit_prompts": f"""
+        WITH p AS (SELECT doc_id, flatten(list_transform(string_split(regexp_replace(coalesce(text, ''), '^{_WS}+|{_WS}+$', '', 'g'), chr(10)), lambda r: {_PIECES})) AS p FROM documents),
+        u AS (SELECT doc_id, unnest(p) AS text, unnest(generate_series(0, len(p) - 1)) AS idx FROM p),
+        n AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS unit_no FROM u WHERE text <> '')
+        SELECT doc_id, md5(string_agg('[U' || unit_no || '] ' || text, chr(10) || chr(10) ORDER BY unit_no)) AS prompt FROM n GROUP BY doc_id""",
+    "ocr_forms": "SELECT page_id, page_id % 7 = 0 AS failed, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 'read' || chr(10) || page_id || ' ' || url ELSE '# ' || page_id || chr(10) || 'read' END AS text FROM pages",
+    "petitions_kept": "SELECT c_custkey AS petition_id, CASE WHEN c_custkey % 4 = 0 AND c_nationkey + 1 > 5 THEN 'FILE_' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') END AS file_id FROM customer",
     "corpus_sketches": f"""
         WITH p AS (SELECT doc_id, lang, source, flatten(list_transform(string_split(regexp_replace(coalesce(text, ''), '^{_WS}+|{_WS}+$', '', 'g'), chr(10)), lambda r: {_PIECES})) AS p FROM documents),
         u AS (SELECT lang, source, unnest(p) AS text FROM p)
