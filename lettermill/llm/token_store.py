@@ -37,8 +37,8 @@ STRETCH = 64
 #: Ids after which a segment ends (with the document), and segments in a file.
 SEGMENT_IDS = 1 << 19
 FILE_SEGMENTS = 8
-#: Words that a Python worker remembers, beyond which those stay that came again, and characters of the longest of them.
-REMEMBERED, LONGEST = 500_000, 64
+#: Words that a Python worker remembers, beyond which those of the next batch stay, and characters of the longest of them.
+REMEMBERED, LONGEST = 1_000_000, 64
 #: Marks that are looked up apart from the letters before them.
 MARKS = ".,!?;:"
 #: New words that are encoded in one text.
@@ -162,7 +162,6 @@ class WordIds:
         self.begins[[i for x, i in vocabulary.items() if x.startswith("Ġ")]] = True  # a space, as byte-level tokenizers show it
         #: By word: its ids behind a space, or behind a line end where it begins with one; None where it can't be looked up.
         self.known: dict[str, bytes | None] = {}
-        self.again: set[str] = set()
         self.parts: dict[str, bytes] = {}
         self.between = re.compile(r"(?<=\S) (?=\S)")
 
@@ -190,12 +189,9 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
         used = set().union(*(x[1:] for x in cut))
+        if len(self.known) > REMEMBERED:
+            self.known = {x: self.known[x] for x in used if x in self.known}
         new = used.difference(self.known)
-        if len(self.known) > REMEMBERED // 2:
-            self.again |= used - new
-        if len(self.known) > REMEMBERED:  # what came but once of late goes
-            self.known = {x: self.known[x] for x in self.again if x in self.known}
-            self.again, new = set(), used.difference(self.known)
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
         self._learn(new)
