@@ -134,6 +134,9 @@ class Ids:
         self.lowers = '"Lowercase"' in self.tokenizer.to_str()[:20_000]
         special = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and not x.normalized}
         self.mark, self.mark_id = next(iter(special.items()), ("", -1))  # split off before anything else, so it can stand between chunks
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
     def _lower(self, text: str) -> str:
@@ -147,6 +150,15 @@ class Ids:
             return [ids[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1] + 1]).tolist(), ends.tolist(), strict=True)]
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
+    def _plain(self, some: list[str]) -> list[bytes]:
+        """_each() of words of letters alone: encoded in one text, each ends where an id ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        at = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+        if len(at) != len(some) + 1 or at[-1] != 4 * len(ids):
+            return self._each(some)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         chunked = [self._lower(x).replace("\n", " ").split(" ") for x in texts]
         known, used = self.known, set().union(*chunked)
@@ -156,6 +168,11 @@ class Ids:
         # Latin letters (İ becomes two characters) with one mark behind them: no token goes from the ones to the other, so the word is looked up alone
         words = {x: x[:-1] for x in new if x[-1] in MARKS and x[:-1].isalpha() and "İ" not in x and max(x) < "\u0250"}
         alone = list({words.get(x, x) for x in new}.union(MARKS).difference(known))
+        plain = [x for x in alone if x.isalpha() and x.isascii()]
+        for start in range(0, len(plain), 1000):
+            some = plain[start : start + 1000]
+            known.update(zip(some, self._plain(some), strict=True))
+        alone = [x for x in alone if x not in known]
         for start in range(0, len(alone), 50):
             some = alone[start : start + 50]
             known.update(zip(some, self._each(some), strict=True))
