@@ -42,7 +42,7 @@ REMEMBERED, LONGEST = 1_000_000, 64
 #: Marks that are looked up apart from the letters before them.
 MARKS = ".,!?;:"
 #: New words that are encoded in one text.
-TOGETHER = 500
+TOGETHER = 2000
 
 
 def bitmap_directory(bits: np.ndarray) -> np.ndarray:
@@ -188,7 +188,8 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        used = set().union(*(x[1:] for x in cut))
+        firsts = [x.pop(0) for x in cut]
+        used = set().union(*cut)
         if len(self.known) > REMEMBERED:
             self.known = {x: self.known[x] for x in used if x in self.known}
         new = used.difference(self.known)
@@ -196,12 +197,12 @@ class WordIds:
             self.parts.clear()
         self._learn(new)
         get, out = self.known.__getitem__, []
-        for t, words in zip(texts, cut, strict=True):
+        for t, first, words in zip(texts, firsts, cut, strict=True):
             if any(x in t for x in self.special):
                 out.append(self._alone(t))
                 continue
             try:
-                out.append(b"".join([self._first(words[0]), *map(get, words[1:])]))
+                out.append(self._first(first) + b"".join(map(get, words)))
             except TypeError:  # some words can't be looked up
                 out.append(b"".join(map(self._part, self._apart(t))))
         for x in new:
