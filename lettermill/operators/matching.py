@@ -32,9 +32,14 @@ def _wanted(floor: float) -> Column:
 
 
 def met(open_: DataFrame, index: DataFrame, low: int, high: int, floor: float) -> DataFrame:
-    """petition_id and pair_ord that share one of the words from place low to before high, if what is left from there on is enough for the best score so far."""
+    """petition_id and pair_ord that share one of the words from place low to before high, if what is left from there on is enough for the best score so far.
+
+    Words from which on too little is left for pairs of any size don't go into the join: frequent ones would meet all pairs there.
+    """
     probes = open_.select("petition_id", "size", "score", F.size("words").alias("c"), F.posexplode(F.slice("words", low + 1, high - low)).alias("p", "token")).withColumn("p", F.col("p") + low)
-    shared = F.least(F.col("c") - F.col("p"), F.col("m"))
+    left = F.col("c") - F.col("p")
+    probes = probes.filter(left / F.greatest(F.col("size"), F.lit(1)) >= _wanted(floor))
+    shared = F.least(left, F.col("m"))
     return probes.join(index, "token").filter(_reach(shared, F.col("size"), F.col("m")) >= _wanted(floor)).select("petition_id", "pair_ord").distinct()
 
 
@@ -53,7 +58,7 @@ def _best(petitions: DataFrame, pairs: DataFrame, floor: float) -> DataFrame:
     given = written(pairs.select("pair_ord", tokens("noi_dung")).filter(F.size("tokens") > 0))
     index = given.select("pair_ord", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
     probed = asked.select(F.explode("tokens").alias("token")).distinct()
-    seen = index.select("token").join(probed, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    seen = index.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(probed, "token")
     each = asked.select("petition_id", F.size("tokens").alias("size"), F.explode_outer("tokens").alias("token")).join(seen, "token", "left")
     words = F.transform(F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "token")))), lambda s: s["token"])
     open_ = written(each.groupBy("petition_id", "size").agg(words.alias("words")).withColumns({"score": F.lit(0.0), "o": F.lit(None).cast("long")}))

@@ -91,3 +91,15 @@ def test_frequent_words_are_not_met_where_rare_ones_decide(spark, monkeypatch):
         p, q = spark.createDataFrame(rows, "petition_id long, noi_dung string"), spark.createDataFrame(rows, "pair_ord long, noi_dung string")
         assert all(r.petition_id == r.pair_ord and r.score == 1.0 for r in matching.best_of_all(p, q).collect())
     assert counted == [200, 200]
+
+
+def test_words_that_cannot_reach_the_threshold_meet_no_pairs(spark):
+    """Petitions whose only shared words are two frequent ones of seven: all pairs of petitions and pairs, 3.2 billion here, were met and dropped before."""
+    n = 40_000
+    k = F.col("id").cast("string")
+    p = spark.range(0, n, 1, 4).select(F.col("id").alias("petition_id"), F.concat_ws(" ", F.lit("viec tai"), *[F.concat(k, F.lit(x)) for x in "abcde"]).alias("noi_dung"))
+    q = spark.range(n, 2 * n, 1, 4).select(F.col("id").alias("pair_ord"), F.concat_ws(" ", F.lit("viec tai"), k).alias("noi_dung"))
+    q = q.unionByName(p.filter("petition_id = 7").select(F.lit(7).cast("long").alias("pair_ord"), "noi_dung"))
+    start = time.time()
+    found = matching.best_matches(p, q, 0.5).filter("pair_ord IS NOT NULL").collect()
+    assert [tuple(r) for r in found] == [(7, 7, 1.0)] and time.time() - start < 40
