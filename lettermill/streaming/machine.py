@@ -1,95 +1,67 @@
-"""Job states kept in the state store: one row of state a job, with a timer for jobs that stall."""
+"""Job states in the state store: one row of state a job, an aggregate of Spark's; jobs that stall are told by a table of those that haven't ended."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import timezone
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lettermill.operators import store
 
 EVENT = "job_id string, status string, result string, error string, updated_at timestamp, seq long"
 CHANGE = EVENT
-STATE = "status string, result string, error string, updated_at timestamp, seq long, due long"
+OPEN = "job_id string, updated_at timestamp, seq long"
 ENDED = ("succeeded", "failed")
-#: transformWithState needs this state store.
+#: States of many jobs don't fit the memory of the default state store.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _millis(x: pd.Timestamp) -> int:
-    return int(x.tz_localize("UTC").timestamp() * 1000) if x.tzinfo is None else int(x.tz_convert(timezone.utc).timestamp() * 1000)
-
-
-class JobMachine(StatefulProcessor):
-    """The latest message of a job by (updated_at, seq) is its state; older and repeated ones change nothing. A job that hasn't
-    ended is failed when event time passes its last message by stall milliseconds; a later message takes it up again."""
-
-    def __init__(self, stall: int):
-        self.stall = stall
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("latest", STATE)
-
-    def _kept(self, key: tuple, status: str, result, error, updated_at, seq: int, due: int | None) -> pd.DataFrame:
-        self.state.update((status, result, error, updated_at, seq, due))
-        return pd.DataFrame({"job_id": [key[0]], "status": [status], "result": [result], "error": [error], "updated_at": [updated_at], "seq": [seq]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        newest, passed = None, timerValues.getCurrentWatermarkInMs()
-        for frame in rows:
-            frame = frame[frame["updated_at"].map(_millis) >= passed]
-            if frame.empty:
-                continue
-            row = frame.sort_values(["updated_at", "seq"]).iloc[-1]
-            if newest is None or (row["updated_at"], row["seq"]) > (newest["updated_at"], newest["seq"]):
-                newest = row
-        if newest is None:
-            return
-        known = self.state.get() if self.state.exists() else None
-        due = known[5] if known else None
-        at, seq = newest["updated_at"], int(newest["seq"])
-        if known and (pd.Timestamp(known[3]), known[4]) >= (at, seq):
-            return
-        if due is not None:
-            self.handle.deleteTimer(due)
-        due = None if newest["status"] in ENDED else _millis(at) + self.stall
-        if due is not None:
-            self.handle.registerTimer(due)
-        yield self._kept(key, newest["status"], newest["result"], newest["error"], at.to_pydatetime(), seq, due)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        status, _, _, updated_at, seq, due = self.state.get()
-        if status in ENDED or due != expiredTimerInfo.getExpiryTimeInMs():
-            return
-        yield self._kept(key, "failed", None, "stalled", updated_at, seq, None)
-
-    def close(self) -> None:
-        pass
-
-
-def job_changes(events: DataFrame, late: str = "10 minutes", stall: int = 3_600_000) -> DataFrame:
-    """A row for each change of a job's state in a stream of EVENT rows (job_id, updated_at and seq not null): job_id, status, result, error, updated_at, seq.
-
-    Messages that event time has passed by more than late are dropped, as by other operators on a stream with a watermark.
+def job_changes(events: DataFrame) -> DataFrame:
+    """A stream's EVENT rows (job_id, updated_at and seq not null) by job: the latest message, by (updated_at, seq), of each job of which a batch has messages.
+
+    Older and repeated messages change nothing; then the state as it was comes again. Late messages are in here, see run_machine().
     """
     events.sparkSession.conf.set(*PROVIDER)
-    rows = events.select("job_id", "status", "result", "error", "updated_at", F.col("seq").cast("long").alias("seq")).withWatermark("updated_at", late)
-    return rows.groupBy("job_id").transformWithStateInPandas(JobMachine(stall), CHANGE, "Update", "EventTime")
+    message = F.struct("updated_at", F.col("seq").cast("long").alias("seq"), "status", "result", "error")
+    return events.groupBy("job_id").agg(F.max(message).alias("m")).select("job_id", *[f"m.{c.split()[0]}" for c in CHANGE.split(", ")[1:]])
 
 
-def run_machine(events: DataFrame, states: str, checkpoint: str, **options):
-    """Starts a query that writes the changes of each batch below a path; a batch that runs again overwrites its own folder."""
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def batch(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{states}/batch={number}")
 
-    changes = job_changes(events, **options)
-    return changes.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_machine(events: DataFrame, states: str, checkpoint: str, late: str = "10 minutes", stall: int = 3_600_000):
+    """Starts a query that writes the states that each batch has touched below a path; a batch that runs again overwrites its own folders.
+
+    Messages that event time had passed by more than late before their batch are dropped. A job that hasn't ended is failed when event time (less late)
+    passes its last message by stall milliseconds; a later message takes it up again. The aggregate keeps late messages too,
+    but no message that comes after one is older and counts, so that it is enough to drop them behind it.
+    """
+    lag, kept = pd.Timedelta(late) // pd.Timedelta(milliseconds=1), f"{checkpoint}/machine"
+    at: Column = F.unix_millis("updated_at")
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark, here, before = rows.sparkSession, f"{kept}/{number}", f"{kept}/{number - 1}"
+        rows.write.mode("overwrite").parquet(f"{here}/rows")  # read for event time, states and what is open
+        fresh = spark.read.schema(CHANGE).parquet(f"{here}/rows")
+        seen = spark.read.parquet(f"{before}/newest").first()["newest"] if number else None  # one number
+        newest = max((x for x in (seen, fresh.agg(F.max(at)).first()[0]) if x is not None), default=None)
+        if seen is not None:
+            fresh = fresh.filter(at >= seen - lag)
+        names = [c.split()[0] for c in OPEN.split(", ")]
+        waiting = fresh.filter(~F.coalesce("status", F.lit("")).isin(*ENDED)).select(*names)
+        if number:
+            waiting = waiting.unionByName(spark.read.schema(OPEN).parquet(f"{before}/open").join(fresh.select("job_id"), "job_id", "left_anti"))
+        due = F.lit(False) if newest is None else at + stall <= newest - lag
+        none = F.lit(None).cast("string")
+        stalled = waiting.filter(due).select("job_id", F.lit("failed").alias("status"), none.alias("result"), F.lit("stalled").alias("error"), "updated_at", "seq")
+        fresh.unionByName(stalled).write.mode("overwrite").parquet(f"{states}/batch={number}")
+        waiting.filter(~due).write.mode("overwrite").parquet(f"{here}/open")
+        spark.createDataFrame([(newest,)], "newest long").write.mode("overwrite").parquet(f"{here}/newest")
+        _delete(spark, f"{kept}/{number - 2}")  # the batch before may be needed again
+
+    return job_changes(events).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_states(changes: DataFrame) -> DataFrame:

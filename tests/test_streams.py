@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -70,6 +71,17 @@ def test_machine_stalls_and_drops_late_messages(spark, tmp_path):
     assert states["a"] == ("FINISHED", None, "late but newer") and states["b"] == ("FAILED", "stalled", None) and states["f"] == ("PROCESSING", None, None)
 
 
+def test_machine_of_many_jobs(spark, tmp_path):
+    """A job's state cost some milliseconds of Python before."""
+    k = F.col("id")
+    rows = spark.range(60_000).select(F.concat(F.lit("j"), k % 30_000).alias("job_id"), F.when(k < 30_000, "queued").when(k % 2 == 0, "succeeded").otherwise("failed").alias("status"), F.lit("r").alias("result"), F.lit(None).cast("string").alias("error"), F.timestamp_seconds(k).alias("updated_at"), k.alias("seq"))
+    rows.write.parquet(str(tmp_path / "in"))
+    start = time.time()
+    machine.run_machine(spark.readStream.schema(machine.EVENT).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ckpt"), late="100 days", stall=10**12).awaitTermination()
+    got = machine.current_states(spark.read.parquet(str(tmp_path / "out"))).groupBy("api_status").count().collect()
+    assert dict(map(tuple, got)) == {"FINISHED": 15_000, "FAILED": 15_000} and time.time() - start < 40
+
+
 EVENTS = "ts timestamp, event_type string, user_id long"
 
 
