@@ -37,9 +37,19 @@ def group_refs(answers: DataFrame) -> DataFrame:
     return each.select("doc_id", "label", "group_ord", F.posexplode(F.from_json("g", "array<string>")).alias("pos", "unit_id"))
 
 
-def _once(refs: DataFrame, units: DataFrame) -> DataFrame:
+#: Units, or references to them, that a task sorts at once.
+PER_TASK = 100_000
+
+
+def _tasks(units: DataFrame) -> int:
+    """So many tasks that none has more than PER_TASK units, evenly dealt. Spark joins partitions by their compressed
+    bytes, of which numbers and short ids have next to none: a task got millions of them."""
+    return max(units.sparkSession.sparkContext.defaultParallelism, -(-units.count() // PER_TASK))
+
+
+def _once(refs: DataFrame, units: DataFrame, tasks: int) -> DataFrame:
     """References to known units, numbered (n) among those of the same label to the same unit."""
-    known = refs.join(units.select("doc_id", "unit_id", "unit_no", "idx", "text"), ["doc_id", "unit_id"])
+    known = refs.repartition(tasks, "doc_id", "unit_id").join(units.select("doc_id", "unit_id", "unit_no").repartition(tasks, "doc_id", "unit_id"), ["doc_id", "unit_id"])
     return known.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "label", "unit_id").orderBy("group_ord", "pos")))
 
 
@@ -48,7 +58,8 @@ def resolve_groups(refs: DataFrame, units: DataFrame) -> DataFrame:
 
     Unknown units go, and of repeated references of a label the first stays.
     """
-    once = _once(refs, units).filter("n = 1")
+    tasks = _tasks(units)
+    once = _once(refs, units, tasks).filter("n = 1").repartition(tasks, "doc_id")
     by_pos = F.transform(F.array_sort(F.collect_list(F.struct("pos", "unit_no"))), lambda s: s["unit_no"])
     g = once.groupBy("doc_id", "label", "group_ord").agg(by_pos.alias("given"), F.min("unit_no").alias("first"), F.max("unit_no").alias("last"), F.count(F.lit(1)).alias("n"))
     sorted_ids = F.transform(F.array_sort("given"), lambda n: F.concat(F.lit("U"), n.cast("string")))
@@ -73,7 +84,7 @@ def issues(answers: DataFrame, units: DataFrame) -> DataFrame:
     parts = [
         each.filter(F.coalesce(F.size(F.from_json("g", "array<string>")), F.lit(0)) <= 0).select("doc_id", "label", F.concat(F.lit("no group: "), "g").alias("issue")),
         unknown_refs(refs, units).select("doc_id", "label", F.concat(F.lit("unknown unit: "), F.coalesce("unit_id", F.lit("null"))).alias("issue")),
-        _once(refs, units).filter("n > 1").select("doc_id", "label", F.concat(F.lit("repeated unit: "), "unit_id").alias("issue")),
+        _once(refs, units, _tasks(units)).filter("n > 1").select("doc_id", "label", F.concat(F.lit("repeated unit: "), "unit_id").alias("issue")),
         groups.filter("NOT in_order").select("doc_id", "label", F.concat(F.lit("put in order: "), listed).alias("issue")),
         groups.filter("NOT contiguous").select("doc_id", "label", F.concat(F.lit("not contiguous: "), listed).alias("issue")),
     ]
@@ -83,13 +94,19 @@ def issues(answers: DataFrame, units: DataFrame) -> DataFrame:
     return out
 
 
+def _without(rows: DataFrame, others: DataFrame, tasks: int) -> DataFrame:
+    """Rows whose unit the others don't have."""
+    key = ["doc_id", "unit_id"]
+    return rows.repartition(tasks, *key).join(others.select(*key).repartition(tasks, *key), key, "left_anti")
+
+
 def unknown_refs(refs: DataFrame, units: DataFrame) -> DataFrame:
-    return refs.join(units, ["doc_id", "unit_id"], "left_anti")
+    return _without(refs, units, _tasks(units))
 
 
 def discarded_units(refs: DataFrame, units: DataFrame) -> DataFrame:
     """Units that no group refers to."""
-    return units.join(refs, ["doc_id", "unit_id"], "left_anti")
+    return _without(units, refs, _tasks(units))
 
 
 def balance_groups(groups: DataFrame) -> DataFrame:

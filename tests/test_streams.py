@@ -115,3 +115,12 @@ def test_segment_units_moves_nothing(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert [(r.unit_id, r.idx, r.text) for r in got.collect()] == [("U1", 0, "a"), ("U2", 2, "b."), ("U3", 3, "Đề nghị c")]
     assert got.schema == got.select("doc_id", F.col("unit_no"), "unit_id", "idx", "text").schema
+
+
+def test_units_are_dealt_by_their_number(spark, monkeypatch):
+    """Partitions were joined by their compressed bytes, so that a task sorted millions of units."""
+    monkeypatch.setattr(units, "PER_TASK", 10, raising=False)
+    u = spark.range(600).select(F.expr("id div 6").alias("doc_id"), (F.col("id") % 6 + 1).alias("unit_no")).withColumns({"unit_id": F.concat(F.lit("U"), "unit_no"), "idx": F.col("unit_no"), "text": F.lit("x")})
+    refs = u.filter("unit_no < 3").select("doc_id", F.lit("KN").alias("label"), F.lit(0).alias("group_ord"), F.col("unit_no").alias("pos"), "unit_id")
+    for got, n in ((units.resolve_groups(refs, u), 100), (units.discarded_units(refs, u), 400)):
+        assert got.rdd.getNumPartitions() >= 60 and got.count() == n
