@@ -125,7 +125,7 @@ def letter_matches(spark: SparkSession, d: str) -> DataFrame:
 def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Six units for each customer, and three kinds of model answers by custkey % 3."""
     k = F.col("c_custkey")
-    people = _t(spark, d, "customer").select(k.cast("long").alias("doc_id"), (k % 3).alias("kind"))
+    people = spread(_t(spark, d, "customer")).select(k.cast("long").alias("doc_id"), (k % 3).alias("kind"))
     u = people.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("unit_no")).select("doc_id", "unit_no", F.concat(F.lit("U"), "unit_no").alias("unit_id"), (F.col("unit_no") - 1).alias("idx"), F.lit("x").alias("text"))
     said = lambda *x: F.when(F.col("kind") == 0, x[0]).when(F.col("kind") == 1, x[1]).otherwise(x[2])
     kn, tl = said('[["U2"],["U3","U99"],["U4","U2"]]', 'So: [["U1"],["U2"]] and more', '[["U1"],["U4"]]'), said('```json\n[["U6","U5"]]\n```', '[["U4"],["U5","U6"]]', '[["U2"]]')
@@ -244,7 +244,7 @@ def markdown_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_groups(spark: SparkSession, d: str) -> DataFrame:
-    free = fixtures.customer_letters(_t(spark, d, "customer").filter("c_custkey % 4 = 3"), header=False)
+    free = fixtures.customer_letters(spread(_t(spark, d, "customer")).filter("c_custkey % 4 = 3"), header=False)
     out = modelled.extract(free.select("doc_id", "text"), fixtures.customer_model)
     return out.select("doc_id", F.col("n_units").cast("long").alias("n_units"), F.array_join("kien_nghi", "|").alias("kien_nghi"), F.array_join("tra_loi", "|").alias("tra_loi"), F.array_join("warnings", "|").alias("warnings"))
 
@@ -262,7 +262,7 @@ def job_answers(spark: SparkSession, d: str) -> DataFrame:
 
 def job_in_sql(spark: SparkSession, d: str) -> DataFrame:
     """job_answers without formatting, written in SQL over the views of its stages."""
-    people = _t(spark, d, "customer")
+    people = spread(_t(spark, d, "customer"))
     out = surface.job_in_sql(fixtures.customer_letters(people), fixtures.customer_petitions(people), fixtures.PROVINCES)
     first = F.get("answers", 0)
     return out.select(F.col("`KN_KIENNGHI.ID`").alias("petition_id"), first["file_id"].alias("file_id"), first["content"].alias("content"), first["metadata"]["so_cong_van"].alias("so_cong_van"))
